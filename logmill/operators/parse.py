@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logmill.functions.records import json_records
 from logmill.functions.severity import severity_rank
 from logmill.functions.text import let, sanitized, trim_space
-from logmill.plans.catalog import BUILT_IN, Profile
+from logmill.plans.catalog import BUILT_IN, Profile, profiles_json
 from logmill.plans.detect import best_format
 from logmill.plans.extract import EVENT, has_content, json_events, text_events
 
@@ -22,47 +23,31 @@ def _checked(event: Column, fmt: Column, free: list[str]) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
-    """Add ``clean`` (sanitized text), ``records`` and ``formats``.
-
-    ``records`` is NULL for text documents. ``formats`` holds the best format id of the text, or of
-    each JSON record; NULL entries matched nothing.
-    """
-    profiles = list(profiles)
-    staged = docs.withColumn("clean", sanitized(F.col(text)))
-    staged = staged.withColumn("trimmed", trim_space(F.col("clean")))
-    staged = staged.withColumn("records", json_records(F.col("trimmed")))
+def _formats(profiles: list[Profile]) -> Column:
     of_text = F.array(best_format(profiles, "text", F.col("trimmed")))
     of_records = F.transform(
         F.col("records"), lambda r: best_format(profiles, "json", F.to_json(r), r)
     )
-    return staged.withColumn(
-        "formats", F.when(F.col("records").isNull(), of_text).otherwise(of_records)
-    )
+    return F.when(F.col("records").isNull(), of_text).otherwise(of_records)
 
 
-def parse(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
-    """Add ``clean``, ``format_ids``, ``supported`` and ``events`` to every document.
-
-    A document is supported when it has events and all of them have content; one JSON record
-    without a format or content makes the whole document unsupported, and ``format_ids`` then
-    lists the ids met before it.
-    """
-    profiles = list(profiles)
-    by_id = {p.id: p for p in profiles}
-    no_content = [p.id for p in by_id.values() if not p.require_content]
-    no_events = [p.id for p in by_id.values() if not p.require_events]
+def _found(profiles: list[Profile]) -> Column:
     fmt = F.get(F.col("formats"), F.lit(0))
-    staged = detect(docs, profiles, text).withColumn(
-        "found",
+    return (
         F.when(
             F.col("records").isNotNull(),
             json_events(profiles, F.col("formats"), F.col("records")),
         )
         .when(fmt.isNotNull(), text_events(profiles, fmt, F.col("trimmed")))
-        .otherwise(F.array().cast(f"array<{EVENT}>")),
+        .otherwise(F.array().cast(f"array<{EVENT}>"))
     )
 
+
+def _outcome(profiles: list[Profile]) -> Column:
+    fmt = F.get(F.col("formats"), F.lit(0))
+    no_content = [p.id for p in profiles if not p.require_content]
+    no_events = [p.id for p in profiles if not p.require_events]
+
     def json_outcome(formats: Column, found: Column) -> Column:
         flags = F.transform(found, lambda e, i: _checked(e, F.get(formats, i), no_content))
         bad = F.array_position(flags, F.lit(False))
@@ -85,11 +70,50 @@ def parse(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "
         F.array_compact(F.col("formats")).alias("format_ids"),
         (fmt.isNotNull() & some & full).alias("supported"),
     )
-    outcome = F.when(
+    return F.when(
         F.col("records").isNotNull(),
         let(F.col("formats"), lambda fs: let(F.col("found"), lambda ev: json_outcome(fs, ev))),
     ).otherwise(text_outcome)
-    staged = staged.withColumn("outcome", outcome)
+
+
+_PARTS = {"formats": _formats, "found": _found, "outcome": _outcome}
+_COMPILED: dict[tuple, Column] = {}
+
+
+def compiled(part: str, profiles: Iterable[Profile]) -> Column:
+    """The named column for a catalog, built once per catalog and JVM."""
+    profiles = list(profiles)
+    key = (part, profiles_json(profiles), id(SparkContext._jvm))
+    if key not in _COMPILED:
+        _COMPILED[key] = _PARTS[part](profiles)
+    return _COMPILED[key]
+
+
+def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
+    """Add ``clean`` (sanitized text), ``trimmed``, ``records`` and ``formats``.
+
+    ``records`` is NULL for text documents. ``formats`` holds the best format id of the text, or of
+    each JSON record; NULL entries matched nothing.
+    """
+    return (
+        docs.withColumn("clean", sanitized(F.col(text)))
+        .withColumn("trimmed", trim_space(F.col("clean")))
+        .withColumn("records", json_records(F.col("trimmed")))
+        .withColumn("formats", compiled("formats", profiles))
+    )
+
+
+def parse(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
+    """Add ``clean``, ``format_ids``, ``supported`` and ``events`` to every document.
+
+    A document is supported when it has events and all of them have content; one JSON record
+    without a format or content makes the whole document unsupported, and ``format_ids`` then
+    lists the ids met before it.
+    """
+    profiles = list(profiles)
+    staged = detect(docs, profiles, text)
+    staged = staged.withColumn("found", compiled("found", profiles))
+    staged = staged.withColumn("outcome", compiled("outcome", profiles))
     supported = F.coalesce(F.col("outcome.supported"), F.lit(False))
     return staged.select(
         *[c for c in docs.columns if c not in ("clean", "format_ids", "supported", "events")],
