@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -25,6 +25,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sealed(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Select ``keep`` plus computed columns behind a generator.
+
+    Filters on the results are not pushed through it, so costly expressions are never copied into
+    a predicate and evaluated again there.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    out = df.select(*keep, F.explode(F.array(packed)).alias("sealed_"))
+    return out.select(*keep, *[F.col(f"sealed_.{name}").alias(name) for name in columns])
+
+
 def regex(pattern: str) -> str:
     """A pattern for Spark: multi-line anchors, LF as the only line end, Java group syntax."""
     return "(?md)" + pattern.replace("(?P<", "(?<")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logmill.functions.records import json_records
 from logmill.functions.severity import severity_rank
-from logmill.functions.text import let, sanitized, trim_space
+from logmill.functions.text import let, sanitized, sealed, trim_space
 from logmill.plans.catalog import BUILT_IN, Profile, profiles_json
 from logmill.plans.detect import best_format
 from logmill.plans.extract import EVENT, has_content, json_events, text_events
@@ -95,12 +95,14 @@ def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str =
     ``records`` is NULL for text documents. ``formats`` holds the best format id of the text, or of
     each JSON record; NULL entries matched nothing.
     """
-    return (
+    staged = (
         docs.withColumn("clean", sanitized(F.col(text)))
         .withColumn("trimmed", trim_space(F.col("clean")))
         .withColumn("records", json_records(F.col("trimmed")))
-        .withColumn("formats", compiled("formats", profiles))
     )
+    added = {"formats": compiled("formats", profiles)}
+    added = {c: F.col(c) for c in ("clean", "trimmed", "records")} | added
+    return sealed(staged, [c for c in docs.columns if c not in added], added)
 
 
 def parse(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
@@ -115,15 +117,13 @@ def parse(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "
     staged = staged.withColumn("found", compiled("found", profiles))
     staged = staged.withColumn("outcome", compiled("outcome", profiles))
     supported = F.coalesce(F.col("outcome.supported"), F.lit(False))
-    return staged.select(
-        *[c for c in docs.columns if c not in ("clean", "format_ids", "supported", "events")],
-        F.col("clean"),
-        F.col("outcome.format_ids").alias("format_ids"),
-        supported.alias("supported"),
-        F.when(supported, F.col("found"))
-        .otherwise(F.array().cast(f"array<{EVENT}>"))
-        .alias("events"),
-    )
+    added = {
+        "clean": F.col("clean"),
+        "format_ids": F.col("outcome.format_ids"),
+        "supported": supported,
+        "events": F.when(supported, F.col("found")).otherwise(F.array().cast(f"array<{EVENT}>")),
+    }
+    return sealed(staged, [c for c in docs.columns if c not in added], added)
 
 
 def format_label(format_ids: Column, supported: Column) -> Column:

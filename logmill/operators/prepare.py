@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logmill.functions.batching import MIN_BUDGET, event_batches, raw_batches
 from logmill.functions.severity import is_important
-from logmill.functions.text import let, sanitized, token_estimate
+from logmill.functions.text import let, sanitized, sealed, token_estimate
 from logmill.operators.parse import format_label, parse
 from logmill.plans.catalog import BUILT_IN, Profile
 
@@ -108,7 +108,7 @@ def prepare(
     """
     budget = F.lit(batch_chars) if isinstance(batch_chars, int) else batch_chars
     budget = F.greatest(budget.cast("int"), F.lit(MIN_BUDGET))
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "clean")]
     parsed = parse(docs.withColumn("budget", budget), profiles, text)
     staged = parsed.withColumn("groups", deduplicate(F.col("events")))
     staged = staged.withColumn("rendered", rendered(F.col("groups")))
@@ -129,27 +129,24 @@ def prepare(
         .otherwise(F.length("parsed_text"))
     )
     important = F.size(F.filter("events", lambda e: is_important(e["severity"])))
-    return staged.select(
-        *kept,
-        "clean",
-        format_label(F.col("format_ids"), supported).alias("detected_format"),
-        original.cast("bigint").alias("original_chars"),
-        F.when(supported, F.length("parsed_text")).otherwise(original).cast("bigint").alias(
-            "normalized_chars"
-        ),
-        F.when(supported, F.size("events")).otherwise(1).cast("bigint").alias("event_count"),
-        F.when(supported, important).otherwise(0).cast("bigint").alias("important_events"),
-        F.when(supported, F.size("events") - F.size("groups"))
+    columns = {
+        "clean": F.col("clean"),
+        "detected_format": format_label(F.col("format_ids"), supported),
+        "original_chars": original.cast("bigint"),
+        "normalized_chars": F.when(supported, F.length("parsed_text")).otherwise(original).cast("bigint"),
+        "event_count": F.when(supported, F.size("events")).otherwise(1).cast("bigint"),
+        "important_events": F.when(supported, important).otherwise(0).cast("bigint"),
+        "duplicate_count": F.when(supported, F.size("events") - F.size("groups"))
         .otherwise(0)
-        .cast("bigint")
-        .alias("duplicate_count"),
-        token_estimate(selected).alias("estimated_tokens"),
-        F.when(supported & ~F.col("use_raw"), "Parsed").otherwise("Raw").alias("selected_variant"),
-        batches.alias("batches"),
-        fallback.alias("raw_preview") if parity else F.col("clean").alias("raw_preview"),
-        F.when(supported, F.col("parsed_text")).otherwise(fallback).alias("parsed_preview"),
-        supported.alias("normalized"),
-    )
+        .cast("bigint"),
+        "estimated_tokens": token_estimate(selected),
+        "selected_variant": F.when(supported & ~F.col("use_raw"), "Parsed").otherwise("Raw"),
+        "batches": batches,
+        "raw_preview": fallback if parity else F.col("clean"),
+        "parsed_preview": F.when(supported, F.col("parsed_text")).otherwise(fallback),
+        "normalized": supported,
+    }
+    return sealed(staged, kept, columns)
 
 
 def summary(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
