@@ -50,56 +50,97 @@ def report_events(rendered: DataFrame, text: str, key: str = "doc_id") -> DataFr
     return staged.select(key, "e.level", "e.repeats", "e.content")
 
 
-def raw_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    rows = docs.select(key, F.explode(text_lines(F.col(text))).alias("line"))
-    return rows.select(key, trim_space_end(F.col("line")).alias("line")).filter(
-        ~is_blank(F.col("line"))
-    )
-
+def both_sides(
+    docs: DataFrame, raw: Column, rendered: Column, key: str = "doc_id"
+) -> DataFrame:
+    """Raw lines and re-read events of every document as ``(key, side, text, level, n)``.
 
-def signature_differences(raw: DataFrame, parsed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: signatures missing from, and extra in, the parsed side (as multisets)."""
-    left = raw.groupBy(key, audit_signature(F.col("line")).alias("signature")).agg(
-        F.count(F.lit(1)).alias("raw_n")
+    Both sides come out of one pass over the document's row.
+    """
+    lines = F.transform(
+        F.filter(F.transform(text_lines(raw), trim_space_end), lambda x: x != ""),
+        lambda x: F.struct(
+            F.lit("raw").alias("side"), x.alias("text"), raw_line_level(x).alias("level"),
+            F.lit(1).cast("bigint").alias("n"),
+        ),
     )
-    right = parsed.groupBy(key, audit_signature(F.col("content")).alias("signature")).agg(
-        F.sum("repeats").alias("parsed_n")
+    parsed = F.transform(
+        read_report(rendered),
+        lambda e: F.struct(
+            F.lit("parsed").alias("side"), e["content"].alias("text"), e["level"].alias("level"),
+            e["repeats"].alias("n"),
+        ),
     )
-    both = left.join(right, [key, "signature"], "full_outer").select(
-        key,
-        F.coalesce("raw_n", F.lit(0)).alias("raw_n"),
-        F.coalesce("parsed_n", F.lit(0)).alias("parsed_n"),
+    rows = docs.select(key, F.explode(F.concat(lines, parsed)).alias("r"))
+    return rows.select(key, "r.side", "r.text", "r.level", "r.n")
+
+
+def _count(side: str) -> Column:
+    return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"{side}_n")
+
+
+def _missing() -> Column:
+    return F.sum(F.greatest(F.col("raw_n") - F.col("parsed_n"), F.lit(0)))
+
+
+def _extra() -> Column:
+    return F.sum(F.greatest(F.col("parsed_n") - F.col("raw_n"), F.lit(0)))
+
+
+def signature_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: signatures missing from, and extra in, the parsed side (as multisets).
+
+    Summing both sides per signature is the full outer join of their counts in one shuffle.
+    """
+    both = sides.groupBy(key, audit_signature(F.col("text")).alias("signature")).agg(
+        _count("raw"), _count("parsed")
     )
     return both.groupBy(key).agg(
         F.sum("raw_n").alias("raw_events"),
         F.sum("parsed_n").alias("parsed_events"),
-        F.sum(F.greatest(F.col("raw_n") - F.col("parsed_n"), F.lit(0))).alias("missing_signatures"),
-        F.sum(F.greatest(F.col("parsed_n") - F.col("raw_n"), F.lit(0))).alias("extra_signatures"),
+        _missing().alias("missing_signatures"),
+        _extra().alias("extra_signatures"),
     )
 
 
-def severity_differences(raw: DataFrame, parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+def severity_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document and level: events on both sides."""
-    left = raw.groupBy(key, raw_line_level(F.col("line")).alias("level")).agg(
-        F.count(F.lit(1)).alias("raw_n")
-    )
-    right = parsed.groupBy(key, "level").agg(F.sum("repeats").alias("parsed_n"))
-    return left.join(right, [key, "level"], "full_outer").select(
-        key, "level",
-        F.coalesce("raw_n", F.lit(0)).alias("raw_n"),
-        F.coalesce("parsed_n", F.lit(0)).alias("parsed_n"),
-    )
+    return sides.groupBy(key, "level").agg(_count("raw"), _count("parsed"))
+
 
+def verdicts(sides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """OK when event count, signatures and severities agree, else REVIEW.
 
-def verdicts(raw: DataFrame, parsed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """OK when event count, signatures and severities agree, else REVIEW."""
-    signatures = signature_differences(raw, parsed, key)
-    levels = severity_differences(raw, parsed, key).groupBy(key).agg(
-        F.bool_and(F.col("raw_n") == F.col("parsed_n")).alias("severity_ok")
+    Every row counts once under its signature and once under its level, so the documents are
+    prepared only once for both comparisons.
+    """
+    keyed = sides.select(
+        key, "side", "n",
+        F.explode(
+            F.array(
+                F.struct(F.lit("signature").alias("kind"), audit_signature(F.col("text")).alias("value")),
+                F.struct(F.lit("level").alias("kind"), F.col("level").alias("value")),
+            )
+        ).alias("k"),
+    )
+    counted = keyed.groupBy(key, F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).agg(
+        _count("raw"), _count("parsed")
+    )
+    def of(kind: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+
+    missing = F.greatest(F.col("raw_n") - F.col("parsed_n"), F.lit(0))
+    extra = F.greatest(F.col("parsed_n") - F.col("raw_n"), F.lit(0))
+    rows = counted.groupBy(key).agg(
+        of("signature", F.col("raw_n")).alias("raw_events"),
+        of("signature", F.col("parsed_n")).alias("parsed_events"),
+        of("signature", missing).alias("missing_signatures"),
+        of("signature", extra).alias("extra_signatures"),
+        (of("level", missing + extra) == 0).alias("severity_ok"),
     )
     events_ok = F.col("raw_events") == F.col("parsed_events")
     signatures_ok = (F.col("missing_signatures") == 0) & (F.col("extra_signatures") == 0)
-    return signatures.join(levels, key).select(
+    return rows.select(
         key, "raw_events", "parsed_events", "missing_signatures", "extra_signatures",
         events_ok.alias("events_ok"), signatures_ok.alias("signatures_ok"), "severity_ok",
         F.when(events_ok & signatures_ok & F.col("severity_ok"), "OK").otherwise("REVIEW").alias(

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from logmill.operators.parse import outcomes, parse
 from logmill.plans.catalog import (
@@ -52,7 +53,7 @@ def read_formats(files: DataFrame) -> DataFrame:
     return rows.select("*", F.col("format.id").alias("id"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def regex_compiles(patterns: pd.Series) -> pd.Series:
     def check(pattern):
         if pattern is None:

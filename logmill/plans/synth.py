@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Row ids per document range: at most this many source rows per document.
 ID_RANGE = 65_536
 
-STYLES = ("broker", "journal", "cloud", "flow", "access", "build", "compiler", "prose")
+STYLES = (
+    "broker", "journal", "cloud", "flow", "access", "build", "compiler", "prose", "trace",
+)
 
 EVENT_COLUMNS = """
   event_id, user_id, event_type,
@@ -55,16 +57,19 @@ LINES = {
     "prose": """concat(event_type, ' happened with value ', cents,
   case when k % 4 = 0 then concat(' password=p', k, ' again password=q') else '' end)""",
 }
+LINES["trace"] = """concat('  File "app.py", line ', k, ', in ', event_type)"""
 SEPARATORS = {"broker": "concat(chr(13), chr(10))", "cloud": "concat(',', chr(10))"}
 HEADS = {
     "cloud": "'['",
     "compiler": "concat('   Compiling app v0.1.0', chr(10))",
     "build": "concat('#0 load build definition', chr(10))",
+    "trace": "concat('Traceback (most recent call last):', chr(10))",
 }
 TAILS = {
     "cloud": "']'",
     "compiler": "concat(chr(10), 'error[E0308]: last', chr(10), ' --> src/lib.rs:1:1')",
     "build": "concat(chr(10), 'ERROR: failed to solve: image')",
+    "trace": "concat(chr(10), 'ValueError: bad value')",
 }
 
 
@@ -87,7 +92,7 @@ def _dialect(engine: str) -> dict:
 def corpus_sql(engine: str, style: str = "mixed", sf_dir: str = "") -> str:
     """SELECT of ``doc_id, name, style, text`` built from the events table.
 
-    ``mixed`` gives every owner one of the eight styles.
+    ``mixed`` gives every owner one of the styles.
     """
     d = _dialect(engine)
     columns = EVENT_COLUMNS.format(k=d["k"], ts=d["ts"], rng=ID_RANGE)
@@ -100,7 +105,7 @@ def corpus_sql(engine: str, style: str = "mixed", sf_dir: str = "") -> str:
         cases = " ".join(f"when {i} then {parts.get(s, default)}" for i, s in enumerate(STYLES))
         return f"case {key} {cases} end"
 
-    number = "user_id % 8" if style == "mixed" else str(STYLES.index(style))
+    number = f"user_id % {len(STYLES)}" if style == "mixed" else str(STYLES.index(style))
     line = pick(lines, "''", "style_no")
     sep = pick(SEPARATORS, "chr(10)", "style_no")
     names = " ".join(f"when {i} then '{s}'" for i, s in enumerate(STYLES))
@@ -150,10 +155,25 @@ def order_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(order_corpus_sql("spark", sf_dir))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Prose with secrets, tabs, CR and trailing blanks put in at sentence ends.
+MARKED_TEXT = """replace(text, '. ', case doc_id % 7
+  when 0 then concat('. password=s3cret tail', chr(10))
+  when 1 then concat('. Authorization: Bearer abc.def', chr(13), chr(10), 'next ')
+  when 2 then concat('. API_KEY=k', doc_id, ' and Token=t', doc_id, chr(9), chr(10))
+  when 3 then concat('. 10.0.0.', doc_id % 250, ' a.b+c@mail.example.org  ', chr(13))
+  when 4 then concat('. 123e4567-e89b-42d3-a456-426614174000', chr(9), 'x', chr(10))
+  when 5 then '. apikey=a apikey=b token = "q" '
+  else '. ' end)"""
+
+
+def documents(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     """The prose documents, spread over the cores when they come in fewer splits."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return spread(docs)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return docs.withColumn("text", F.expr(MARKED_TEXT)) if marked else docs
+
+
+def marked_sql() -> str:
+    return f"select doc_id, {MARKED_TEXT} as text from documents"
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -60,21 +60,29 @@ def read_logs(
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
     )
-    located = files.select(plain_path(F.col("path")).alias("path"), "length", "content")
     cap = clamp_limit(limit)
-    allowed = under_roots(F.col("path"), roots) if roots else F.lit(True)
-    error = (
+    named = plain_path(F.col("path"))
+    allowed = under_roots(named, roots) if roots else F.lit(True)
+    fits = F.col("length") <= cap
+    # The length test reaches the scan: content over the limit is never read.
+    small = files.filter(fits).select(
+        named.alias("path"), "length", F.col("content").cast("string").alias("content"),
+        F.when(~allowed, "path is outside the allowed roots").alias("outside"),
+    )
+    large = files.filter(~fits).select(
+        named.alias("path"), "length", F.lit(None).cast("string").alias("text"),
         F.when(~allowed, "path is outside the allowed roots")
-        .when(F.col("length") > cap, F.concat(F.lit("file exceeds "), cap, F.lit(" bytes")))
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), "file is not valid UTF-8")
+        .otherwise(F.concat(F.lit("file exceeds "), cap, F.lit(" bytes")))
+        .alias("error"),
+    )
+    error = F.coalesce(
+        "outside", F.when(~F.is_valid_utf8("content"), "file is not valid UTF-8")
+    )
+    read = small.withColumn("error", error).select(
+        "path", "length", F.when(F.col("error").isNull(), F.col("content")).alias("text"), "error"
     )
-    checked = located.withColumn("error", error)
-    return checked.select(
-        "path",
-        file_name(F.col("path")).alias("name"),
-        "length",
-        F.when(F.col("error").isNull(), F.col("content").cast("string")).alias("text"),
-        "error",
+    return read.unionByName(large).select(
+        "path", file_name(F.col("path")).alias("name"), "length", "text", "error"
     )
 
 

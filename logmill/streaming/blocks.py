@@ -8,7 +8,9 @@ output, so results do not change after a lost executor or driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logmill.operators.lines import block_events
@@ -35,19 +37,21 @@ def assemble(
     The last block of a source stays open until a later start line, or until the newest line of
     all sources is ``timeout_seconds`` later than its own newest line.
     """
+    keep_head = profile.parser.get("include_preamble", False)
     opens = start_level(F.col("line"), profile.parser).isNotNull()
     last_start = lines.groupBy("source").agg(
         F.max(F.when(opens, F.col("line_no"))).alias("open_from"),
         F.max("event_time").alias("newest"),
     )
-    clock = Window.partitionBy()
-    aged = last_start.withColumn("now", F.max("newest").over(clock)).withColumn(
-        "expired",
-        F.lit(finish)
-        | (F.col("newest") < F.col("now") - F.make_dt_interval(secs=F.lit(timeout_seconds))),
-    )
+    now = lines.agg(F.max("event_time")).first()[0]
+    late = F.lit(finish)
+    if now is not None:
+        late = late | (F.col("newest") < F.lit(now - timedelta(seconds=timeout_seconds)))
+    aged = last_start.withColumn("expired", late)
     joined = lines.join(aged.select("source", "open_from", "expired"), "source")
-    held = ~F.col("expired") & (F.col("line_no") >= F.coalesce("open_from", F.lit(0)))
+    # lines before the first start are a preamble to wait for, or belong to no block at all
+    from_line = F.coalesce("open_from", F.lit(0)) if keep_head else F.col("open_from")
+    held = F.coalesce(~F.col("expired") & (F.col("line_no") >= from_line), F.lit(False))
     columns = ["source", "line_no", "line", "event_time"]
     closed = block_events(joined.filter(~held).select(*columns), profile, "source", size)
     return closed, joined.filter(held).select(*columns)
