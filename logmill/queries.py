@@ -963,7 +963,7 @@ def stream_audit(spark, sf_dir):
     lines = sl.measured(event_stream(spark, sf_dir), F.col("level"))
     rows = lines.select("event_id", "source", "severity", F.length("line").cast("bigint").alias("chars"))
     sl.audit_stream(rows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).json(f"{root}/out")
+    return spark.read.schema(rows.schema).json(f"{root}/out").drop("batch")
 
 
 STREAM_PROFILE = Profile(
@@ -978,14 +978,14 @@ def stream_blocks(spark, sf_dir):
     """Blocks opened by ERROR/WARN lines of a source, assembled over micro-batches."""
     root = run_folder(spark, "blocks")
     lines = event_stream(spark, sf_dir).select(
-        "source", F.col("event_id").alias("line_no"), tx.normalize_line(F.col("line")).alias("line"), "event_time"
+        F.col("source").alias("origin"), F.col("event_id").alias("line_no"), tx.normalize_line(F.col("line")).alias("line"), "event_time"
     )
     started = sb.block_stream(lines, STREAM_PROFILE, root, f"{root}/checkpoint",
                               int(timedelta(days=90).total_seconds()))
     started.awaitTermination()
     last = started.lastProgress["batchId"] if started.lastProgress else 0
     done = sb.finish_blocks(spark, root, STREAM_PROFILE, last)
-    return done.select("source", F.col("first").cast("bigint").alias("first"), "severity", "content", "fingerprint")
+    return done.select("origin", F.col("first").cast("bigint").alias("first"), "severity", "content", "fingerprint")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

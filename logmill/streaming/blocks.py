@@ -18,7 +18,7 @@ from logmill.operators.ordering import RANGE
 from logmill.plans.catalog import Profile
 from logmill.plans.extract import start_level
 
-CARRY = "source string, line_no bigint, line string, event_time timestamp"
+CARRY = "origin string, line_no bigint, line string, event_time timestamp"
 
 
 def _read_carry(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -32,14 +32,14 @@ def assemble(
     lines: DataFrame, profile: Profile, timeout_seconds: int, finish: bool = False,
     size: int = RANGE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Split lines ``(source, line_no, line, event_time)`` into closed block events and open lines.
+    """Split lines ``(origin, line_no, line, event_time)`` into closed block events and open lines.
 
     The last block of a source stays open until a later start line, or until the newest line of
     all sources is ``timeout_seconds`` later than its own newest line.
     """
     keep_head = profile.parser.get("include_preamble", False)
     opens = start_level(F.col("line"), profile.parser).isNotNull()
-    last_start = lines.groupBy("source").agg(
+    last_start = lines.groupBy("origin").agg(
         F.max(F.when(opens, F.col("line_no"))).alias("open_from"),
         F.max("event_time").alias("newest"),
     )
@@ -48,12 +48,12 @@ def assemble(
     if now is not None:
         late = late | (F.col("newest") < F.lit(now - timedelta(seconds=timeout_seconds)))
     aged = last_start.withColumn("expired", late)
-    joined = lines.join(aged.select("source", "open_from", "expired"), "source")
+    joined = lines.join(aged.select("origin", "open_from", "expired"), "origin")
     # lines before the first start are a preamble to wait for, or belong to no block at all
     from_line = F.coalesce("open_from", F.lit(0)) if keep_head else F.col("open_from")
     held = F.coalesce(~F.col("expired") & (F.col("line_no") >= from_line), F.lit(False))
-    columns = ["source", "line_no", "line", "event_time"]
-    closed = block_events(joined.filter(~held).select(*columns), profile, "source", size)
+    columns = ["origin", "line_no", "line", "event_time"]
+    closed = block_events(joined.filter(~held).select(*columns), profile, "origin", size)
     return closed, joined.filter(held).select(*columns)
 
 
@@ -66,11 +66,13 @@ def block_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         merged = _read_carry(spark, path, batch_id).unionByName(
-            batch.select("source", "line_no", "line", "event_time")
+            batch.select("origin", "line_no", "line", "event_time")
         )
+        merged.persist()
         closed, held = assemble(merged, profile, timeout_seconds, size=size)
         held.write.mode("overwrite").parquet(f"{path}/carry/batch={batch_id}")
         closed.write.mode("overwrite").parquet(f"{path}/blocks/batch={batch_id}")
+        merged.unpersist()
 
     return (
         lines.writeStream.foreachBatch(step)

@@ -14,7 +14,7 @@ from logmill.functions.text import MARKERS, PII
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import by_preference
 from logmill.plans.extract import BUILD_MARKER, NO_TIMESTAMP, OMITTED, capture_index
-from logmill.plans.synth import corpus_sql, order_corpus_sql
+from logmill.plans.synth import corpus_sql, marked_sql, order_corpus_sql
 
 W = r"[\s\x{0B}\x{85}\p{Z}]"
 NW = r"[^\s\x{0B}\x{85}\p{Z}]"
@@ -158,6 +158,8 @@ def _json_columns(profiles) -> dict[str, str]:
     specs = [(p.id, p.parser) for p in profiles if p.kind == "json_fields"]
 
     def pick(build, default="null"):
+        if not specs:
+            return "cast(null as varchar)" if default == "null" else default
         return "case fmt " + " ".join(f"when {q(i)} then {build(s)}" for i, s in specs) + f" else {default} end"
 
     def message(s):
@@ -224,7 +226,7 @@ typed as materialized (select *, case when not is_json then
 
 
 def event_ctes(profiles) -> str:
-    """-> ``events(doc_id, seq, source, severity, content, fingerprint)`` of all documents
+    """-> ``all_events(doc_id, seq, source, severity, content, fingerprint)`` of all documents
     (supported or not), and ``result(doc_id, supported, label)``."""
     by_kind = defaultdict(list)
     for p in profiles:
@@ -310,8 +312,8 @@ jk as (select *, coalesce(nullif(keys, ''), message) as key from jv),
 json_events as (select doc_id, n - 1 as seq, 'JSON item ' || n || suffix as source, severity,
     {trim(f"regexp_replace(concat_ws(' ', stamp, case when regexp_matches({trim('message')}, '^(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)') then '' else severity end, message), {q(W + '+')}, ' ', 'g')")} as content,
     case when digits then {fingerprint('key')} else key end as fingerprint from jk),
-events as materialized (select * from text_events union all select * from json_events),
-per_doc as (select doc_id, count(*) as n_events, bool_and({trim('content')} <> '') as full from events group by doc_id),
+all_events as materialized (select * from text_events union all select * from json_events),
+per_doc as (select doc_id, count(*) as n_events, bool_and({trim('content')} <> '') as full from all_events group by doc_id),
 bad as (select r.doc_id, min(r.n) as at from recs r left join json_events e on r.doc_id = e.doc_id and r.n = e.seq + 1
    where r.fmt is null or e.doc_id is null or {trim('e.content')} = '' group by r.doc_id),
 seen as (select r.doc_id, r.fmt, min(r.n) as n from recs r left join bad b using (doc_id)
@@ -323,7 +325,7 @@ result as materialized (select t.doc_id, t.is_json, coalesce(case when t.is_json
   from typed t left join per_doc p using (doc_id) left join jlabel j using (doc_id) left join bad b using (doc_id)),
 labelled as (select *, case when supported then ids when ids = '' then 'unknown -> raw'
     else ids || ' -> raw' end as detected_format from result),
-ev as materialized (select e.* from events e join result r using (doc_id) where r.supported)"""
+ev as materialized (select e.* from all_events e join result r using (doc_id) where r.supported)"""
 
 
 def group_ctes() -> str:
