@@ -45,8 +45,11 @@ def json_records(text: Column) -> Column:
 
     def by_line(t: Column) -> Column:
         def parsed(lines: Column) -> Column:
+            # the first line is tried alone, so plain text costs one failed parse at most
             values = F.when(
-                (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(JSON_START)),
+                (F.size(lines) > 1)
+                & F.forall(lines, lambda x: x.rlike(JSON_START))
+                & strict_json(F.get(lines, F.lit(0))).isNotNull(),
                 F.transform(lines, strict_json),
             )
             return let(values, lambda vs: F.when(F.forall(vs, lambda v: v.isNotNull()), vs))
@@ -57,52 +60,65 @@ def json_records(text: Column) -> Column:
     return let(text, lambda t: F.coalesce(whole(t), by_line(t)))
 
 
+def with_fields(record: Column) -> Column:
+    """``struct<value, fields>``: the record and its top-level fields, taken apart once.
+
+    The many path lookups of detectors and parsers then only search a small map.
+    """
+    return F.struct(
+        record.alias("value"), record.try_cast("map<string,variant>").alias("fields")
+    )
+
+
 def _step(key: str) -> str:
     return '["' + key + '"]' if '"' not in key else "['" + key + "']"
 
 
-def at_path(value: Column, path: str) -> Column:
-    """VARIANT at ``$.a.b``: first the literal key ``a.b``, then keys ``a`` and ``b`` in turn.
+def at_path(fields: Column, path: str) -> Column:
+    """VARIANT at ``$.a.b`` of a field map: first the literal key ``a.b``, then ``a`` and ``b``.
 
     A JSON null is a value here (not SQL NULL), so the result tells presence.
     """
     if not path.startswith("$."):
         return F.lit(None).cast("variant")
     rest = path[2:]
-    literal = F.try_variant_get(value, "$" + _step(rest), "variant")
+    literal = F.try_element_at(fields, F.lit(rest))
     if "." not in rest:
         return literal
-    nested = "$" + "".join(_step(key) for key in rest.split("."))
-    return F.coalesce(literal, F.try_variant_get(value, nested, "variant"))
+    first, *others = rest.split(".")
+    nested = F.try_variant_get(
+        F.try_element_at(fields, F.lit(first)), "$" + "".join(map(_step, others)), "variant"
+    )
+    return F.coalesce(literal, nested)
 
 
-def path_exists(value: Column, path: str) -> Column:
-    return at_path(value, path).isNotNull()
+def path_exists(fields: Column, path: str) -> Column:
+    return at_path(fields, path).isNotNull()
 
 
 def value_text(value: Column) -> Column:
     """Strings as they are, other values as compact JSON; JSON null gives SQL NULL."""
-    return F.try_variant_get(value, "$", "string")
+    return value.try_cast("string")
 
 
-def path_text(value: Column, path: str) -> Column:
-    return value_text(at_path(value, path))
+def path_text(fields: Column, path: str) -> Column:
+    return value_text(at_path(fields, path))
 
 
-def first_value(value: Column, paths: list[str]) -> Column:
+def first_value(fields: Column, paths: list[str]) -> Column:
     """First path whose text is not empty, ``null`` or ``{}``."""
     if not paths:
         return F.lit(None).cast("string")
     found = []
     for path in paths:
-        text = path_text(value, path)
-        for skipped in ("", "null", "{}"):
-            text = F.nullif(text, F.lit(skipped))
-        found.append(text)
+        text = path_text(fields, path)
+        found.append(let(text, lambda t: F.when(~t.isin("", "null", "{}"), t)))
     return F.coalesce(*found)
 
 
-def path_or_null_word(value: Column, path: str) -> Column:
+def path_or_null_word(fields: Column, path: str) -> Column:
     """Text at a path where a present JSON null reads ``null``; NULL when absent."""
-    found = at_path(value, path)
-    return F.coalesce(value_text(found), F.when(found.isNotNull(), F.lit("null")))
+    return let(
+        at_path(fields, path),
+        lambda v: F.coalesce(value_text(v), F.when(v.isNotNull(), F.lit("null"))),
+    )

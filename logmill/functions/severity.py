@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from logmill.functions.text import ascii_lower, let, trim_space, words
+from logmill.functions.text import ascii_lower, let, non_empty, trim_space, words
 
 LABELS = ("CRITICAL", "ERROR", "WARNING", "INFO", "UNKNOWN")
 IMPORTANT = ("CRITICAL", "ERROR", "WARNING")
@@ -35,11 +35,8 @@ LEADING_LEVEL = r"^(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)"
 
 
 def _lookup(level: Column, table: dict) -> Column:
-    up = F.upper(level)
-    out = F.when(up.isin(*table["CRITICAL"]), "CRITICAL")
-    for label in ("ERROR", "WARNING", "INFO"):
-        out = out.when(up.isin(*table[label]), label)
-    return out
+    pairs = [F.lit(x) for label, group in table.items() for word in group for x in (word, label)]
+    return F.try_element_at(F.create_map(*pairs), F.upper(level))
 
 
 def text_severity(level: Column, content: Column) -> Column:
@@ -134,7 +131,7 @@ RAW_LEVEL_MAP = {
 def raw_line_level(line: Column) -> Column:
     """Second, independent severity of a raw line, used only for auditing."""
     found = F.coalesce(
-        *[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in RAW_LEVELS], F.lit("")
+        *[non_empty(F.regexp_extract(line, p, 1)) for p in RAW_LEVELS], F.lit("")
     )
     by_content = F.when(line.rlike(CONTENT_RULES[0][0]), CONTENT_RULES[0][1])
     for pattern, label in CONTENT_RULES[1:3]:

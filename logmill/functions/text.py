@@ -25,6 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def non_empty(text: Column) -> Column:
+    """NULL for empty text. (``nullif`` would evaluate its argument twice.)"""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def sealed(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
     """Select ``keep`` plus computed columns behind a generator.
 
@@ -77,18 +82,38 @@ def is_blank(text: Column) -> Column:
 
 
 def lf_text(text: Column) -> Column:
-    return F.replace(
-        F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")
-    )
+    crlf, cr, line_end = F.lit("\r\n"), F.lit("\r"), F.lit("\n")
+    return F.when(
+        F.contains(text, cr), F.replace(F.replace(text, crlf, line_end), cr, line_end)
+    ).otherwise(text)
+
+
+def widen_tabs(text: Column) -> Column:
+    return F.when(
+        F.contains(text, F.lit("\t")), F.replace(text, F.lit("\t"), F.lit("    "))
+    ).otherwise(text)
 
 
 def normalize_line(line: Column) -> Column:
-    return F.replace(trim_space_end(line), F.lit("\t"), F.lit("    "))
+    return widen_tabs(trim_space_end(line))
 
 
 def normalize_newlines(text: Column) -> Column:
-    """CRLF/CR to LF, every line right-trimmed, tabs widened, no final line end."""
-    return F.array_join(F.transform(text_lines(lf_text(text)), normalize_line), "\n")
+    """CRLF/CR to LF, every line right-trimmed, tabs widened, no final line end.
+
+    ASCII text without a blank before a line end has nothing to trim and is not taken apart.
+    """
+
+    def trimmed(t: Column) -> Column:
+        blanks = " \t\x0b\x0c"
+        before_end = [F.contains(t, F.lit(b + "\n")) | F.endswith(t, F.lit(b)) for b in blanks]
+        plain = (F.octet_length(t) == F.length(t)) & ~fold(*before_end, op=lambda a, b: a | b)
+        body = F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t)
+        return F.when(plain, body).otherwise(
+            F.array_join(F.transform(text_lines(t), trim_space_end), "\n")
+        )
+
+    return let(let(lf_text(text), trimmed), widen_tabs)
 
 
 def redact(text: Column) -> Column:
@@ -195,7 +220,7 @@ def bounded_sample(text: Column, limit: int) -> Column:
 def safe_name(name: Column) -> Column:
     """File-name form: 80 characters of ``[A-Za-z0-9._-]``, ``input`` when empty."""
     cleaned = F.regexp_replace(F.left(name, F.lit(80)), r"[^A-Za-z0-9._-]", "_")
-    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("input"))
+    return F.coalesce(non_empty(cleaned), F.lit("input"))
 
 
 def first_line(text: Column, limit: int = 120) -> Column:

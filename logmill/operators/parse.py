@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmill.functions.records import json_records
+from logmill.functions.records import json_records, with_fields
 from logmill.functions.severity import severity_rank
 from logmill.functions.text import let, sanitized, sealed, trim_space
 from logmill.plans.catalog import BUILT_IN, Profile, profiles_json
@@ -26,7 +26,7 @@ def _checked(event: Column, fmt: Column, free: list[str]) -> Column:
 def _formats(profiles: list[Profile]) -> Column:
     of_text = F.array(best_format(profiles, "text", F.col("trimmed")))
     of_records = F.transform(
-        F.col("records"), lambda r: best_format(profiles, "json", F.to_json(r), r)
+        F.col("records"), lambda r: best_format(profiles, "json", F.to_json(r["value"]), r)
     )
     return F.when(F.col("records").isNull(), of_text).otherwise(of_records)
 
@@ -92,13 +92,13 @@ def compiled(part: str, profiles: Iterable[Profile]) -> Column:
 def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
     """Add ``clean`` (sanitized text), ``trimmed``, ``records`` and ``formats``.
 
-    ``records`` is NULL for text documents. ``formats`` holds the best format id of the text, or of
+    ``records`` (value and fields of each JSON record) is NULL for text documents. ``formats`` holds the best format id of the text, or of
     each JSON record; NULL entries matched nothing.
     """
     staged = (
         docs.withColumn("clean", sanitized(F.col(text)))
         .withColumn("trimmed", trim_space(F.col("clean")))
-        .withColumn("records", json_records(F.col("trimmed")))
+        .withColumn("records", F.transform(json_records(F.col("trimmed")), with_fields))
     )
     added = {"formats": compiled("formats", profiles)}
     added = {c: F.col(c) for c in ("clean", "trimmed", "records")} | added

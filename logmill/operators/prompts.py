@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmill.functions.records import at_path, path_text, strict_json
+from logmill.functions.records import strict_json
 from logmill.functions.text import let, mask_literals, text_lines, token_estimate, trim_space
 
 # Prompt wording, and the section prefixes of an answer.
@@ -233,7 +233,7 @@ def response_outcome(status: Column) -> Column:
 
 def api_error(status: Column, body: Column, secrets: list[str]) -> Column:
     """Error text with known secrets masked, 500 characters at most."""
-    message = F.coalesce(path_text(at_path(strict_json(body), "$.error"), "$.message"), body)
+    message = F.coalesce(F.try_variant_get(strict_json(body), "$.error.message", "string"), body)
     return F.concat(F.lit("HTTP "), status, F.lit(": "), mask_literals(message, secrets))
 
 

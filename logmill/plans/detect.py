@@ -77,7 +77,7 @@ def regex_condition(text: Column, pattern: str) -> Column:
 
 def condition(kind: str, value: str, text: Column, record: Column | None) -> Column:
     if kind == "path_exists":
-        return path_exists(record, value) if record is not None else F.lit(False)
+        return path_exists(record["fields"], value) if record is not None else F.lit(False)
     if kind == "regex":
         return regex_condition(text, value)
     return F.lit(False)

@@ -18,7 +18,7 @@ from logmill.functions.severity import (
     http_status, json_severity, rule_severity, starts_with_level, text_severity,
 )
 from logmill.functions.text import (
-    WS, collapse_space, fold, is_blank, let, regex, text_lines, trim_space, words,
+    WS, collapse_space, fold, is_blank, let, non_empty, regex, text_lines, trim_space, words,
 )
 from logmill.plans.catalog import Profile
 
@@ -65,7 +65,7 @@ def start_level(line: Column, parser: dict) -> Column:
     opens = F.when(line.rlike(pattern), default)
     if group is None:
         return opens
-    return F.coalesce(F.nullif(F.regexp_extract(line, pattern, group), F.lit("")), opens)
+    return F.coalesce(non_empty(F.regexp_extract(line, pattern, group)), opens)
 
 
 def _line_levels(lines: Column, parser: dict) -> Column:
@@ -232,17 +232,21 @@ def text_events(profiles: Iterable[Profile], fmt: Column, text: Column) -> Colum
 
 
 def json_event(profile: Profile, record: Column, item: Column) -> Column:
-    """The event of one JSON record under a json_fields profile."""
+    """The event of one JSON record (its field map) under a json_fields profile."""
     spec = profile.parser
     labelled = [
         F.concat(F.lit(f["label"] + "=" if f["label"] else ""), first_value(record, f["paths"]))
         for f in spec["fields"]
     ]
     message = F.concat_ws(" ", *labelled) if labelled else F.lit("")
-    raw_status = first_value(record, spec["status_paths"])
 
     def built(msg: Column) -> Column:
-        numeric = F.when(raw_status.rlike(r"^\+?[0-9]{1,18}$"), raw_status.try_cast("bigint"))
+        numeric = F.lit(None).cast("bigint")
+        if spec["status_paths"]:
+            numeric = let(
+                first_value(record, spec["status_paths"]),
+                lambda t: F.when(t.rlike(r"^\+?[0-9]{1,18}$"), t.try_cast("bigint")),
+            )
         status = F.coalesce(numeric, http_status(msg)) if spec["status_from_text"] else numeric
         level_text = F.coalesce(
             first_value(record, spec["severity_paths"]), F.lit(spec["default_severity"])
@@ -257,7 +261,7 @@ def json_event(profile: Profile, record: Column, item: Column) -> Column:
             level = F.when(starts_with_level(msg), "").otherwise(sev)
             keys = [path_or_null_word(record, p) for p in spec["fingerprint_paths"]]
             joined = F.concat_ws("|", *keys) if keys else F.lit("")
-            key = F.coalesce(F.nullif(joined, F.lit("")), msg)
+            key = F.coalesce(non_empty(joined), msg)
             return F.struct(
                 F.concat(F.lit("JSON item "), item, F.lit(spec["source_suffix"])).alias("source"),
                 sev.alias("severity"),
@@ -281,7 +285,7 @@ def json_events(profiles: Iterable[Profile], formats: Column, records: Column) -
         for p in profiles:
             if p.record_kind != "json" or p.kind != "json_fields":
                 continue
-            event = json_event(p, record, (i + 1).cast("string"))
+            event = json_event(p, record["fields"], (i + 1).cast("string"))
             out = F.when(fmt == p.id, event) if out is None else out.when(fmt == p.id, event)
         return F.lit(None).cast(EVENT) if out is None else out
 

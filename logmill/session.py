@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are costly here (regexes over whole documents), so small inputs keep their parallelism;
+    # the target stays total size / cores, so this does not make small tasks on a large corpus.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
