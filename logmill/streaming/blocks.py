@@ -3,7 +3,8 @@
 Inside a micro-batch the blocks are cut by the line-table operator, which spreads one busy source
 over many tasks. Only the lines of each source's last, still open block are carried over, in a
 written table per micro-batch; a repeated micro-batch reads the same carry and overwrites its own
-output, so results do not change after a lost executor or driver.
+output, so results do not change after a lost executor or driver. The lines of one source must
+arrive in order over micro-batches, as a tailed file delivers them.
 """
 
 from __future__ import annotations
