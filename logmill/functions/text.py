@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters with the Unicode White_Space property.
@@ -20,6 +21,17 @@ MARKERS = ("Bearer ", "api_key=", "apikey=", "password=", "token=")
 REDACTED = "[REDACTED]"
 
 
+_CACHE: dict[tuple, Column] = {}
+
+
+def cached(key: tuple, build: Callable[[], Column]) -> Column:
+    """A column that depends only on ``key``, built once per JVM (large trees take a while)."""
+    key = (*key, id(SparkContext._jvm))
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` so that ``body`` may use it many times but it is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

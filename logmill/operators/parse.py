@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logmill.functions.records import json_records, with_fields
 from logmill.functions.severity import severity_rank
-from logmill.functions.text import let, sanitized, sealed, trim_space
+from logmill.functions.text import cached, let, sanitized, sealed, trim_space
 from logmill.plans.catalog import BUILT_IN, Profile, profiles_json
 from logmill.plans.detect import best_format
 from logmill.plans.extract import EVENT, has_content, json_events, text_events
@@ -23,6 +22,10 @@ def _checked(event: Column, fmt: Column, free: list[str]) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def _records() -> Column:
+    return F.transform(json_records(F.col("trimmed")), with_fields)
+
+
 def _formats(profiles: list[Profile]) -> Column:
     of_text = F.array(best_format(profiles, "text", F.col("trimmed")))
     of_records = F.transform(
@@ -77,16 +80,12 @@ def _outcome(profiles: list[Profile]) -> Column:
 
 
 _PARTS = {"formats": _formats, "found": _found, "outcome": _outcome}
-_COMPILED: dict[tuple, Column] = {}
 
 
 def compiled(part: str, profiles: Iterable[Profile]) -> Column:
-    """The named column for a catalog, built once per catalog and JVM."""
+    """The named column for a catalog, built once per catalog."""
     profiles = list(profiles)
-    key = (part, profiles_json(profiles), id(SparkContext._jvm))
-    if key not in _COMPILED:
-        _COMPILED[key] = _PARTS[part](profiles)
-    return _COMPILED[key]
+    return cached((part, profiles_json(profiles)), lambda: _PARTS[part](profiles))
 
 
 def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str = "text") -> DataFrame:
@@ -96,9 +95,9 @@ def detect(docs: DataFrame, profiles: Iterable[Profile] = BUILT_IN, text: str =
     each JSON record; NULL entries matched nothing.
     """
     staged = (
-        docs.withColumn("clean", sanitized(F.col(text)))
+        docs.withColumn("clean", cached(("clean", text), lambda: sanitized(F.col(text))))
         .withColumn("trimmed", trim_space(F.col("clean")))
-        .withColumn("records", F.transform(json_records(F.col("trimmed")), with_fields))
+        .withColumn("records", cached(("records",), _records))
     )
     added = {"formats": compiled("formats", profiles)}
     added = {c: F.col(c) for c in ("clean", "trimmed", "records")} | added

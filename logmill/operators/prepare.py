@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logmill.functions.batching import MIN_BUDGET, event_batches, raw_batches
 from logmill.functions.severity import is_important
-from logmill.functions.text import let, sanitized, sealed, token_estimate
+from logmill.functions.text import cached, let, sealed, token_estimate
 from logmill.operators.parse import format_label, parse
 from logmill.plans.catalog import BUILT_IN, Profile
 
@@ -94,6 +94,13 @@ def event_groups(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _batches() -> Column:
+    budget = F.col("budget")
+    return F.when(
+        F.col("raw_text").isNotNull(), raw_batches(F.col("raw_text"), budget)
+    ).otherwise(event_batches(F.col("rendered"), budget))
+
+
 def prepare(
     docs: DataFrame,
     batch_chars: Column | int = 12_000,
@@ -110,19 +117,20 @@ def prepare(
     budget = F.greatest(budget.cast("int"), F.lit(MIN_BUDGET))
     kept = [c for c in docs.columns if c not in (text, "clean")]
     parsed = parse(docs.withColumn("budget", budget), profiles, text)
-    staged = parsed.withColumn("groups", deduplicate(F.col("events")))
-    staged = staged.withColumn("rendered", rendered(F.col("groups")))
+    staged = parsed.withColumn("groups", cached(("groups",), lambda: deduplicate(F.col("events"))))
+    staged = staged.withColumn("rendered", cached(("rendered",), lambda: rendered(F.col("groups"))))
     staged = staged.withColumn("parsed_text", F.array_join("rendered", "\n\n"))
     supported = F.col("supported")
-    fallback = F.col(text) if parity else F.col("clean")
+    fallback_name = text if parity else "clean"
+    fallback = F.col(fallback_name)
     use_raw = supported & (F.length("clean") < F.length("parsed_text"))
     staged = staged.withColumn("use_raw", use_raw)
-    original = F.length(text)
-    batches = (
-        F.when(~supported, raw_batches(fallback, F.col("budget")))
-        .when(F.col("use_raw"), raw_batches(F.col("clean"), F.col("budget")))
-        .otherwise(event_batches(F.col("rendered"), F.col("budget")))
+    # the one text to cut into raw batches: unknown documents or those where raw is smaller
+    staged = staged.withColumn(
+        "raw_text", F.when(~supported, fallback).when(F.col("use_raw"), F.col("clean"))
     )
+    original = F.length(text)
+    batches = cached(("batches",), _batches)
     selected = (
         F.when(~supported, original)
         .when(F.col("use_raw"), F.length("clean"))
@@ -177,7 +185,7 @@ def prepare_raw(
     limit = F.lit(char_budget) if isinstance(char_budget, int) else char_budget
     kept = [c for c in docs.columns if c != text]
     parsed = parse(docs.withColumn("char_limit", limit), profiles, text)
-    staged = parsed.withColumn("groups", deduplicate(F.col("events")))
+    staged = parsed.withColumn("groups", cached(("groups",), lambda: deduplicate(F.col("events"))))
     size = F.length(text)
     fits = size <= F.col("char_limit")
     raw = F.col(text) if parity else F.col("clean")
@@ -211,5 +219,5 @@ def preview(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
 
 __all__ = [
     "batch_rows", "deduplicate", "event_groups", "prepare", "prepare_raw", "preview",
-    "reduction_percent", "render_event", "rendered", "sanitized", "summary",
+    "reduction_percent", "render_event", "rendered", "summary",
 ]

@@ -141,7 +141,8 @@ def request_responses(spark, sf_dir):
 def audit_log(spark, sf_dir):
     """Audit rows appended as JSON lines and read back."""
     path = run_folder(spark, "audit")
-    sinks.write_audit(requests.audit_rows(requests.respond(request_table(spark, sf_dir))), path)
+    answered = sinks.write_responses(requests.respond(request_table(spark, sf_dir)), f"{path}-responses")
+    sinks.write_audit(requests.audit_rows(answered), path)
     schema = (
         "timestamp string, request_id string, client string, tool string, input_name string, "
         "detected_format string, status string, raw_chars bigint, parsed_chars bigint, "
@@ -477,9 +478,10 @@ def announcements(spark, sf_dir):
 
 @query
 def synthesis_prompts(spark, sf_dir):
-    """Reduce prompts over assistant answers, in turn order."""
+    """Reduce prompts over assistant answers in turn order, one per bounded range of turns."""
+    part = F.col("conv_id") * 1_000_000 + F.floor(F.col("turn") / 4_096)
     findings = chats(spark, sf_dir).filter("role = 'assistant'").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("batch_index"),
+        part.alias("doc_id"), F.col("turn").alias("batch_index"),
         F.col("text").alias("finding"),
     )
     return prompts.synthesis_prompts(findings)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from logmill.functions.text import safe_name
 from logmill.operators.corpus import review
-from logmill.operators.prepare import summary
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
@@ -61,11 +60,17 @@ def report_text(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def write_review(prepared: DataFrame, path: str, key: str = "doc_id") -> None:
     """Summary table and per-file reports."""
-    lines = summary(prepared, key).join(prepared.select(key, "name"), key)
-    review(lines).write.mode("overwrite").json(f"{path}/summary")
+    counted = prepared.withColumn("batch_count", F.size("batches").cast("bigint"))
+    review(counted).write.mode("overwrite").json(f"{path}/summary")
     report_text(prepared, key).write.mode("overwrite").parquet(f"{path}/reports")
 
 
+def write_responses(responses: DataFrame, path: str) -> DataFrame:
+    """Write responses once; audit rows, artifacts and answers are then read from the table."""
+    responses.write.mode("append").parquet(path)
+    return responses.sparkSession.read.schema(responses.schema).parquet(path)
+
+
 def draft_envelopes(drafts: DataFrame) -> DataFrame:
     """JSON envelope of every validated draft answer."""
     envelope = F.struct(

@@ -267,8 +267,8 @@ from batches b join summary s using (doc_id)"""
 ORACLES["announcements"] = PREP + """
 select doc_id, 'Analyze log-' || doc_id || '.log: ' || event_count || ' events, ' || duplicate_count || ' duplicates removed, ' || batch_count || ' batches.' as message from summary"""
 ORACLES["synthesis_prompts"] = f"""
-select conv_id as doc_id, {q(SYNTHESIS)} || string_agg(text, {NL}||{NL} order by turn) as prompt
-from conversations where role = 'assistant' group by conv_id"""
+select conv_id * 1000000 + turn // 4096 as doc_id, {q(SYNTHESIS)} || string_agg(text, {NL}||{NL} order by turn) as prompt
+from conversations where role = 'assistant' group by all"""
 ORACLES["request_costs"] = f"""
 select conv_id, turn, round(case when turn % 3 > 0 or turn % 2 > 0 then {o.tokens('len(text)')} * ((turn % 3) * 0.5::double) / 1000000.0::double
    + 1500 * ((turn % 2) * 2.0::double) / 1000000.0::double end, 9) as max_cost,
