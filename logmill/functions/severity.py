@@ -52,7 +52,9 @@ def level_word_severity(level: Column) -> Column:
     return F.coalesce(_lookup(level, JSON_LEVELS), F.lit("UNKNOWN"))
 
 
-def json_severity(level: Column, status: Column, nonzero_is_error: bool, message: Column) -> Column:
+def json_severity(
+    level: Column, status: Column, nonzero_is_error: Column, message: Column
+) -> Column:
     """Status first, then the level value, then words of the message."""
 
     def from_message(lower: Column) -> Column:
@@ -70,9 +72,11 @@ def json_severity(level: Column, status: Column, nonzero_is_error: bool, message
             .otherwise("UNKNOWN")
         )
 
-    by_status = F.when(status >= 500, "CRITICAL").when(status >= 400, "ERROR")
-    if nonzero_is_error:
-        by_status = F.when(status != 0, "ERROR")
+    by_status = (
+        F.when(nonzero_is_error & (status != 0), "ERROR")
+        .when(status >= 500, "CRITICAL")
+        .when(status >= 400, "ERROR")
+    )
     return F.coalesce(
         by_status,
         _lookup(level, JSON_LEVELS),

@@ -231,63 +231,90 @@ def text_events(profiles: Iterable[Profile], fmt: Column, text: Column) -> Colum
     return F.transform(let(text_lines(text), cut), _finish)
 
 
-def json_event(profile: Profile, record: Column, item: Column) -> Column:
-    """The event of one JSON record (its field map) under a json_fields profile."""
+class FieldReader:
+    """Path lookups in one record's field map; equal lookups share one column."""
+
+    def __init__(self, fields: Column):
+        self.fields = fields
+        self.found: dict[tuple, Column] = {}
+
+    def first(self, paths: list[str]) -> Column:
+        key = ("first", *paths)
+        if key not in self.found:
+            self.found[key] = first_value(self.fields, paths)
+        return self.found[key]
+
+    def key_part(self, path: str) -> Column:
+        key = ("key", path)
+        if key not in self.found:
+            self.found[key] = path_or_null_word(self.fields, path)
+        return self.found[key]
+
+
+def json_parts(profile: Profile, read: FieldReader) -> Column:
+    """What a json_fields profile takes from a record, before severity and rendering."""
     spec = profile.parser
     labelled = [
-        F.concat(F.lit(f["label"] + "=" if f["label"] else ""), first_value(record, f["paths"]))
+        F.concat(F.lit(f["label"] + "="), read.first(f["paths"])) if f["label"] else read.first(f["paths"])
         for f in spec["fields"]
     ]
-    message = F.concat_ws(" ", *labelled) if labelled else F.lit("")
-
-    def built(msg: Column) -> Column:
-        numeric = F.lit(None).cast("bigint")
-        if spec["status_paths"]:
-            numeric = let(
-                first_value(record, spec["status_paths"]),
-                lambda t: F.when(t.rlike(r"^\+?[0-9]{1,18}$"), t.try_cast("bigint")),
-            )
-        status = F.coalesce(numeric, http_status(msg)) if spec["status_from_text"] else numeric
-        level_text = F.coalesce(
-            first_value(record, spec["severity_paths"]), F.lit(spec["default_severity"])
-        )
-        severity = let(
-            status,
-            lambda s: json_severity(level_text, s, spec["nonzero_status_is_error"], msg),
-        )
-        stamp = F.coalesce(first_value(record, spec["timestamp_paths"]), F.lit(NO_TIMESTAMP))
+    keys = [read.key_part(path) for path in spec["fingerprint_paths"]]
+    return F.struct(
+        F.coalesce(read.first(spec["timestamp_paths"]), F.lit(NO_TIMESTAMP)).alias("stamp"),
+        F.coalesce(read.first(spec["severity_paths"]), F.lit(spec["default_severity"])).alias("level"),
+        read.first(spec["status_paths"]).alias("status"),
+        F.lit(spec["nonzero_status_is_error"]).alias("nonzero"),
+        F.lit(spec["status_from_text"]).alias("from_text"),
+        F.concat_ws(" ", *labelled).alias("message"),
+        F.concat_ws("|", *keys).alias("keys"),
+        F.lit(spec["normalize_fingerprint_digits"]).alias("digits"),
+        F.lit(spec["source_suffix"]).alias("suffix"),
+    )
 
-        def event(sev: Column) -> Column:
-            level = F.when(starts_with_level(msg), "").otherwise(sev)
-            keys = [path_or_null_word(record, p) for p in spec["fingerprint_paths"]]
-            joined = F.concat_ws("|", *keys) if keys else F.lit("")
-            key = F.coalesce(non_empty(joined), msg)
-            return F.struct(
-                F.concat(F.lit("JSON item "), item, F.lit(spec["source_suffix"])).alias("source"),
-                sev.alias("severity"),
-                collapse_space(F.concat_ws(" ", stamp, level, msg)).alias("content"),
-                (fingerprint(key) if spec["normalize_fingerprint_digits"] else key).alias(
-                    "fingerprint"
-                ),
-            )
 
-        return let(severity, event)
+def json_event(parts: Column, item: Column) -> Column:
+    """The event of the parts taken from record number ``item``."""
+    message = parts["message"]
+    numeric = F.when(
+        parts["status"].rlike(r"^\+?[0-9]{1,18}$"), parts["status"].try_cast("bigint")
+    )
+    status = F.coalesce(numeric, F.when(parts["from_text"], http_status(message)))
+    severity = let(status, lambda s: json_severity(parts["level"], s, parts["nonzero"], message))
+    key = F.coalesce(non_empty(parts["keys"]), message)
+
+    def event(sev: Column) -> Column:
+        level = F.when(starts_with_level(message), "").otherwise(sev)
+        return F.struct(
+            F.concat(F.lit("JSON item "), item, parts["suffix"]).alias("source"),
+            sev.alias("severity"),
+            collapse_space(F.concat_ws(" ", parts["stamp"], level, message)).alias("content"),
+            let(key, lambda k: F.when(parts["digits"], fingerprint(k)).otherwise(k)).alias(
+                "fingerprint"
+            ),
+        )
 
-    return let(message, built)
+    return let(severity, event)
 
 
 def json_events(profiles: Iterable[Profile], formats: Column, records: Column) -> Column:
     """Events of JSON records, given the format id of every record."""
+    usable = [p for p in profiles if p.record_kind == "json" and p.kind == "json_fields"]
 
     def one(record: Column, i: Column) -> Column:
-        fmt = F.get(formats, i)
-        out = None
-        for p in profiles:
-            if p.record_kind != "json" or p.kind != "json_fields":
-                continue
-            event = json_event(p, record["fields"], (i + 1).cast("string"))
-            out = F.when(fmt == p.id, event) if out is None else out.when(fmt == p.id, event)
-        return F.lit(None).cast(EVENT) if out is None else out
+        if not usable:
+            return F.lit(None).cast(EVENT)
+        read = FieldReader(record["fields"])
+
+        def parts(fmt: Column) -> Column:
+            out = None
+            for p in usable:
+                taken = json_parts(p, read)
+                out = F.when(fmt == p.id, taken) if out is None else out.when(fmt == p.id, taken)
+            return out
+
+        taken = let(F.get(formats, i), parts)
+        number = (i + 1).cast("string")
+        return let(taken, lambda t: F.when(t.isNotNull(), json_event(t, number)))
 
     return F.transform(records, one)
 
