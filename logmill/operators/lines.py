@@ -80,26 +80,30 @@ def block_events(
     )
 
 
-def context_lines(lines: DataFrame, key: str = "doc_id", size: int = RANGE) -> DataFrame:
+def context_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines within two of an error word, with a flag where skipped lines precede.
 
-    Each hit is copied to its neighbours' line numbers, so ranges and tasks need not align.
+    Each hit marks the line numbers it keeps and those right after a kept line; marks are merged
+    per line and joined by line, so no document has to sit in one task.
     """
-    hits = lines.filter(F.col("line").rlike(BUILD_MARKER)).select(
-        key,
-        F.explode(
-            F.sequence(F.col("line_no") - CONTEXT_LINES, F.col("line_no") + CONTEXT_LINES)
-        ).alias("line_no"),
+    reach = range(-CONTEXT_LINES, CONTEXT_LINES + 2)
+    marks = F.array(
+        *[
+            F.struct(
+                (F.col("line_no") + d).alias("line_no"),
+                F.lit(d <= CONTEXT_LINES).alias("kept"),
+                F.lit(d > -CONTEXT_LINES).alias("led"),
+            )
+            for d in reach
+        ]
     )
-    near = hits.distinct()
-    kept = lines.join(near, [key, "line_no"], "left_semi")
-    before = near.select(key, (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("led"))
-    flagged = kept.join(before, [key, "line_no"], "left")
-    return flagged.select(
-        key,
-        "line_no",
-        "line",
-        ((F.col("line_no") > 1) & F.col("led").isNull()).alias("gap_before"),
+    hits = lines.filter(F.col("line").rlike(BUILD_MARKER)).select(key, F.explode(marks).alias("m"))
+    near = hits.groupBy(key, F.col("m.line_no").alias("line_no")).agg(
+        F.max("m.kept").alias("kept"), F.max("m.led").alias("led")
+    )
+    kept = lines.join(near.filter("kept"), [key, "line_no"])
+    return kept.select(
+        key, "line_no", "line", ((F.col("line_no") > 1) & ~F.col("led")).alias("gap_before")
     )
 
 
