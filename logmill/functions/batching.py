@@ -63,11 +63,11 @@ def greedy_batches(pieces: Column, budget: Column, sep: str) -> Column:
 
             return F.transform(starts, one)
 
-        return let(_starts(lengths, budget, len(sep)), slices)
+        return F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(
+            let(_starts(lengths, budget, len(sep)), slices)
+        )
 
-    return F.when(F.size(pieces) == 0, F.array().cast("array<string>")).otherwise(
-        let(pieces, cut)
-    )
+    return let(pieces, cut)
 
 
 def event_batches(rendered: Column, budget: Column) -> Column:
@@ -78,30 +78,29 @@ def event_batches(rendered: Column, budget: Column) -> Column:
 def raw_batches(text: Column, budget: Column) -> Column:
     """Batches of raw text by lines (line ends kept); longer lines are cut at the budget."""
 
-    def pieces(t: Column) -> Column:
-        ended = F.endswith(t, F.lit("\n"))
-        lines = F.split(F.when(ended, F.left(t, F.length(t) - 1)).otherwise(t), "\n")
+    chunk = F.concat(F.lit("(?s).{1,"), budget.cast("string"), F.lit("}"))
+
+    def cut_long(kept: Column) -> Column:
+        def cut(line: Column) -> Column:
+            return F.when(
+                F.length(line) > budget, F.regexp_extract_all(line, chunk, F.lit(0))
+            ).otherwise(F.array(line))
+
+        return F.when(
+            F.exists(kept, lambda x: F.length(x) > budget), F.flatten(F.transform(kept, cut))
+        ).otherwise(kept)
+
+    def with_ends(lines: Column, ended: Column) -> Column:
         last = F.size(lines) - 1
-        kept = F.transform(
-            lines,
-            lambda x, i: F.when((i < last) | ended, F.concat(x, F.lit("\n"))).otherwise(x),
-        )
-        chunk = F.concat(F.lit("(?s).{1,"), budget.cast("string"), F.lit("}"))
-        return let(
-            kept,
-            lambda k: F.when(
-                F.exists(k, lambda x: F.length(x) > budget),
-                F.flatten(
-                    F.transform(
-                        k,
-                        lambda x: F.when(
-                            F.length(x) > budget, F.regexp_extract_all(x, chunk, F.lit(0))
-                        ).otherwise(F.array(x)),
-                    )
-                ),
-            ).otherwise(k),
+        return F.transform(
+            lines, lambda x, i: F.when((i < last) | ended, F.concat(x, F.lit("\n"))).otherwise(x)
         )
 
+    def pieces(t: Column) -> Column:
+        ended = F.endswith(t, F.lit("\n"))
+        body = F.when(ended, F.left(t, F.length(t) - 1)).otherwise(t)
+        return let(let(F.split(body, "\n"), lambda ls: with_ends(ls, ended)), cut_long)
+
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
         let(text, lambda t: greedy_batches(pieces(t), budget, ""))
     )

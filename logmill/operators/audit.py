@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logmill.functions.fingerprint import audit_signature
 from logmill.functions.severity import raw_line_level
-from logmill.functions.text import is_blank, mask_pii, text_lines, trim_space_end
+from logmill.functions.text import is_blank, let, mask_pii, text_lines, trim_space_end
 
 # The event header of a rendered report and the words of a priority line.
 HEADER = (
@@ -28,21 +28,25 @@ def parsed_section(report: Column) -> Column:
 def read_report(rendered: Column) -> Column:
     """Rendered text back to ``array<struct<level, repeats, content>>``."""
     mark = "\u001e"
-    cut = F.split(F.regexp_replace(rendered, "(?m)" + HEADER, f"{mark}$1{mark}$2{mark}"), mark)
-    count = F.floor((F.size(cut) - 1) / 3).cast("int")
-    indexes = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+    parts = F.split(F.regexp_replace(rendered, "(?m)" + HEADER, f"{mark}$1{mark}$2{mark}"), mark)
 
-    def one(i: Column) -> Column:
-        repeats = F.nullif(F.get(cut, i * 3 + 2), F.lit(""))
-        return F.struct(
-            F.get(cut, i * 3 + 1).alias("level"),
-            F.coalesce(repeats.cast("bigint"), F.lit(1)).alias("repeats"),
-            trim_space_end(F.get(cut, i * 3 + 3)).alias("content"),
+    def events(cut: Column) -> Column:
+        count = F.floor((F.size(cut) - 1) / 3).cast("int")
+        indexes = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
+            F.array().cast("array<int>")
         )
 
-    return F.transform(indexes, one)
+        def one(i: Column) -> Column:
+            repeats = F.get(cut, i * 3 + 2).try_cast("bigint")
+            return F.struct(
+                F.get(cut, i * 3 + 1).alias("level"),
+                F.coalesce(repeats, F.lit(1)).alias("repeats"),
+                trim_space_end(F.get(cut, i * 3 + 3)).alias("content"),
+            )
+
+        return F.transform(indexes, one)
+
+    return let(parts, events)
 
 
 def report_events(rendered: DataFrame, text: str, key: str = "doc_id") -> DataFrame:

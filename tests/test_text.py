@@ -203,3 +203,20 @@ def test_batches_respect_budget(docs):
     sizes = [len(r.content) for r in batch_rows(prepared).collect()]
     assert sizes and max(sizes) <= 3_000
     assert summary(prepared).first().batch_count == len(sizes)
+
+
+def test_large_documents_stay_linear(docs):
+    prose = "\n".join("word " * (i % 30) for i in range(40_000))
+    log = "\n".join(f"03-17 16:13:38.811  1  2 E Tag: {'xy'[i % 2] * (i % 400)}{i % 3 * 'z'}" for i in range(20_000))
+    got = {r.doc_id: r for r in prepare(docs(prose, log), 3_000).collect()}
+    clean = plain_normalize(prose)
+    assert got[0].batches == plain_raw_batches(clean, 3_000)
+    assert got[1].event_count == 20_000 and "".join(got[1].batches)
+    lines = log.split("\n")
+    kinds = {fp_text(x) for x in lines}
+    assert got[1].duplicate_count == 20_000 - len(kinds)
+
+
+def fp_text(text):
+    import re
+    return re.sub("[0-9]+", "#", text.lower())
