@@ -116,9 +116,9 @@ def test_strict_json(spark):
 
 
 def plain_raw_batches(text, budget):
-    out, cur = [], ""
-    for i, line in enumerate(lines_of(text)):
-        last = i == len(lines_of(text)) - 1
+    out, cur, lines = [], "", lines_of(text)
+    for i, line in enumerate(lines):
+        last = i == len(lines) - 1
         line += "" if last and not text.endswith("\n") else "\n"
         if cur and len(cur) + len(line) > budget:
             out.append(cur)
