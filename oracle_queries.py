@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import oracles as o
 from logmill.functions.severity import JSON_LEVELS
-from logmill.functions.text import PII
+
 from logmill.operators.audit import PRIORITY
 from logmill.operators.prompts import INSTRUCTION, SYNTHESIS
 from logmill.plans.catalog import BUILT_IN
@@ -453,5 +453,3 @@ c as (select *, count(nullif(lev, '')) over (partition by source order by event_
 d as (select source as origin, blk, min(event_id) - 1 as first, max(lev) as lev, string_agg(plain, {NL} order by event_id) as content
   from c where blk > 0 group by source, blk)
 select origin, first, {o.text_severity('lev', 'content')} as severity, content, {o.fingerprint('content')} as fingerprint from d"""
-
-_ = PII

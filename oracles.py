@@ -6,7 +6,6 @@ line tables, window functions, joins and recursive queries over the given tables
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 from logmill.functions.severity import CONTENT_RULES, JSON_LEVELS, RAW_LEVEL_MAP, RAW_LEVELS, TEXT_LEVELS
@@ -403,7 +402,3 @@ summary as (select c.doc_id, c.detected_format, len(c.text) as original_chars,
     coalesce(b.n, 0) as batch_count, c.supported as normalized
   from choice c left join counts n using (doc_id)
   left join (select doc_id, count(*) as n from batches group by doc_id) b using (doc_id))"""
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]
-_ = (re, order_corpus_sql)

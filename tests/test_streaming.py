@@ -2,7 +2,6 @@ import json
 import os
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from logmill.operators.lines import block_events
 from logmill.queries import STREAM_PROFILE
@@ -107,4 +106,3 @@ def test_text_ingest_and_audit_folders(spark, tmp_path):
     assert got == [("x.log", "WARN c", "WARNING"), ("x.log", "password=[REDACTED] b", "UNKNOWN")]
     sl.audit_stream(rows, f"{root}/audit", f"{root}/c").awaitTermination()
     assert spark.read.json(f"{root}/audit").count() == 2
-    assert F is not None
