@@ -3,14 +3,15 @@
 Documents with equal sets form a class; all work is on classes. Candidates share a bucket. Two rounds
 keep the pairs few without losing a link:
 
-1. In each bucket every class is paired with the bucket's smallest class, never all with all. Verified
-   pairs are joined to components.
+1. In each bucket every class is paired with the bucket's most central class, never all with all.
+   Verified pairs are joined to components.
 2. Two classes of a bucket that are still in different components are paired, if the sizes and 1,024-bit
    marks of their sets leave the needed overlap possible. Pairs within a component need no test: they
    cannot change it. So a large group of near copies costs its size and not the square of it.
 
-Verification intersects the whole sets. Sets are made again from the texts for candidate classes only;
-a bit table of fixed size (``FILTER_BITS``) tells workers which, its false hits cost time only.
+Verification intersects the whole sets. Sets are made again from the texts, for the classes of possible
+pairs only; a bit table of fixed size (``FILTER_BITS``) tells workers which, its false hits cost time
+only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from logmill.llm.common import batched, columns_of, per_batch, stored
 from logmill.llm.shingles import mixed, shingle_sets
 
 MARK_WORDS = 16
+MARKS = [f"m{k}" for k in range(MARK_WORDS)]
 FILTER_BITS = 25
+SALTS = 8
 ROWS = "doc_id bigint, n bigint, cls bigint, marks array<bigint>, keys array<bigint>"
 
 
@@ -49,7 +52,7 @@ def _possible(percent: int) -> Column:
     sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
 
     def lacking(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}.marks")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}.marks")[k]))) for k in range(MARK_WORDS)), F.lit(0))
+        return sum((F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}")))) for m in MARKS), F.lit(0))
 
     overlap = F.least(n - lacking("a", "b"), m - lacking("b", "a"))
     return sizes & ((100 + percent) * overlap >= percent * (n + m))
@@ -103,8 +106,9 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return stored(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("grams").alias("grams")), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(texts: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
+    sets = _sets(texts, width, stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("cls"), "wanted"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -123,6 +127,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(joined.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, cls, label) of the buckets whose classes are not all in one component."""
+    joined = postings.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
+        "bucket", "cls", F.coalesce("label", "cls").alias("label")
+    )
+    split = joined.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    return joined.join(split, "bucket", "left_semi")
+
+
+def _rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a bucket and may reach the similarity.
+
+    One side is dealt by salt, the other goes to every salt, so a bucket is worked through by many tasks."""
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = rest.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).repartition(parts, "bucket", "salt")
+    b = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, "bucket", "salt")
+    meet = F.expr("a.bucket = b.bucket and a.salt = b.salt and a.cls < b.cls and a.label <> b.label")
+    return a.alias("a").join(b.alias("b"), meet & _possible(percent)).select(
+        F.col("a.cls").alias("a"), F.col("b.cls").alias("b")
+    ).distinct()
+
+
+def _stars(postings: DataFrame, info: DataFrame) -> DataFrame:
+    """(a, b): each class of a bucket with the bucket's most central one.
+
+    The class that shares most of its keys is the likeliest original of a group of copies. It is found
+    by one number (shared keys, then some bits of the class), so that partial sums stay in hash tables."""
+    ranked = postings.join(
+        info.select("cls", F.expr("(least(degree, 8388607) << 40) | (cls & 1099511627775)").alias("rank")), "cls"
+    )
+    top = ranked.groupBy("bucket").agg(F.max("rank").alias("rank"))
+    lead = ranked.join(top, ["bucket", "rank"]).select("bucket", F.col("cls").alias("lead"))
+    return (
+        postings.join(lead, "bucket").filter("cls <> lead")
+        .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    )
+
+
+def _possible_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    a, b = (info.select(F.col("cls").alias(c), F.struct("cls", "n", *MARKS).alias(f"{c}_")) for c in "ab")
+    return (
+        pairs.join(a, "a").join(b, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+        .filter(_possible(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+    )
+
+
 def grouped(docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """doc_id, n_shingles, component_id, cls and label (both null for an empty set) of every document;
     ``keyed`` makes ``ROWS`` of (doc_id, text)."""
@@ -132,39 +182,19 @@ def grouped(docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.Recor
     held = rows.filter("n > 0")
     first = held.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
     postings = held.select(F.explode("keys").alias("bucket"), "cls")
-    shared = (
-        postings.groupBy("bucket").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("bucket", "a")
-    )
-    postings = stored(postings.join(shared, "bucket").select("bucket", "a", "cls").distinct(), "postings")
-    wanted = stored(postings.select("cls").distinct(), "candidates")
-    sets = _sets(texts, width, wanted)
+    shared = postings.groupBy("bucket").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("bucket")
+    postings = stored(postings.join(shared, "bucket", "left_semi").distinct(), "postings")
+    degree = postings.groupBy("cls").agg(F.count("*").alias("degree"))
     info = stored(
-        held.select("cls", "n", "marks").join(wanted, "cls", "left_semi").groupBy("cls")
-        .agg(F.any_value("n").alias("n"), F.any_value("marks").alias("marks")), "candidates"
-    )
-
-    stars = postings.filter("a < cls").select("a", F.col("cls").alias("b")).distinct()
-    ends = [info.select(F.col("cls").alias(c), F.struct("n", "marks").alias(f"{c}_")) for c in "ab"]
-    stars = stored(
-        stars.join(ends[0], "a").join(ends[1], "b")
-        .select(F.struct(F.col("a").alias("cls"), "a_.*").alias("a"), F.struct(F.col("b").alias("cls"), "b_.*").alias("b"))
-        .filter(_possible(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")), "pairs",
-    )
-    links = _verified(stars, sets, percent)
-    labels = components(links)
-
-    joined = postings.select("bucket", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
-        "bucket", "cls", F.coalesce("label", "cls").alias("label")
-    )
-    open_ = joined.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    rest = stored(joined.join(open_, "bucket", "left_semi").join(info, "cls"), "open")
-    pairs = (
-        rest.alias("a").join(rest.alias("b"), F.expr("a.bucket = b.bucket and a.cls < b.cls and a.label <> b.label") & _possible(percent))
-        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        held.select("cls", "n", "marks").join(degree, "cls").groupBy("cls")
+        .agg(*(F.any_value(c).alias(c) for c in ("n", "marks", "degree")))
+        .select("cls", "n", "degree", *(F.col("marks")[k].alias(m) for k, m in enumerate(MARKS))), "candidates",
     )
-    links = links.union(_verified(stored(pairs, "pairs"), sets, percent))
-    labels = components(links)
+    stars = stored(_possible_pairs(_stars(postings, info), info, percent), "pairs")
+    links = _verified(texts, width, stars, percent)
+    rest = _open(postings, components(links)).join(info.drop("degree"), "cls")
+    pairs = stored(_rest_pairs(stored(rest, "open"), percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    labels = components(links.union(_verified(texts, width, pairs, percent)))
 
     named = first.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
         "cls", "doc_id", F.coalesce("label", "cls").alias("label")
