@@ -6,7 +6,7 @@ keep the pairs few without losing a link:
 1. In each bucket every class is paired with the bucket's most central class, never all with all.
    Verified pairs are joined to components.
 2. Two classes of a bucket that are still in different components are paired, if the sizes and 1,024-bit
-   marks of their sets leave the needed overlap possible. Pairs within a component need no test: they
+   marks of their sets and the number of buckets they share leave the needed overlap possible. Pairs within a component need no test: they
    cannot change it. So a large group of near copies costs its size and not the square of it.
 
 Verification intersects the whole sets. Sets are made again from the texts, for the classes of possible
@@ -28,7 +28,8 @@ from logmill.llm.shingles import mixed, shingle_sets
 MARK_WORDS = 16
 MARKS = [f"m{k}" for k in range(MARK_WORDS)]
 FILTER_BITS = 25
-SALTS = 8
+#: Rows of a bucket for each salt.
+SALTED = 128
 ROWS = "doc_id bigint, n bigint, cls bigint, marks array<bigint>, keys array<bigint>"
 
 
@@ -128,29 +129,41 @@ def _verified(texts: DataFrame, width: int, pairs: DataFrame, percent: int) -> D
 
 
 def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, cls, label) of the buckets whose classes are not all in one component."""
+    """(bucket, cls, label, size) of the buckets whose classes are not all in one component."""
     joined = postings.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
         "bucket", "cls", F.coalesce("label", "cls").alias("label")
     )
-    split = joined.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    return joined.join(split, "bucket", "left_semi")
+    split = joined.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    return joined.join(split.filter("lo < hi").select("bucket", "size"), "bucket")
 
 
 def _rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a bucket and may reach the similarity.
+    """(a, b, common buckets) of different components that share a bucket and may reach the similarity.
 
-    One side is dealt by salt, the other goes to every salt, so a bucket is worked through by many tasks."""
+    In a large bucket one side is dealt by salt and the other goes to every salt, so many tasks share it."""
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = rest.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).repartition(parts, "bucket", "salt")
-    b = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(parts, "bucket", "salt")
+    salts = F.floor(F.col("size") / SALTED) + 1
+    a = rest.withColumn("salt", F.pmod(F.xxhash64("cls"), salts)).repartition(parts, "bucket", "salt")
+    b = rest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).repartition(parts, "bucket", "salt")
     meet = F.expr("a.bucket = b.bucket and a.salt = b.salt and a.cls < b.cls and a.label <> b.label")
-    return a.alias("a").join(b.alias("b"), meet & _possible(percent)).select(
-        F.col("a.cls").alias("a"), F.col("b.cls").alias("b")
-    ).distinct()
+    return _counted(a.alias("a").join(b.alias("b"), meet & _possible(percent)).select(
+        F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")
+    ))
 
 
-def _stars(postings: DataFrame, info: DataFrame) -> DataFrame:
-    """(a, b): each class of a bucket with the bucket's most central one.
+def _counted(met: DataFrame) -> DataFrame:
+    return met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"))
+
+
+def _enough(percent: int) -> Column:
+    """The common keys of two prefixes (of all but ``ceil(t * n) - 1`` members) leave the overlap possible:
+    what is common beyond them lies outside the prefix that ends first."""
+    outside = F.greatest(*(F.floor((percent * F.col(c) + 99) / 100) - 1 for c in ("n", "m")))
+    return (100 + percent) * (F.col("common") + outside) >= percent * (F.col("n") + F.col("m"))
+
+
+def _star_pairs(postings: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common buckets) of each class of a bucket with the bucket's most central one.
 
     The class that shares most of its keys is the likeliest original of a group of copies. It is found
     by one number (shared keys, then some bits of the class), so that partial sums stay in hash tables."""
@@ -159,23 +172,24 @@ def _stars(postings: DataFrame, info: DataFrame) -> DataFrame:
     )
     top = ranked.groupBy("bucket").agg(F.max("rank").alias("rank"))
     lead = ranked.join(top, ["bucket", "rank"]).select("bucket", F.col("cls").alias("lead"))
-    return (
+    pairs = (
         postings.join(lead, "bucket").filter("cls <> lead")
-        .select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+        .groupBy(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).agg(F.count("*").alias("common"))
     )
-
-
-def _possible_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     a, b = (info.select(F.col("cls").alias(c), F.struct("cls", "n", *MARKS).alias(f"{c}_")) for c in "ab")
     return (
-        pairs.join(a, "a").join(b, "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-        .filter(_possible(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+        pairs.join(a, "a").join(b, "b").select("common", F.col("a_").alias("a"), F.col("b_").alias("b"))
+        .filter(_possible(percent))
+        .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), "common")
     )
 
 
-def grouped(docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def grouped(
+    docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.RecordBatch], dict], prefixes: bool = False
+) -> DataFrame:
     """doc_id, n_shingles, component_id, cls and label (both null for an empty set) of every document;
-    ``keyed`` makes ``ROWS`` of (doc_id, text)."""
+    ``keyed`` makes ``ROWS`` of (doc_id, text). ``prefixes``: the keys are the first members in one global
+    order, as many as the similarity asks for, so pairs with too few common keys need no verification."""
     batched(docs.sparkSession)
     texts = columns_of(docs, doc_id="bigint", text="string")
     rows = stored(per_batch(texts, keyed, ROWS), "classes")
@@ -190,10 +204,12 @@ def grouped(docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.Recor
         .agg(*(F.any_value(c).alias(c) for c in ("n", "marks", "degree")))
         .select("cls", "n", "degree", *(F.col("marks")[k].alias(m) for k, m in enumerate(MARKS))), "candidates",
     )
-    stars = stored(_possible_pairs(_stars(postings, info), info, percent), "pairs")
+    enough = _enough(percent) if prefixes else F.lit(True)
+    stars = stored(_star_pairs(postings, info, percent).filter(enough).select("a", "b"), "pairs")
     links = _verified(texts, width, stars, percent)
     rest = _open(postings, components(links)).join(info.drop("degree"), "cls")
-    pairs = stored(_rest_pairs(stored(rest, "open"), percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = _rest_pairs(stored(rest, "open"), percent).filter(enough).select("a", "b")
+    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     labels = components(links.union(_verified(texts, width, pairs, percent)))
 
     named = first.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(

@@ -84,7 +84,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
             out["keys"].append(grams[order].view(np.int64))
         return {"doc_id": batch.column(0), **out}
 
-    return grouped(docs, width, percent, keyed)
+    return grouped(docs, width, percent, keyed, prefixes=True)
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
