@@ -20,7 +20,7 @@ from logmill.llm.common import columns_of, order_key, running_total, stored, wor
 REPEATS = 3
 #: Range bins per unit of virtual time; times from 2 on share the last bin.
 BINS = 4_096
-SOURCE_KEY = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~"))
+SOURCE_KEY = "coalesce(concat('s', source), '~')"
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def measured(docs: DataFrame) -> DataFrame:
     sized = columns_of(docs, doc_id="bigint", source="string", text="string").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")
     )
-    return stored(sized.withColumn("row_", F.monotonically_increasing_id()), "mixing").withColumn("source_key_", SOURCE_KEY)
+    return stored(sized.withColumn("row_", F.monotonically_increasing_id()), "mixing").withColumn("source_key_", F.expr(SOURCE_KEY))
 
 
 def source_sizes(rows: DataFrame) -> DataFrame:
@@ -110,10 +110,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mix itself: the documents, each as often as it is taken."""
     taken = mix(docs, weights).filter("taken > 0").select(
-        "doc_id", "size", SOURCE_KEY.alias("source_key_"), (F.col("taken") / F.col("size")).cast("int").alias("times_")
+        "doc_id", "size", F.expr(SOURCE_KEY).alias("source_key_"), (F.col("taken") / F.col("size")).cast("int").alias("times_")
     )
     keyed = docs.select(
-        F.struct("*").alias("doc_"), word_count(F.col("text")).alias("size_"), SOURCE_KEY.alias("source_key_"),
+        F.struct("*").alias("doc_"), word_count(F.col("text")).alias("size_"), F.expr(SOURCE_KEY).alias("source_key_"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_"),
     )
     keys = ["id_", "source_key_", "size_"]
