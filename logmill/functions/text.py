@@ -160,12 +160,12 @@ def sanitized(text: Column) -> Column:
     return redact(normalize_newlines(text))
 
 
-def mask_literals(text: Column, secrets: list[str], limit: int = 500) -> Column:
-    """Replace known secret strings, then keep the first ``limit`` characters."""
+def mask_literals(text: Column, secrets: list[str], limit: int | None = None) -> Column:
+    """Replace known secret strings; with a ``limit``, keep that many characters."""
     for secret in secrets:
         if secret:
             text = F.replace(text, F.lit(secret), F.lit(REDACTED))
-    return F.left(text, F.lit(limit))
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def scrub_paths(text: Column, places: dict[str, str]) -> Column:

@@ -234,7 +234,7 @@ def response_outcome(status: Column) -> Column:
 def api_error(status: Column, body: Column, secrets: list[str]) -> Column:
     """Error text with known secrets masked, 500 characters at most."""
     message = F.coalesce(F.try_variant_get(strict_json(body), "$.error.message", "string"), body)
-    return F.concat(F.lit("HTTP "), status, F.lit(": "), mask_literals(message, secrets))
+    return F.concat(F.lit("HTTP "), status, F.lit(": "), mask_literals(message, secrets, limit=500))
 
 
 def model_names(listings: DataFrame, provider: str = "provider", body: str = "body") -> DataFrame:

@@ -235,9 +235,13 @@ def upsert(stored: DataFrame, newer: DataFrame) -> DataFrame:
     )
 
 
-def restore_defaults(states: DataFrame) -> DataFrame:
-    """Versioned state ``(id, origin, body, disabled)``: overrides retired, nothing disabled."""
-    return states.filter(F.col("origin") != "override").withColumn("disabled", F.lit(False))
+def restore_defaults(states: DataFrame, base: DataFrame) -> DataFrame:
+    """State ``(id, origin, body, disabled)`` with nothing disabled and no overrides: an overridden profile
+    gets its version in ``base`` (id, origin, body) again."""
+    columns = ["id", "origin", "body"]
+    overridden = F.col("origin") == "override"
+    back = base.select(*columns).join(states.filter(overridden).select("id"), "id", "left_semi")
+    return states.filter(~overridden).select(*columns).unionByName(back).withColumn("disabled", F.lit(False))
 
 
 def update_gate(target: Column, supported: Column, format_ids: Column) -> Column:
@@ -263,7 +267,7 @@ def problems(profiles: list[Profile]) -> list[str]:
     """Violations of a small draft, via the same table rules."""
     spark = SparkSession.getActiveSession()
     files = spark.createDataFrame([("draft", profiles_json(profiles))], "path string, text string")
-    rows = violations(read_formats(files)).limit(MAX_PROFILES).collect()
+    rows = violations(read_formats(files)).collect()  # as many as the given draft has
     return sorted(r["problem"] for r in rows)
 
 

@@ -730,10 +730,11 @@ def profile_upsert(spark, sf_dir):
 
 @query
 def profile_restore(spark, sf_dir):
-    states = registry.apply_overrides(base_profiles(spark, sf_dir), newest_profiles(spark, sf_dir)).select(
+    base = base_profiles(spark, sf_dir)
+    states = registry.apply_overrides(base, newest_profiles(spark, sf_dir)).select(
         "id", "origin", "body", F.lit(True).alias("disabled")
     )
-    return registry.restore_defaults(states)
+    return registry.restore_defaults(states, base)
 
 
 @query
@@ -897,8 +898,11 @@ def ambiguous_documents(spark, sf_dir):
 
 def event_stream(spark, sf_dir) -> DataFrame:
     """The events table as a stream of log lines."""
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if files.is_folder(spark, f"{sf_dir}/events.parquet"):
+        rows = reader.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream reads folders: of this one, just the table's file
+        rows = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
     cents = F.floor(F.col("value") * 100).cast("bigint")
     line = F.concat(F.lit("["), F.col("event_id"), F.lit("] "), level, F.lit(" "), F.col("event_type"),

@@ -101,3 +101,9 @@ def documents_from(files: DataFrame) -> DataFrame:
     return files.filter(F.col("error").isNull() & (route(F.col("path")) == "log")).select(
         F.col("path").alias("doc_id"), "name", "text"
     )
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, as its own file system says."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()

@@ -153,7 +153,7 @@ ORACLES["sanitized_text"] = CLEAN_M + " select doc_id, clean as text from cleane
 EXT = r"""(?i)\b(api_?key|password|secret|token)(\s*[:=]\s*)("[^"\n]*"|'[^'\n]*'|[^\s"',;]+)"""
 ORACLES["masked_lines"] = PLAIN + f"""
 select doc_id, line_no, {o.pii('line')} as pii,
-  replace(replace(line, 's3cret', '[REDACTED]'), 'abc.def', '[REDACTED]')[1:500] as masked,
+  replace(replace(line, 's3cret', '[REDACTED]'), 'abc.def', '[REDACTED]') as masked,
   replace(replace(line, 'mail.example.org', '<HOST>'), '123e4567', '<ID>') as scrubbed,
   {o.redact_all('line')} as redacted,
   regexp_replace(line, {q(EXT)}, {q(chr(92) + '1' + chr(92) + '2[REDACTED]')}, 'g') as extended
@@ -342,7 +342,7 @@ ORACLES["profile_install"] = W_CAT + """, dr as (select regexp_replace(id, '-10$
 select d.id, d.body, b.id is null as installed, case when b.id is not null then 'schema already exists: ' || d.id end as reason
 from dr d left join base b using (id)"""
 ORACLES["profile_upsert"] = W_CAT + " select id, arg_max(body, version) as body, max(version) as version from parts group by id"
-ORACLES["profile_restore"] = W_CAT + " select id, origin, body, false as disabled from over where origin <> 'override'"
+ORACLES["profile_restore"] = W_CAT + " select id, origin, body, false as disabled from base"
 ORDERS = o.order_corpus_sql("duckdb")
 ORACLES["draft_validation"] = o.pipeline(ORDERS, [ORDER_PROFILE]) + """
 select l.doc_id, l.ids as format_ids, case when l.supported then p.n_events else 0 end as event_count,

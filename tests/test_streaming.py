@@ -2,6 +2,7 @@ import json
 import os
 from datetime import datetime, timedelta
 
+import pytest
 
 from logmill.operators.lines import block_events
 from logmill.queries import STREAM_PROFILE
@@ -106,3 +107,13 @@ def test_text_ingest_and_audit_folders(spark, tmp_path):
     assert got == [("x.log", "WARN c", "WARNING"), ("x.log", "password=[REDACTED] b", "UNKNOWN")]
     sl.audit_stream(rows, f"{root}/audit", f"{root}/c").awaitTermination()
     assert spark.read.json(f"{root}/audit").count() == 2
+
+
+@pytest.mark.parametrize("name", ["stream_lines", "stream_windows", "stream_templates"])
+def test_streams_read_a_table_in_parts(spark, tmp_path, name):
+    from logmill.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    single, parts = (sorted(map(repr, QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert single and single == parts
