@@ -26,7 +26,8 @@ from logmill.llm.common import batched, columns_of
 from logmill.llm.linking import bitmap, class_of, grouped
 from logmill.llm.shingles import shingle_sets, shingled
 
-WIDTH, PERCENT = 4, 85
+#: The rule for near copies of word shingles: five words, a similarity of 0.8 or more.
+WIDTH, PERCENT = 5, 80
 #: Counters of the column order, and the parts they are summed in.
 SLOT_BITS, PART_BITS = 20, 10
 

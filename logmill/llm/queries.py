@@ -58,7 +58,7 @@ def op5_neighbours(spark, sf_dir):
 
 def op6_ngram_components(spark, sf_dir):
     """Documents linked by a Jaccard similarity of at least 0.85 of their four-word shingles."""
-    return ngram_join.ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_components(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_length_buckets(spark, sf_dir):

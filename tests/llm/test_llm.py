@@ -259,11 +259,13 @@ def test_ngram_join(spark, percent, odd, none):
     wanted = components(rows, 4, percent)
     assert got == wanted
     if percent == 85:
-        kept = ngram_join.deduplicated(df)
+        kept = ngram_join.deduplicated(df, 4, percent)
         full = sum(1 for _, t in rows if not words(t))
         groups = {c for (_, n, c) in wanted if n}
         assert kept.count() == len(groups) + full
         assert {r.doc_id for r in kept.collect() if words(r.text)} == groups
+        default = {c for (_, n, c) in components(rows, 5, 80) if n}
+        assert {r.doc_id for r in ngram_join.deduplicated(df).collect() if words(r.text)} == default
         assert ngram_join.ngram_components(odd).count() == 10 and ngram_join.deduplicated(odd).columns == odd.columns
         assert ngram_join.ngram_components(none).count() == ngram_join.deduplicated(none).count() == 0
 
