@@ -175,7 +175,7 @@ def scrub_paths(text: Column, places: dict[str, str]) -> Column:
     return text
 
 
-# Personal-data patterns and their placeholders.
+# Personal-data patterns (Unicode words and digits) and their placeholders.
 PII = (
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>"),
     (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "<UUID>"),
@@ -185,7 +185,7 @@ PII = (
 
 def mask_pii(line: Column) -> Column:
     for pattern, placeholder in PII:
-        line = F.regexp_replace(line, pattern, placeholder)
+        line = F.regexp_replace(line, "(?U)" + pattern, placeholder)
     return trim_space_end(line)
 
 

@@ -18,11 +18,10 @@ PARSED_SECTION = "## Parsed\n\n```text\n"
 
 
 def parsed_section(report: Column) -> Column:
-    """The parsed block of a rendered review report."""
-    after = F.substring_index(report, PARSED_SECTION, -1)
-    return F.when(
-        F.contains(report, F.lit(PARSED_SECTION)), F.substring_index(after, "\n```", 1)
-    )
+    """The parsed block of a rendered review report: from its first heading to the next fence."""
+    at = F.locate(PARSED_SECTION, report)
+    after = F.substring(report, at + F.lit(len(PARSED_SECTION)), F.length(report))
+    return F.when(at > 0, F.substring_index(after, "\n```", 1))
 
 
 def read_report(rendered: Column) -> Column:
@@ -161,7 +160,7 @@ def corpus_result(verdict: DataFrame) -> DataFrame:
 
 
 def priority_sample(
-    lines: DataFrame, group: str, order: str, limit: int = 40, line: str = "line"
+    lines: DataFrame, group: str, order: list[str], limit: int = 40, line: str = "line"
 ) -> DataFrame:
     """Up to ``limit`` lines per group: first half error-like lines, the rest others.
 
@@ -170,7 +169,7 @@ def priority_sample(
     """
     half = limit // 2
     flagged = lines.withColumn("priority", F.col(line).rlike(PRIORITY))
-    within = Window.partitionBy(group, "priority").orderBy(order)
+    within = Window.partitionBy(group, "priority").orderBy(*order)
     ranked = flagged.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= limit)
     found = F.sum(
         F.when(F.col("priority") & (F.col("rank") <= half), 1).otherwise(0)
@@ -181,5 +180,5 @@ def priority_sample(
         )
     )
     return chosen.filter(~is_blank(F.col(line))).select(
-        group, order, "priority", "rank", mask_pii(F.col(line)).alias(line)
+        group, *order, "priority", "rank", mask_pii(F.col(line)).alias(line)
     )

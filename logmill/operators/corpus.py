@@ -10,8 +10,6 @@ from logmill.functions.severity import is_important
 from logmill.operators.prepare import event_groups, reduction_percent
 from logmill.plans.catalog import Profile
 
-BROADCAST_ROWS = 10_000
-
 
 def templates(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every fingerprint of the corpus with total repeats, documents and its first example.
@@ -79,18 +77,12 @@ def catalog_table(spark: SparkSession, profiles: Iterable[Profile]) -> DataFrame
     )
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose row count is known and small, else leave the choice to Spark."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def format_usage(outcomes: DataFrame, profiles: Iterable[Profile]) -> DataFrame:
     """Documents per format id with the application and rank of the catalog."""
-    profiles = list(profiles)
     catalog = catalog_table(outcomes.sparkSession, profiles)
     used = outcomes.filter("supported").select(F.explode("format_ids").alias("id"))
     counted = used.groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
-    return counted.join(bounded_broadcast(catalog, len(profiles)), "id").select(
+    return counted.join(catalog, "id").select(
         "id", "application", "catalog_rank", "documents"
     )
 
@@ -117,8 +109,10 @@ def coverage_counts(coverage: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-def coverage_gaps(coverage: DataFrame, ranks: int) -> DataFrame:
-    """Ranks from 1 to ``ranks`` that are missing or repeated."""
+def coverage_gaps(coverage: DataFrame, ranks: int | None = None) -> DataFrame:
+    """Ranks from 1 to ``ranks`` (without it, to the number of rows) that are missing or repeated, and
+    ranks outside."""
+    ranks = coverage.count() if ranks is None else ranks
     wanted = coverage.sparkSession.range(1, ranks + 1).withColumnRenamed("id", "rank")
     present = coverage.groupBy(F.col("rank").cast("bigint").alias("rank")).agg(
         F.count(F.lit(1)).alias("rows")

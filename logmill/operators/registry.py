@@ -7,13 +7,11 @@ compiled columns collects it, behind a check of its row count. Everything else s
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import BooleanType
 
+from logmill.functions.text import regex
 from logmill.operators.parse import outcomes, parse
 from logmill.plans.catalog import (
     BUILT_IN, FALLBACK, SCHEMA_VERSION, Profile, parse_profiles, profiles_json,
@@ -53,22 +51,13 @@ def read_formats(files: DataFrame) -> DataFrame:
     return rows.select("*", F.col("format.id").alias("id"))
 
 
-@F.pandas_udf(BooleanType())
-def regex_compiles(patterns: pd.Series) -> pd.Series:
-    def check(pattern):
-        if pattern is None:
-            return None
-        try:
-            re.compile(pattern)
-            return True
-        except re.error:
-            return False
-
-    return patterns.map(check)
-
-
 def bad_pattern(pattern: Column) -> Column:
-    return (F.octet_length(pattern) > MAX_REGEX_BYTES) | ~regex_compiles(pattern)
+    """Too long, or refused by the regex engine that detection and extraction run on."""
+    rewritten = F.concat(F.lit(regex("")), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+    compiled = F.try_reflect(
+        F.lit("java.util.regex.Pattern"), F.lit("matches"), F.coalesce(rewritten, F.lit("")), F.lit("")
+    )
+    return (F.octet_length(pattern) > MAX_REGEX_BYTES) | (pattern.isNotNull() & compiled.isNull())
 
 
 def violations(formats: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ MODES = ("auto", "raw", "parsed", "compare")
 DEFAULT_LIMIT = 10 * 1024 * 1024
 FALLBACK_WARNING = "Unknown format: returned Raw fallback."
 CLIENT = "mcp-client"
-TOOL = "prepare_error_log"
+TOOL = "prepare_log"
 
 REQUEST = (
     "request_id string, path string, text string, name string, mode string, batch_index int, "
@@ -192,7 +192,7 @@ def respond(
     )
 
 
-def audit_rows(responses: DataFrame, duration_ms: Column | None = None) -> DataFrame:
+def audit_rows(responses: DataFrame, duration_ms: Column | None = None, tool: str = TOOL) -> DataFrame:
     """The metadata-only audit row of every response; it holds no log text."""
     def number(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
@@ -201,7 +201,7 @@ def audit_rows(responses: DataFrame, duration_ms: Column | None = None) -> DataF
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"),
         "request_id",
         F.coalesce("client", F.lit(CLIENT)).alias("client"),
-        F.lit(TOOL).alias("tool"),
+        F.lit(tool).alias("tool"),
         "input_name",
         F.coalesce("detected_format", F.lit("unknown")).alias("detected_format"),
         "status",

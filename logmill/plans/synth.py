@@ -1,16 +1,14 @@
 """Log corpora derived from the given tables, written in SQL that Spark and DuckDB both read.
 
-A document is keyed by its owner and a range of row ids, so it has a bounded number of lines even
-when one owner holds a large share of all rows.
+A log document holds the events of one owner in one week, an order document the orders of one customer
+in one year: a natural bound, so an owner with a large share of all rows has many documents. Its id is
+the owner times a million plus the week or year, which stays below that.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Row ids per document range: at most this many source rows per document.
-ID_RANGE = 65_536
-
 STYLES = (
     "broker", "journal", "cloud", "flow", "access", "build", "compiler", "prose", "trace",
 )
@@ -24,7 +22,7 @@ EVENT_COLUMNS = """
   case event_type when 'error' then '3' when 'signup' then '4' else '6' end as priority,
   case event_id % 6 when 0 then 200 when 1 then 301 when 2 then 404 when 3 then 500
     when 4 then 204 else 200 end as status,
-  user_id * 1000000 + cast(floor(event_id / {rng}) as bigint) as doc_id
+  user_id * 1000000 + {week} as doc_id
 """
 
 # One source row to one or more log lines, by style.
@@ -78,12 +76,14 @@ def _dialect(engine: str) -> dict:
         return {
             "k": r"regexp_extract(props, '([0-9]+)', 1)",
             "ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+            "week": "datediff(cast(ts as date), date '1970-01-01') div 7",
             "table": "parquet.`{dir}/events.parquet`",
             "agg": "array_join(transform(array_sort(collect_list(struct(event_id, line))), x -> x.line), {sep})",
         }
     return {
         "k": r"regexp_extract(props, '([0-9]+)', 1)",
         "ts": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
+        "week": "datediff('day', date '1970-01-01', cast(ts as date)) // 7",
         "table": "events",
         "agg": "string_agg(line, {sep} order by event_id)",
     }
@@ -95,7 +95,7 @@ def corpus_sql(engine: str, style: str = "mixed", sf_dir: str = "") -> str:
     ``mixed`` gives every owner one of the styles.
     """
     d = _dialect(engine)
-    columns = EVENT_COLUMNS.format(k=d["k"], ts=d["ts"], rng=ID_RANGE)
+    columns = EVENT_COLUMNS.format(k=d["k"], ts=d["ts"], week=d["week"])
     table = d["table"].replace("{dir}", sf_dir)
     lines = {name: text.replace("{{", "{").replace("}}", "}") for name, text in LINES.items()}
 
@@ -133,10 +133,10 @@ def log_corpus(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFr
     return spark.sql(corpus_sql("spark", style, sf_dir))
 
 
-# Pipe-delimited order lines of one customer and order range.
+# Pipe-delimited order lines of one customer and year.
 ORDERS_SQL = """
 select doc_id, concat('orders-', doc_id, '.txt') as name, {agg} as text
-from (select o_custkey * 1000000 + cast(floor(o_orderkey / {rng}) as bigint) as doc_id,
+from (select o_custkey * 1000000 + year(o_orderdate) as doc_id,
         o_orderkey as event_id,
         concat(o_orderkey, '|', o_orderstatus, '|', cast(floor(o_totalprice) as bigint), '|',
                o_orderpriority, case when o_orderkey % 11 = 3 then '|extra' else '' end) as line
@@ -148,7 +148,7 @@ group by doc_id
 def order_corpus_sql(engine: str, sf_dir: str = "") -> str:
     agg = _dialect(engine)["agg"].format(sep="chr(10)")
     table = f"parquet.`{sf_dir}/orders.parquet`" if engine == "spark" else "orders"
-    return ORDERS_SQL.format(agg=agg, rng=ID_RANGE, table=table)
+    return ORDERS_SQL.format(agg=agg, table=table)
 
 
 def order_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ MARKED_TEXT = """replace(text, '. ', case doc_id % 7
   when 0 then concat('. password=s3cret tail', chr(10))
   when 1 then concat('. Authorization: Bearer abc.def', chr(13), chr(10), 'next ')
   when 2 then concat('. API_KEY=k', doc_id, ' and Token=t', doc_id, chr(9), chr(10))
-  when 3 then concat('. 10.0.0.', doc_id % 250, ' a.b+c@mail.example.org  ', chr(13))
+  when 3 then concat('. 10.0.0.', doc_id % 250, ' a.b+c@mail.example.org josé@büro.example.org x٣.1.1.1  ', chr(13))
   when 4 then concat('. 123e4567-e89b-42d3-a456-426614174000', chr(9), 'x', chr(10))
   when 5 then '. apikey=a apikey=b token = "q" '
   else '. ' end)"""

@@ -141,8 +141,7 @@ def request_responses(spark, sf_dir):
 def audit_log(spark, sf_dir):
     """Audit rows appended as JSON lines and read back."""
     path = run_folder(spark, "audit")
-    answered = sinks.write_responses(requests.respond(request_table(spark, sf_dir)), f"{path}-responses")
-    sinks.write_audit(requests.audit_rows(answered), path)
+    sinks.write_audit(requests.audit_rows(requests.respond(request_table(spark, sf_dir))), path)
     schema = (
         "timestamp string, request_id string, client string, tool string, input_name string, "
         "detected_format string, status string, raw_chars bigint, parsed_chars bigint, "
@@ -478,10 +477,9 @@ def announcements(spark, sf_dir):
 
 @query
 def synthesis_prompts(spark, sf_dir):
-    """Reduce prompts over assistant answers in turn order, one per bounded range of turns."""
-    part = F.col("conv_id") * 1_000_000 + F.floor(F.col("turn") / 4_096)
+    """One reduce prompt per conversation over its assistant answers in turn order."""
     findings = chats(spark, sf_dir).filter("role = 'assistant'").select(
-        part.alias("doc_id"), F.col("turn").alias("batch_index"),
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("batch_index"),
         F.col("text").alias("finding"),
     )
     return prompts.synthesis_prompts(findings)
@@ -494,10 +492,12 @@ def request_costs(spark, sf_dir):
     price_out = (F.col("turn") % 2) * F.lit(2.0)
     tokens_out = F.when(F.col("turn") % 5 != 4, F.col("turn") * 100 + 7)
     tokens_in = tx.token_estimate(F.length("text"))
+    speed = F.when(F.col("turn") % 4 != 3, F.col("turn") + F.lit(0.5))
+    first = F.when(F.col("turn") % 6 != 5, F.col("turn") + F.lit(0.25))
     return chats(spark, sf_dir).select(
         "conv_id", "turn",
         F.round(prompts.max_cost(F.length("text"), F.lit(1_500), price_in, price_out), 9).alias("max_cost"),
-        prompts.usage_line(tokens_in, tokens_out, F.lit(0.0), F.lit(0.0)).alias("usage"),
+        prompts.usage_line(tokens_in, tokens_out, price_in, price_out, speed, first).alias("usage"),
     )
 
 
@@ -529,13 +529,15 @@ def answer_json(spark, sf_dir):
 @query
 def request_payloads(spark, sf_dir):
     """Request bodies of every message in all shapes; the body is read back to compare fields."""
-    out = None
-    for protocol in prompts.PROTOCOLS:
-        body = prompts.payload(
-            protocol, F.lit("gpt-5-x"), F.lit("Be brief."), F.col("role"), F.col("text"), F.lit(1_500)
-        )
-        part = chats(spark, sf_dir).select("conv_id", "turn", F.lit(protocol).alias("protocol"), body.alias("body"))
-        out = part if out is None else out.unionByName(part)
+    bodies = F.array(*(
+        F.struct(
+            F.lit(protocol).alias("protocol"),
+            prompts.payload(
+                protocol, F.lit("gpt-5-x"), F.lit("Be brief."), F.col("role"), F.col("text"), F.lit(1_500)
+            ).alias("body"),
+        ) for protocol in prompts.PROTOCOLS
+    ))
+    out = chats(spark, sf_dir).select("conv_id", "turn", F.inline(bodies))
     paths = {
         "responses": "$.input[0].content[0].text", "chat": "$.messages[1].content",
         "local": "$.input", "generate_content": "$.contents[0].parts[0].text",
@@ -799,7 +801,7 @@ def coverage_counts(spark, sf_dir):
 
 @query
 def coverage_gaps(spark, sf_dir):
-    return corpus.coverage_gaps(coverage_table(spark, sf_dir), 500)
+    return corpus.coverage_gaps(coverage_table(spark, sf_dir))
 
 
 @query
@@ -831,13 +833,20 @@ def audit_sides(spark, sf_dir) -> DataFrame:
 @query
 def report_events(spark, sf_dir):
     """Events read back from rendered text, totalled by document and level."""
-    prepared = prepared_corpus(spark, sf_dir).filter("normalized")
+    prepared = prepared_corpus(spark, sf_dir).filter("normalized")  # only these have rendered events
     return audit.report_events(prepared, "parsed_preview").groupBy("doc_id", "level").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("repeats").alias("events"),
         F.sum(F.length("content")).alias("chars"),
     )
 
 
+@query
+def parsed_sections(spark, sf_dir):
+    """The parsed block of every review report."""
+    reports = sinks.report_text(prepared_corpus(spark, sf_dir))
+    return reports.select("doc_id", audit.parsed_section(F.col("report")).alias("parsed"))
+
+
 @query
 def audit_signatures(spark, sf_dir):
     return audit.signature_differences(audit_sides(spark, sf_dir))
@@ -863,9 +872,9 @@ def priority_lines(spark, sf_dir):
     """Forty lines per source, error-like ones first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.lf_text(F.col("text")).alias("text"))
     rows = docs.select("source", "doc_id", F.posexplode(tx.text_lines(F.col("text"))).alias("pos", "line"))
-    keyed = rows.select("source", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_id"), "line")
-    return audit.priority_sample(keyed, "source", "line_id").select(
-        "source", "line_id", "priority", F.col("rank").cast("bigint").alias("rank"), "line"
+    keyed = rows.select("source", "doc_id", F.col("pos").cast("bigint").alias("line_no"), "line")
+    return audit.priority_sample(keyed, "source", ["doc_id", "line_no"]).select(
+        "source", "doc_id", "line_no", "priority", F.col("rank").cast("bigint").alias("rank"), "line"
     )
 
 
@@ -913,6 +922,16 @@ def event_stream(spark, sf_dir) -> DataFrame:
     )
 
 
+def updated(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The current rows of an aggregation in update mode, those still open included."""
+    root = run_folder(spark, name)
+    sl.updates_to_files(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return sl.latest(spark, f"{root}/out", keys)
+
+
+WINDOW = ["window_start", "window_end", "severity"]
+
+
 def drained(spark, stream: DataFrame, name: str) -> DataFrame:
     root = run_folder(spark, name)
     sl.to_files(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
@@ -936,19 +955,20 @@ def stream_first_templates(spark, sf_dir):
 
 @query
 def stream_windows(spark, sf_dir):
-    """Severity counts per day; windows closed by the watermark."""
+    """Severity counts per day, of the windows still open too."""
     lines = sl.measured(event_stream(spark, sf_dir), F.col("level"))
-    return drained(spark, sl.window_counts(lines, length="1 day"), "windows")
+    return updated(spark, sl.window_counts(lines, length="1 day"), "windows", WINDOW)
 
 
 @query
 def stream_sliding(spark, sf_dir):
     lines = sl.measured(event_stream(spark, sf_dir), F.col("level"))
-    return drained(spark, sl.window_counts(lines, length="1 day", slide="12 hours"), "sliding")
+    return updated(spark, sl.window_counts(lines, length="1 day", slide="12 hours"), "sliding", WINDOW)
 
 
 @query
 def stream_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed: session windows have no update mode."""
     lines = sl.measured(event_stream(spark, sf_dir), F.col("level"))
     return drained(spark, sl.session_counts(lines, "source", gap="1 day"), "sessions")
 
@@ -956,10 +976,8 @@ def stream_sessions(spark, sf_dir):
 @query
 def stream_templates(spark, sf_dir):
     """Template table kept by a streaming aggregation in update mode."""
-    root = run_folder(spark, "templates")
     counts = sl.template_counts(sl.measured(event_stream(spark, sf_dir), F.col("level")))
-    sl.updates_to_files(counts, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return sl.latest_templates(spark, f"{root}/out")
+    return updated(spark, counts, "templates", ["fingerprint"])
 
 
 @query

@@ -118,10 +118,13 @@ def updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     )
 
 
-def latest_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Current template table from the written updates: the newest batch of every template."""
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Current table from the written updates: the newest batch of every key."""
     updates = spark.read.parquet(path)
-    return updates.groupBy("fingerprint").agg(
-        F.max_by("total_repeats", "batch").alias("total_repeats"),
-        F.max_by("example", "batch").alias("example"),
-    )
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+
+
+def latest_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Current template table."""
+    return latest(spark, path, ["fingerprint"])

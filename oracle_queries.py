@@ -131,7 +131,7 @@ select request_id, input_name, requested_mode, status, {good('detected_format',
   case when good and sent_variant = 'Raw fallback' then 'Unknown format: returned Raw fallback.' else '' end as warnings,
   error_code, message from resp"""
 ORACLES["audit_log"] = RESP + f"""
-select request_id, 'mcp-client' as client, 'prepare_error_log' as tool, input_name,
+select request_id, 'mcp-client' as client, 'prepare_log' as tool, input_name,
   coalesce({good('detected_format', 'x')[:-5]}, 'unknown') as detected_format, status,
   case when good then len(clean) else 0 end as raw_chars, case when good then len(preview) else 0 end as parsed_chars,
   case when good then {o.tokens('len(clean)')} else 0 end as raw_tokens, case when good then {o.tokens('len(preview)')} else 0 end as parsed_tokens,
@@ -267,12 +267,16 @@ from batches b join summary s using (doc_id)"""
 ORACLES["announcements"] = PREP + """
 select doc_id, 'Analyze log-' || doc_id || '.log: ' || event_count || ' events, ' || duplicate_count || ' duplicates removed, ' || batch_count || ' batches.' as message from summary"""
 ORACLES["synthesis_prompts"] = f"""
-select conv_id * 1000000 + turn // 4096 as doc_id, {q(SYNTHESIS)} || string_agg(text, {NL}||{NL} order by turn) as prompt
+select conv_id as doc_id, {q(SYNTHESIS)} || string_agg(text, {NL}||{NL} order by turn) as prompt
 from conversations where role = 'assistant' group by all"""
 ORACLES["request_costs"] = f"""
 select conv_id, turn, round(case when turn % 3 > 0 or turn % 2 > 0 then {o.tokens('len(text)')} * ((turn % 3) * 0.5::double) / 1000000.0::double
    + 1500 * ((turn % 2) * 2.0::double) / 1000000.0::double end, 9) as max_cost,
-  'Request ' || {o.tokens('len(text)')} || ' tokens · Response ' || coalesce(cast(case when turn % 5 <> 4 then turn * 100 + 7 end as varchar), '?') || ' tokens' as usage
+  'Request ' || {o.tokens('len(text)')} || ' tokens · Response ' || coalesce(cast(case when turn % 5 <> 4 then turn * 100 + 7 end as varchar), '?') || ' tokens'
+  || case when turn % 5 <> 4 and (turn % 3 > 0 or turn % 2 > 0) then printf(' · ≈$%.4f', {o.tokens('len(text)')} * ((turn % 3) * 0.5::double) / 1000000.0::double
+       + (turn * 100 + 7) * ((turn % 2) * 2.0::double) / 1000000.0::double) else '' end
+  || case when turn % 4 <> 3 then ' · ' || turn || '.5 tok/s' else '' end
+  || case when turn % 6 <> 5 then ' · TTFT ' || turn || '.25s' else '' end as usage
 from conversations"""
 ANSWERS = f"""(select conv_id, turn, text as orig, case turn % 4
   when 0 then '  cause: ' || text || {NL} || 'FIX: do x ' || {NL} || 'Verify: run y' || {NL} || 'fix: last'
@@ -369,7 +373,7 @@ ORACLES["coverage_counts"] = f"""
 select volume, count(*) filter (where coverage = 'covered') as covered, count(*) filter (where coverage = 'partial') as partial,
   count(*) filter (where coverage = 'raw') as raw, count(*) as total from {COVER} group by volume"""
 ORACLES["coverage_gaps"] = f"""
-with c as (select rank, count(*) as n from {COVER} group by rank), w as (select unnest(generate_series(1, 500)) as rank)
+with c as (select rank, count(*) as n from {COVER} group by rank), w as (select unnest(generate_series(1, (select count(*) from part))) as rank)
 select coalesce(w.rank, c.rank) as rank, coalesce(c.n, 0) as rows from w full outer join c on w.rank = c.rank
 where coalesce(c.n, 0) <> 1 or w.rank is null"""
 ORACLES["coverage_report"] = f"select rank, '| ' || concat_ws(' | ', rank, volume, application, coverage, adapter_or_gap) || ' |' as line from {COVER}"
@@ -396,17 +400,19 @@ vd as (select s.*, raw_events = parsed_events as events_ok, missing_signatures =
 ORACLES["report_events"] = PREP + f"""
 select doc_id, severity as level, count(*) as groups, cast(sum(repeats) as bigint) as events,
   cast(sum(len({o.rtrim('content')})) as bigint) as chars from groups group by all"""
+ORACLES["parsed_sections"] = PREP + f"""
+select doc_id, string_split(case when supported then parsed_text else clean end, {NL} || '```')[1] as parsed from choice"""
 ORACLES["audit_signatures"] = SIDES + " select * from sg"
 ORACLES["audit_levels"] = SIDES + " select * from lvs"
 ORACLES["audit_verdicts"] = SIDES + " select * from vd"
 ORACLES["audit_result"] = SIDES + " select count(*) filter (where status = 'OK') as ok, count(*) filter (where status = 'REVIEW') as review from vd"
 ORACLES["priority_lines"] = f"""
 with dl as (select doc_id, source, {o.lines_of('t')} as arr from (select doc_id, source, {o.lf('text')} as t from documents)),
-l as (select source, doc_id * 1000000 + i - 1 as line_id, arr[i] as line from dl, unnest(generate_series(1, len(arr))) as g(i)),
+l as (select source, doc_id, i - 1 as line_no, arr[i] as line from dl, unnest(generate_series(1, len(arr))) as g(i)),
 r as (select *, regexp_matches(line, {q(PRIORITY)}) as priority from l),
-k as (select *, row_number() over (partition by source, priority order by line_id) as rank,
+k as (select *, row_number() over (partition by source, priority order by doc_id, line_no) as rank,
    count(*) filter (where priority) over (partition by source) as found from r)
-select source, line_id, priority, rank, {o.pii('line')} as line from k
+select source, doc_id, line_no, priority, rank, {o.pii('line')} as line from k
 where (case when priority then rank <= 20 else rank <= 40 - least(found, 20) end) and {o.trim('line')} <> ''"""
 WANT = " ".join(f"when {STYLES.index(s)} then {q(f)}" for s, f in EXPECTED.items())
 STYLE_NO = f"(doc_id // 1000000) % {len(STYLES)}"
@@ -429,11 +435,9 @@ ORACLES["stream_first_templates"] = f"with {STREAM} select distinct source, fing
 def windows(hours: int, slide: int) -> str:
     starts = hours // slide
     return f"""with {STREAM}, w as (select severity, time_bucket(interval '{slide} hours', event_time, timestamp '1970-01-01') - interval '1 hour' * ({slide} * i) as window_start
-  from s, unnest(generate_series(0, {starts - 1})) as g(i)),
-m as (select max(event_time) - interval '10 minutes' as mark from s)
+  from s, unnest(generate_series(0, {starts - 1})) as g(i))
 select window_start, window_start + interval '{hours} hours' as window_end, severity, count(*) as events,
-  count(*) filter (where {IMPORTANT}) as important_events from w, m
-where window_start + interval '{hours} hours' <= mark group by window_start, severity"""
+  count(*) filter (where {IMPORTANT}) as important_events from w group by window_start, severity"""
 
 
 ORACLES["stream_windows"] = windows(24, 24)

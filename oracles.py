@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 from logmill.functions.severity import CONTENT_RULES, JSON_LEVELS, RAW_LEVEL_MAP, RAW_LEVELS, TEXT_LEVELS
-from logmill.functions.text import MARKERS, PII
+from logmill.functions.text import MARKERS
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import by_preference
 from logmill.plans.extract import BUILD_MARKER, NO_TIMESTAMP, OMITTED, capture_index
@@ -70,8 +70,20 @@ def signature(x: str) -> str:
 
 
 def pii(x: str) -> str:
-    for pattern, label in PII:
-        x = f"regexp_replace({x}, {q(pattern)}, {q(label)}, 'g')"
+    """Unicode words spelled out. The neighbours of a hit stand in groups, so each rule runs twice to
+    reach hits that share a neighbour; an address starts at the first word character of its run."""
+    word = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+    before, after = f"(^|[^{word}])", f"([^{word}]|$)"
+    digits = r"\p{Nd}{1,3}"
+    hexes = r"[0-9a-fA-F]"
+    rules = [
+        (rf"{before}{digits}\.{digits}\.{digits}\.{digits}{after}", r"\1<IP>\2"),
+        (rf"{before}{hexes}{{8}}-{hexes}{{4}}-[1-5]{hexes}{{3}}-[89abAB]{hexes}{{3}}-{hexes}{{12}}{after}", r"\1<UUID>\2"),
+        (rf"[{word}][{word}.+-]*@[{word}.-]+\.[A-Za-z]{{2,}}{after}", r"<EMAIL>\1"),
+    ]
+    for pattern, label in rules:
+        for _ in range(2):
+            x = f"regexp_replace({x}, {q(pattern)}, {q(label)}, 'g')"
     return rtrim(x)
 
 

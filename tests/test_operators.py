@@ -174,7 +174,7 @@ def test_priority_sample(spark):
     rows = [(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "g string, i bigint, line string")
     got = {g: [] for g in groups}
-    for r in audit.priority_sample(df, "g", "i", 6).orderBy("g", F.desc("priority"), "i").collect():
+    for r in audit.priority_sample(df, "g", ["i"], 6).orderBy("g", F.desc("priority"), "i").collect():
         got[r.g].append(r.line)
     assert got == {g: plain_choose(xs, 6) for g, xs in groups.items()}
 
@@ -217,6 +217,9 @@ def test_built_in_catalog_is_valid_and_round_trips(spark):
     assert parse_profiles(profiles_json(list(BUILT_IN))) == list(BUILT_IN)
     broken = Profile("x", "text", (("regex", "(" ),), (), {"kind": "whole_text", "severity": "E"})
     assert rg.problems([broken])[0].startswith("invalid regex")
+    for pattern, good in (("^[a[b]", False), ("^(?P<level>[A-Z]+) ", True), ("a++b", True)):
+        only = Profile("x", "text", (("regex", pattern),), (), {"kind": "whole_text", "severity": "E"})
+        assert (rg.problems([only]) == []) is good
     long = Profile("x", "text", (("regex", "a" * 2001),), (), {"kind": "whole_text", "severity": "E"})
     assert rg.problems([long])[0].startswith("invalid regex")
 

@@ -74,6 +74,8 @@ def test_truncation(spark):
 def test_masks(spark):
     line = "10.0.0.1 a.b@c.org 123e4567-e89b-42d3-a456-426614174000  "
     assert apply(spark, [line], tx.mask_pii) == ["<IP> <EMAIL> <UUID>"]
+    assert apply(spark, ["josé@mail.example.org, jürgen@büro.de x1.1.1.1 a@b.orgé"], tx.mask_pii) == [
+        "<EMAIL>, <EMAIL> x1.1.1.1 a@b.orgé"]
     assert apply(spark, ["k=s3 s3"], lambda c: tx.mask_literals(c, ["s3", ""])) == ["k=[REDACTED] [REDACTED]"]
     assert apply(spark, ['token = "x" and password=y'], tx.redact_extended) == [
         "token = [REDACTED] and password=[REDACTED]"]
