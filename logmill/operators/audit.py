@@ -56,7 +56,8 @@ def report_events(rendered: DataFrame, text: str, key: str = "doc_id") -> DataFr
 def both_sides(
     docs: DataFrame, raw: Column, rendered: Column, key: str = "doc_id"
 ) -> DataFrame:
-    """Raw lines and re-read events of every document as ``(key, side, text, level, n)``.
+    """Raw lines and re-read events of every document as ``(key, side, text, level, n)``; a document
+    without either has one row of nulls.
 
     Both sides come out of one pass over the document's row.
     """
@@ -74,7 +75,7 @@ def both_sides(
             e["repeats"].alias("n"),
         ),
     )
-    rows = docs.select(key, F.explode(F.concat(lines, parsed)).alias("r"))
+    rows = docs.select(key, F.explode_outer(F.concat(lines, parsed)).alias("r"))
     return rows.select(key, "r.side", "r.text", "r.level", "r.n")
 
 
@@ -108,7 +109,7 @@ def signature_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def severity_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document and level: events on both sides."""
-    return sides.groupBy(key, "level").agg(_count("raw"), _count("parsed"))
+    return sides.filter(F.col("level").isNotNull()).groupBy(key, "level").agg(_count("raw"), _count("parsed"))
 
 
 def verdicts(sides: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -16,6 +16,7 @@ from logmill.operators.parse import outcomes, parse
 from logmill.plans.catalog import (
     BUILT_IN, FALLBACK, SCHEMA_VERSION, Profile, parse_profiles, profiles_json,
 )
+from logmill.session import run_folder
 
 # Limits and word sets of the profile contract.
 MAX_PROFILES = 100
@@ -150,6 +151,49 @@ def merge_single(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def merge_files(existing: DataFrame, formats: DataFrame) -> DataFrame:
+    """Files of any number of formats ``(path, position, id)`` in path order, each taken or rejected whole:
+    ``(path, accepted, reason)``.
+
+    A file is rejected when one of its ids exists or an earlier accepted file brought it. Per round, a
+    file is accepted when it is the first undecided one for all its ids, then what clashes with accepted
+    files is rejected; the first undecided file is always decided. Rounds are written to the shared folder.
+    """
+    spark = formats.sparkSession
+    root = run_folder(spark, "merge")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    known = existing.select("id").distinct()
+    files = kept(formats.select("path", "position", "id"), "files")
+    clashing = files.join(known, "id", "left_semi").select("path").distinct()
+    undecided = kept(files.join(clashing, "path", "left_anti").select("path", "id").distinct(), "undecided-0")
+    accepted, n = undecided.limit(0), 0
+    while not undecided.isEmpty():
+        n += 1
+        first = undecided.groupBy("id").agg(F.min("path").alias("first"))
+        later = undecided.join(first, "id").filter(F.col("path") != F.col("first")).select("path").distinct()
+        chosen = kept(undecided.join(later, "path", "left_anti"), f"accepted-{n}")
+        left = undecided.join(chosen.select("path").distinct(), "path", "left_anti")
+        lost = left.join(chosen.select("id"), "id", "left_semi").select("path").distinct()
+        undecided = kept(left.join(lost, "path", "left_anti"), f"undecided-{n}")
+        accepted = accepted.unionByName(chosen)
+    owners = accepted.select("id", F.col("path").alias("owner")).unionByName(
+        known.select("id", F.lit("").alias("owner"))
+    )
+    reasons = (
+        files.join(accepted.select("path").distinct(), "path", "left_anti").join(owners, "id")
+        .filter(F.col("owner") < F.col("path")).groupBy("path")
+        .agg(F.min(F.struct("position", "id")).alias("clash"))
+    )
+    return files.select("path").distinct().join(reasons, "path", "left").select(
+        "path", F.col("clash").isNull().alias("accepted"),
+        F.concat(F.lit("format id already exists: "), F.col("clash.id")).alias("reason"),
+    )
+
+
 def apply_overrides(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replace catalog rows ``(id, ordinal, application, body)`` by id, in place."""
     new = overrides.select(

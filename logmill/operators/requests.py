@@ -70,13 +70,26 @@ def validate(requests: DataFrame, limit: Column | int | None = None) -> DataFram
 
 
 def attach_files(checked: DataFrame, files: DataFrame) -> DataFrame:
-    """Fill ``text`` of path requests from loaded files ``(path, text, error)``."""
+    """Fill ``text`` of path requests from loaded files ``(path, text, error)``. A path that is no file
+    but has files below it is a folder."""
     found = files.select(
         "path", F.col("text").alias("file_text"), F.col("error").alias("file_error")
     ).withColumn("found_", F.lit(True))
-    joined = checked.join(found, "path", "left")
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    folders = (
+        files.select(F.explode(above).alias("folder_")).distinct().withColumn("is_folder_", F.lit(True))
+    )
+    joined = checked.join(found, "path", "left").join(
+        folders, F.regexp_replace(F.col("path"), "/+$", "") == F.col("folder_"), "left"
+    )
     missing = F.col("path").isNotNull() & F.col("found_").isNull()
-    error = F.when(missing, "cannot resolve path").otherwise(F.col("file_error"))
+    error = (
+        F.when(missing & F.col("is_folder_").isNotNull(), "path is not a regular file")
+        .when(missing, "cannot resolve path").otherwise(F.col("file_error"))
+    )
     failed = F.col("error_code").isNull() & F.col("path").isNotNull() & error.isNotNull()
     return joined.select(
         *[c for c in checked.columns if c not in ("text", "error_code", "message")],
@@ -93,9 +106,15 @@ def respond(
     limit: Column | int | None = None,
     parity: bool = False,
 ) -> DataFrame:
-    """Answer every request with the wanted batch and its measures."""
+    """Answer every request with the wanted batch and its measures. Without ``files`` no path resolves."""
     checked = validate(requests, limit)
-    if files is not None:
+    if files is None:
+        lost = F.col("error_code").isNull() & F.col("path").isNotNull()
+        checked = checked.withColumns({
+            "message": F.when(lost, "cannot resolve path").otherwise(F.col("message")),
+            "error_code": F.when(lost, "input_rejected").otherwise(F.col("error_code")),
+        })
+    else:
         checked = attach_files(checked, files)
     ready = checked.withColumn("budget_", clamp_budget(F.col("batch_chars")))
     usable = ready.withColumn(

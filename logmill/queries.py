@@ -54,12 +54,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- sources and requests -------------------------------------------------------------------
 
+def supplier_files(spark, sf_dir) -> str:
+    """A folder with one log file per supplier: short, over 1 KiB, or not UTF-8."""
+    root = run_folder(spark, "supplier-logs")
+    kind = F.col("s_suppkey") % 7
+    line = F.concat(F.lit("note "), F.col("s_name"), F.lit(" balance "), F.floor("s_acctbal"))
+    text = (
+        F.when(kind == 1, F.concat(line, F.repeat(F.lit("x"), 1_100)))
+        .when(kind == 2, F.concat(line, F.unhex(F.lit("FF")).cast("string"))).otherwise(line)
+    )
+    rows = table(spark, sf_dir, "supplier").select(
+        F.when(F.col("s_suppkey") % 5 == 4, "out").otherwise("in").alias("place"),
+        F.col("s_suppkey").alias("supplier"), text.alias("value"),
+    )
+    rows.write.partitionBy("place", "supplier").text(root)
+    return files.qualified(spark, root)
+
+
+def supplier_of(path: F.Column) -> F.Column:
+    return F.regexp_extract(path, "supplier=([0-9]+)", 1).cast("bigint").alias("supplier")
+
+
 @query
 def file_scan(spark, sf_dir):
-    """Whole-file scan of a folder with the default size limit and the UTF-8 check."""
-    return files.read_logs(spark, sf_dir, glob="*.parquet", roots=[sf_dir]).select(
-        "name", "length", F.col("text").isNotNull().alias("readable"), "error"
+    """Whole-file scan of a folder with allowed roots, a size limit and the UTF-8 check."""
+    root = supplier_files(spark, sf_dir)
+    read = files.read_logs(spark, root, limit=1_024, roots=[f"{root}/place=in"])
+    return read.select(supplier_of(F.col("path")), "length", "text", "error")
+
+
+@query
+def path_requests(spark, sf_dir):
+    """Requests for files: found, missing, folders, outside the roots, too large, not UTF-8."""
+    root = supplier_files(spark, sf_dir)
+    loaded = files.read_logs(spark, root, limit=1_024, roots=[f"{root}/place=in"])
+    kind = F.col("supplier") % 7
+    found = loaded.select(supplier_of(F.col("path")), "path")
+    path = (
+        F.when(kind == 3, F.concat("path", F.lit(".old")))
+        .when(kind == 4, F.regexp_replace("path", "/[^/]+$", "/")).otherwise(F.col("path"))
     )
+    asked = found.select(
+        F.col("supplier").cast("string").alias("request_id"), path.alias("path"),
+        F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("name"),
+        F.when(kind == 5, "best").otherwise("raw").alias("mode"), F.lit(None).cast("int").alias("batch_index"),
+        F.lit(4_000).alias("batch_chars"), F.lit(False).alias("save_artifacts"),
+        F.lit(None).cast("string").alias("client"),
+    )
+    return requests.respond(asked, files=loaded, limit=1_024).select(
+        "request_id", "error_code", "message", "raw_chars", "content"
+    )
+
+
+@query
+def coverage_files(spark, sf_dir):
+    """A coverage list written as CSV and read back."""
+    root = run_folder(spark, "coverage")
+    coverage_table(spark, sf_dir).write.option("header", True).csv(root)
+    return files.read_coverage(spark, root)
+
+
+def profile_rows(spark, sf_dir) -> DataFrame:
+    """Files of many profiles: the parts of one brand and last digit of size."""
+    name = F.concat(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")), F.lit("-"), F.col("p_size") % 10)
+    pid = F.concat(F.lit("p-"), F.lower(F.regexp_replace("p_type", "[^A-Za-z0-9]+", "-")), F.lit("-"), F.col("p_size"))
+    return table(spark, sf_dir, "part").select(name.alias("file"), "p_partkey", pid.alias("id"))
+
+
+@query
+def profile_files(spark, sf_dir):
+    """Profile files written to a folder, read back as formats."""
+    root = run_folder(spark, "profiles")
+    grouped = profile_rows(spark, sf_dir).groupBy("file").agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "id"))).alias("parts")
+    )
+    grouped.select(
+        "file", F.lit(3).alias("schema_version"), F.lit("raw").alias("fallback"),
+        F.transform("parts", lambda p: F.struct(p["id"].alias("id"), F.lit("text").alias("record_kind"))).alias("formats"),
+    ).write.partitionBy("file").json(root)
+    rows = registry.read_formats(files.read_profile_files(spark, root))
+    return rows.select(
+        F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.col("position").cast("bigint").alias("position"),
+        "id", F.col("format_count").cast("bigint").alias("format_count"),
+    )
+
+
+@query
+def profile_file_merge(spark, sf_dir):
+    """Files of many profiles taken or rejected whole, in path order."""
+    rows = profile_rows(spark, sf_dir).select(F.col("file").alias("path"), F.col("p_partkey").alias("position"), "id")
+    existing = rows.filter("position % 97 = 1").select(F.concat("id", F.lit("")).alias("id"))
+    return registry.merge_files(existing.filter(F.endswith("id", F.lit("7"))), rows)
 
 
 def page_paths(spark, sf_dir) -> DataFrame:
@@ -818,15 +903,16 @@ def draft_envelopes(spark, sf_dir):
         F.col("text").alias("model_answer"), F.lit("{}").alias("validated_schema"),
     )
     rows = sinks.draft_envelopes(drafts)
-    return rows.select("id", F.get_json_object("value", "$.model_answer").alias("model_answer"),
+    names = ("metadata_version", "source_log", "provider", "model", "model_answer", "validated_schema")
+    return rows.select("id", *(F.get_json_object("value", f"$.{n}").alias(n) for n in names),
                        F.get_json_object("value", "$.sample_chars_sent").cast("bigint").alias("sample_chars_sent"))
 
 
 # --- audit and sampling ---------------------------------------------------------------------------
 
 def audit_sides(spark, sf_dir) -> DataFrame:
-    """Raw lines and re-read rendered events of the supported documents."""
-    prepared = prepared_corpus(spark, sf_dir).filter("normalized")
+    """Raw lines and re-read rendered events; unsupported documents have no events."""
+    prepared = prepared_corpus(spark, sf_dir)
     return audit.both_sides(prepared, tx.trim_space(F.col("clean")), F.col("parsed_preview"))
 
 

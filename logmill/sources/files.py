@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logmill.operators.requests import clamp_limit
@@ -17,6 +19,13 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as the readers' ``path`` column spells it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "/", named)
+
+
 def under_roots(path: Column, roots: list[str]) -> Column:
     """Whole-component prefix test against a list of allowed roots."""
     out = F.lit(False)

@@ -102,9 +102,9 @@ rs as (select rq.*, b.txt as content, rb.txt as raw_content, pb.txt as parsed_co
   left join sizes sr on sr.doc_id = rq.doc_id and sr.budget = rq.budget and sr.kind = 'raw'
   left join sizes sp on sp.doc_id = rq.doc_id and sp.budget = rq.budget and sp.kind = 'parsed'),
 ok as (select *, case when rejected is not null then 'input_rejected' when bad_mode then 'invalid_mode'
-    when idx >= batch_count then 'batch_out_of_range' end as error_code,
+    when path is not null then 'input_rejected' when idx >= batch_count then 'batch_out_of_range' end as error_code,
     coalesce(rejected, case when bad_mode then 'mode must be auto, raw, parsed, or compare' end,
-      case when idx >= batch_count then 'batch_index ' || idx || ' is outside 0..' || batch_count end) as message,
+      case when path is not null then 'cannot resolve path' when idx >= batch_count then 'batch_index ' || idx || ' is outside 0..' || batch_count end) as message,
     coalesce(len(content), coalesce(len(raw_content), 0) + coalesce(len(parsed_content), 0)) as size from rs),
 resp as (select *, error_code is null as good,
    case when error_code is not null then coalesce(name, case when path is not null then 'x.log' end, 'input')
@@ -142,6 +142,23 @@ ORACLES["artifacts"] = RESP + """
 select request_id, k.part as kind, input_name || '.' || k.part || '.log' as name, case k.part when 'raw' then clean else preview end as text
 from resp, (values ('raw'), ('parsed')) as k(part) where save_artifacts and good"""
 
+# One file per supplier: a line and its end, written and read whole.
+FILES = """(select s_suppkey as k, s_suppkey % 5 = 4 as outside, s_suppkey % 7 as kind,
+  'note ' || s_name || ' balance ' || cast(floor(s_acctbal) as bigint) as line, octet_length(encode('note ' || s_name || ' balance ' || cast(floor(s_acctbal) as bigint))) + 1 as bytes from supplier)"""
+ORACLES["file_scan"] = f"""
+select k as supplier, bytes + case kind when 1 then 1100 when 2 then 1 else 0 end as length,
+  case when not outside and kind not in (1, 2) then line || {NL} end as text,
+  case when outside then 'path is outside the allowed roots' when kind = 1 then 'file exceeds 1024 bytes'
+    when kind = 2 then 'file is not valid UTF-8' end as error from {FILES}"""
+ORACLES["path_requests"] = f"""
+with f as (select *, case when kind = 5 then 'invalid_mode' when kind < 5 and kind > 0 or outside then 'input_rejected' end as code from {FILES})
+select cast(k as varchar) as request_id, code as error_code,
+  case when kind = 5 then 'mode must be auto, raw, parsed, or compare' when kind = 3 then 'cannot resolve path'
+    when kind = 4 then 'path is not a regular file' when outside then 'path is outside the allowed roots'
+    when kind = 1 then 'file exceeds 1024 bytes' when kind = 2 then 'file is not valid UTF-8' end as message,
+  case when code is null then len({o.rtrim('line')}) end as raw_chars, case when code is null then {o.rtrim('line')} end as content
+from f"""
+
 # --- normalization
 CLEAN_M = "with " + o.clean_ctes(MARKED)
 PLAIN = f"""with docs as ({MARKED}), dl as (select doc_id, {o.lines_of('t')} as arr from (select doc_id, {o.lf('text')} as t from docs)),
@@ -377,11 +394,29 @@ with c as (select rank, count(*) as n from {COVER} group by rank), w as (select
 select coalesce(w.rank, c.rank) as rank, coalesce(c.n, 0) as rows from w full outer join c on w.rank = c.rank
 where coalesce(c.n, 0) <> 1 or w.rank is null"""
 ORACLES["coverage_report"] = f"select rank, '| ' || concat_ws(' | ', rank, volume, application, coverage, adapter_or_gap) || ' |' as line from {COVER}"
-ORACLES["draft_envelopes"] = f"select conv_id || '-' || turn as id, text as model_answer, len(text) as sample_chars_sent from {ANSWERS}"
+ORACLES["draft_envelopes"] = f"select conv_id || '-' || turn as id, text as model_answer, len(text) as sample_chars_sent, '1' as metadata_version, 'a.log' as source_log, 'p' as provider, 'm' as model, '{{}}' as validated_schema from {ANSWERS}"
+
+ORACLES["coverage_files"] = f"select * from {COVER}"
+PROFILE_ROWS = """(select lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) || '-' || (p_size % 10) as file, p_partkey,
+  'p-' || lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g')) || '-' || p_size as id from part)"""
+ORACLES["profile_files"] = f"""
+select file, row_number() over (partition by file order by p_partkey) - 1 as position, id,
+  count(*) over (partition by file) as format_count from {PROFILE_ROWS}"""
+# One file after the other; the ids taken so far travel along.
+ORACLES["profile_file_merge"] = f"""
+with recursive p as materialized {PROFILE_ROWS},
+f as materialized (select file, row_number() over (order by file) as n, list(id order by p_partkey) as ids from p group by file),
+step(n, file, taken, clash) as (
+  select 0::bigint, null::varchar, (select coalesce(list(distinct id), []) from p where p_partkey % 97 = 1 and suffix(id, '7')), null::varchar
+  union all
+  select f.n, f.file, case when len(list_filter(f.ids, lambda x: list_contains(s.taken, x))) = 0 then list_concat(s.taken, f.ids) else s.taken end,
+    list_filter(f.ids, lambda x: list_contains(s.taken, x))[1]
+  from step s join f on f.n = s.n + 1)
+select file as path, clash is null as accepted, 'format id already exists: ' || clash as reason from step where n > 0"""
 
 # --- audit and sampling
 SIDES = PREP + f""",
-raw_side as (select c.doc_id, {o.rtrim('l')} as line from (select doc_id, unnest({o.lines_of('trimmed')}) as l from cleaned join choice using (doc_id) where supported) c),
+raw_side as (select c.doc_id, {o.rtrim('l')} as line from (select doc_id, unnest({o.lines_of('trimmed')}) as l from cleaned) c),
 raws as (select doc_id, {o.signature('line')} as sig, {o.raw_line_level('line')} as level from raw_side where line <> ''),
 pars as (select doc_id, {o.signature(o.rtrim('content'))} as sig, severity as level, repeats, content from groups),
 sigs as (select coalesce(r.doc_id, p.doc_id) as doc_id, coalesce(r.n, 0) as raw_n, coalesce(p.n, 0) as parsed_n
