@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from logmill.plans.synth import log_corpus  # noqa: E402
 from logmill.queries import QUERIES  # noqa: E402
 
 HEADLINES = (
@@ -39,14 +40,24 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINES
     spark = session(os.environ.get("BENCH_CPUS", "8"))
+    # the first use of a session compiles code; it is not what a query costs
+    start = time.perf_counter()
+    QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    first = round(time.perf_counter() - start, 3)
     timings: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
+    size = log_corpus(spark, sf_dir).selectExpr("sum(octet_length(text)) / 1e6").first()[0]
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    rates = {
+        name: {"mb_per_sec": round(size / timings[name], 2), "events_per_sec": round(events / timings[name])}
+        for name in ("prepared_summary", "prepared_batches", "log_events") if name in timings
+    }
     print(json.dumps({
         "metric": "total_headline_seconds", "value": round(sum(timings.values()), 3), "unit": "sec",
-        "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "queries": timings, "first_run": first, "rates": rates, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
     spark.stop()
 
