@@ -423,7 +423,7 @@ def test_pipeline(spark, docs, tmp_path):
         if name == "language":
             assert {r.doc_id for r in rows} == {r.doc_id for r in old if re.search(r"[^\W\d_]", r.text or "")}
         if name == "near_copies":
-            assert {r.doc_id for r in rows} == {c for _, n, c in components([(r.doc_id, r.text) for r in old], 4, 85)}
+            assert {r.doc_id for r in rows} == {c for _, n, c in components([(r.doc_id, r.text) for r in old], 5, 80)}
         if name == "secrets":
             assert len(rows) == len(old) and not any(plain_secrets(r.text) for r in rows)
         if name == "mixture":
