@@ -19,8 +19,11 @@ from logmill.session import configure
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """lang becomes the predicted language; documents without one (``und``) go."""
     machines = language.learn(docs)
-    found = language.predicted(docs, machines, tuple(docs.columns)).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # a document travels as one column, so that its own columns cannot clash with the new ones
+    found = language.predicted(docs.select(F.struct("*").alias("doc_"), "text"), machines, ("doc_",))
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(
+        F.col("doc_").withField("lang", F.col("lang_pred")).alias("doc_")
+    ).select("doc_.*")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ and three long) of the whole text, damped and scaled to length one. Families are
 codes; any other code is a family of its own.
 
 The machines are fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows, shared equally by
-the languages and taken by a digest of the text, so the same rows give the same machines.
+the languages and taken by a digest of the text, so the same rows give the same machines. Copies of a
+text count once; the driver gets at most twice ``SAMPLE`` rows.
 
 Edge cases: null texts and texts without a letter get ``und`` and score 0, as does every text when there
 is nothing to learn from; with one language all other texts get that language; null and repeated ids are
@@ -147,7 +148,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machines | None:
     share = F.lit(1.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    digest = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    chosen = (
+        rows.withColumn("digest", digest).filter(F.col("digest") < share * (1 << 30))
+        .groupBy("lang", "digest").agg(F.any_value("text").alias("text")).orderBy("digest", "lang").limit(2 * sample)
+    )
     found = per_batch(
         chosen.select("text", "lang"),
         lambda b: {"lang": b.column(1), "x": [row.tobytes() for row in features(b.column(0)).astype(np.float16)]},
@@ -179,12 +184,13 @@ def _predicted(texts: pa.Array, machines: Machines | None) -> tuple[list[str], n
 
 
 def predicted(docs: DataFrame, machines: Machines | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; only the text is looked at."""
+    """The columns ``keep`` (others than the two new ones) with lang_pred and score; only the text is looked at."""
     batched(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    kept = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batch: pa.RecordBatch) -> dict:
         lang, score = _predicted(batch.column("text_").cast(pa.string()), machines)
         return {**{c: batch.column(c) for c in keep}, "lang_pred": lang, "score": score}
 
-    return per_batch(docs.select(*keep, F.col("text").alias("text_")), run, schema)
+    return per_batch(docs.select(*kept, F.col("text").alias("text_")), run, schema)

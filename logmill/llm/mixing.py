@@ -2,8 +2,9 @@
 
 Every document stands in its source's queue in a fixed shuffled order, up to ``REPEATS`` times (the
 queue starts again when it ends). An entry's virtual finish time is the source's words up to and
-including it, divided by the source's target. All queues are merged by finish time (range bins, then
-exact order inside the one bin that holds the cut) and cut where the total budget is reached.
+including it, divided by the source's target. All queues are merged by finish time and cut where the
+total budget is reached: range bins find the cut, finer ones inside its bin narrow it, and rows are
+put in exact order only in the one fine bin that holds it.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its own,
 after all others; null and repeated ids are rows like any other (identical rows are interchangeable);
@@ -18,7 +19,7 @@ from logmill.llm.common import columns_of, order_key, running_total, stored, wor
 
 #: How often the mix may take one document.
 REPEATS = 3
-#: Range bins per unit of virtual time; times from 2 on share the last bin.
+#: Range bins per unit of virtual time (times from 2 on share the last bin), and fine bins in each.
 BINS = 4_096
 SOURCE_KEY = "coalesce(concat('s', source), '~')"
 
@@ -61,6 +62,16 @@ def targets(sizes: DataFrame, budget: int) -> DataFrame:
     return sizes.withColumn("target", F.when(full, cap.cast("double")).otherwise(F.col("weight") * F.lit(level)))
 
 
+def _cut(entries: DataFrame, bins: str, room: int) -> tuple[int, int] | None:
+    """The bin in which the sizes exceed ``room``, and the sizes before it; null if all fit."""
+    along = Window.orderBy(bins).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (
+        entries.groupBy(bins).agg(F.sum("size").alias("size"))  # at most 2 * BINS + 1 rows
+        .withColumn("upto", F.sum("size").over(along)).filter(F.col("upto") > room).orderBy(bins).first()
+    )
+    return cut and (cut[bins], cut["upto"] - cut["size"])
+
+
 def mixed(rows: DataFrame, weighted: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with source_size, target and taken; ``weighted`` has a weight for each
     source_key_ with its source_size. The budget is all words there are."""
@@ -78,22 +89,23 @@ def mixed(rows: DataFrame, weighted: DataFrame) -> DataFrame:
         .select("row_", "size", "source_key_", "order_", "finish_", "bin_")
     )
     entries = stored(entries, "mixing-queue")
-    along = Window.orderBy("bin_").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        entries.groupBy("bin_").agg(F.sum("size").alias("size"))  # at most 2 * BINS + 1 rows
-        .withColumn("upto", F.sum("size").over(along))
-        .filter(F.col("upto") > budget).orderBy("bin_").first()
-    )
+    cut = _cut(entries, "bin_", budget)
     if cut is None:
         kept = entries
     else:
+        at, spent = cut
+        inside = entries.filter(F.col("bin_") == at).withColumn(
+            "fine_", F.least(F.floor((F.col("finish_") * BINS - F.col("bin_")) * BINS), F.lit(BINS))
+        )
+        fine, before = _cut(inside, "fine_", budget - spent)
         order = Window.orderBy("finish_", "source_key_", "order_", "size", "row_").rowsBetween(Window.unboundedPreceding, 0)
         edge = (
-            entries.filter(F.col("bin_") == cut["bin_"])
-            .withColumn("upto", F.sum("size").over(order) + F.lit(cut["upto"] - cut["size"]))
-            .filter(F.col("upto") <= budget)
+            inside.filter(F.col("fine_") == fine)
+            .withColumn("upto", F.sum("size").over(order) + F.lit(spent + before)).filter(F.col("upto") <= budget)
         )
-        kept = entries.filter(F.col("bin_") < cut["bin_"]).unionByName(edge.drop("upto"))
+        kept = entries.filter(F.col("bin_") < at).unionByName(
+            inside.filter(F.col("fine_") < fine).drop("fine_")
+        ).unionByName(edge.drop("fine_", "upto"))
     taken = kept.groupBy("row_").agg(F.sum("size").alias("taken"))
     return (
         rows.join(aimed, "source_key_").join(taken, "row_", "left")

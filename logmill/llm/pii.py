@@ -6,7 +6,7 @@ patterns run on the rewritten text; what they find is mapped back to source offs
 uses something rewritten and overlaps no base span. Only texts in which a trigger stands are rewritten.
 
 A bare "at" counts only together with a spelled or bracketed dot ("look at example.org" is no address);
-digits count as spelled from ``SPELLED`` number words in a row.
+digits count as spelled from ``SPELLED`` number words in a row, spelled dots between them allowed.
 
 Edge cases: null is the empty text; a text without spans gets 0, the digest of the empty string and an
 empty list; null and repeated ids are rows like any other; an empty table gives no rows; other columns
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from logmill.llm.common import batched, columns_of, per_batch
-from logmill.llm.spans import Span, clear_of, digest, listed
+from logmill.llm.spans import Cover, Span, digest, listed
 
 KINDS = ("email", "ip", "card", "phone")
 SPELLED = 7
@@ -46,8 +46,9 @@ NUMBER_WORDS = (
 )
 DIGIT = {word: str(n) for n, words in enumerate(NUMBER_WORDS) for word in words}
 _WORDS = "|".join(sorted(DIGIT, key=len, reverse=True))
-SPELLED_RUN = re.compile(rf"(?i)(?P<plus>(?:\+|(?<!\w)plus)[\s-]*)?(?<!\w)(?:{_WORDS})(?:[\s-]+(?:{_WORDS})){{{SPELLED - 1},}}(?!\w)")
-_SPELLED_WORD = re.compile(rf"(?i){_WORDS}")
+_JOIN = r"[\s-]+(?:(?:dot|punkt|punto)[\s-]+)?"
+SPELLED_RUN = re.compile(rf"(?i)(?P<plus>(?:\+|(?<!\w)plus)[\s-]*)?(?<!\w)(?:{_WORDS})(?:{_JOIN}(?:{_WORDS})){{{SPELLED - 1},}}(?!\w)")
+_SPELLED_WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
 _OPEN, _CLOSE = r"\s*[(\[{]\s*", r"\s*[)\]}]\s*"
 HIDDEN_DOT = re.compile(rf"(?i){_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|\s+(?:dot|punkt|punto)\s+")
 HIDDEN_AT = re.compile(rf"(?i){_OPEN}(?:at|arroba|arobase|@){_CLOSE}|\s+@\s*|@\s+")
@@ -60,7 +61,7 @@ HIDDEN_IP = re.compile(rf"(?i)(?<![0-9])[0-9]+(?:{_DOT}[0-9]+){{3}}")
 _ANY_DOT = re.compile(rf"(?i){_DOT}")
 TRIGGER = (
     r"[\x{0370}-\x{052F}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]|"
-    r"(?i:\b(?:" + _WORDS + r")(?:[\s-]+(?:" + _WORDS + r")){6})|"
+    r"(?i:\b(?:" + _WORDS + r")(?:" + _JOIN + r"(?:" + _WORDS + r")){6})|"
     r"(?i:[(\[{]\s*(?:at|arroba|arobase|@|dot|punkt|punto|point|\.)\s*[)\]}])|(?i:\s(?:dot|punkt|punto)\s)|\s@|@\s"
 )
 
@@ -149,7 +150,9 @@ def deobfuscated(text: str) -> Tape:
         if m["plus"]:
             changes.append((*m.span("plus"), "+"))
         for k, w in enumerate(words):  # what joins two words goes with the first
-            changes.append((w.start(), words[k + 1].start() if k + 1 < len(words) else w.end(), DIGIT[w[0].lower()]))
+            to = words[k + 1].start() if k + 1 < len(words) else w.end()
+            dot = "." if any(c.isalpha() for c in tape.text[w.end() : to]) else ""
+            changes.append((w.start(), to, DIGIT[w[0].lower()] + dot))
     tape.rewrite(changes)
     changes = []
     for m in ADDRESS.finditer(tape.text):
@@ -170,12 +173,12 @@ def deobfuscated(text: str) -> Tape:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    tape, added = deobfuscated(text), []
+    tape, cover, added = deobfuscated(text), Cover(base), []
     for start, end, kind in base_spans(tape.text):
         if any(tape.new[start:end]):
-            span = (*tape.source(start, end), kind)
-            if clear_of(span, base):
-                added.append(span)
+            span = tape.source(start, end)
+            if cover.clear(*span):
+                added.append((*span, kind))
     return added
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 Span = tuple[int, int, str]  # start, end (exclusive), kind; in code points
 
@@ -16,8 +17,21 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(listed(spans, kinds).encode()).hexdigest()
 
 
-def clear_of(span: Span, taken: list[Span]) -> bool:
-    return all(span[1] <= s or span[0] >= e for s, e, _ in taken)
+class Cover:
+    """The union of spans; tells in logarithmic time whether another span is clear of all of them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for start, end, *_ in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def clear(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k == 0 or self.ends[k - 1] <= start
 
 
 def blanked(text: str, spans: list[Span]) -> str:

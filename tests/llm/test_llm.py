@@ -19,15 +19,17 @@ from logmill.llm import (  # noqa: E402
     token_counts, url_filter,
 )
 
+from logmill.llm.spans import Cover  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
-AWKWARD = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bucket int, row int, cls int, order_ string"
+AWKWARD = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bucket int, row int, cls int, order_ string, score int, lang_pred string, text_ int, doc_ int, `a.b` int"
 LONG = "alpha beta gamma delta " * 20_000
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Null columns, an empty and a very long text, equal ids, repeated rows, names that clash."""
-    more = (1, 1, 1, 1, 1, "x")
+    more = (1, 1, 1, 1, 1, "x", 1, "xx", 1, 1, 1)
     rows = [
         (1, "one two three four five six seven eight nine ten", "en", "a", *more),
         (1, "one two three four five six seven eight nine ten", "en", "a", *more),
@@ -103,6 +105,9 @@ def test_language(spark, docs, odd, none):
     assert language.learn(none) is None
     assert {r.lang_pred for r in language.predicted(odd, None).collect()} == {"und"}
     assert language.predicted(none, machines).count() == 0
+    hot = docs.union(docs.filter("doc_id = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9_000)))).drop("copy"))
+    again = language.predicted(docs, language.learn(hot.filter(~held)), ("doc_id", "lang")).filter(held).collect()
+    assert np.mean([r.lang == r.lang_pred for r in again]) > 0.95
     one = language.learn(docs.filter("lang = 'en'"))
     assert {r.lang_pred for r in language.predicted(docs, one).collect()} == {"en"}
 
@@ -399,6 +404,7 @@ def test_base_patterns_on_random_text():
     ("ｊｏｅ＠ｍａｉｌ．ｃｏｍ", "email", "ｊｏｅ＠ｍａｉｌ．ｃｏｍ"),
     ("ip 192[.]168[.]1[.]10", "ip", "192[.]168[.]1[.]10"),
     ("call plus one two three four five six seven eight nine zero one.", "phone", "plus one two three four five six seven eight nine zero one"),
+    ("host one nine two dot one six eight dot one dot two zero", "ip", "one nine two dot one six eight dot one dot two zero"),
     ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
 ])
 def test_disguises(text, kind, value):
@@ -406,11 +412,38 @@ def test_disguises(text, kind, value):
     assert [(k, text[s:e]) for s, e, k in found] == [(kind, value)]
 
 
-@pytest.mark.parametrize("text", ["look at example.com now", "one two three", "meet me at the dot", "привет мир", "a @ b"])
+@pytest.mark.parametrize("text", ["look at example.com now", "one two three", "meet me at the dot", "привет мир", "a @ b", "one dot two three four five six seven eight", "punkt eins zwei"])
 def test_clean_texts_stay_clean(text):
     assert pii.added_spans(text, pii.base_spans(text)) == []
 
 
+def test_cover():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        spans = [(int(a), int(a + n), "x") for a, n in zip(rng.integers(0, 60, 5), rng.integers(1, 9, 5))][: rng.integers(0, 6)]
+        cover = Cover(spans)
+        for a in range(70):
+            assert cover.clear(a, a + 3) == all(a + 3 <= s or a >= e for s, e, _ in spans)
+
+
+def test_cut_inside_one_bin(spark):
+    """Very many small documents whose finish times crowd round the cut."""
+    rows = [(k, " ".join(["w"] * (1 + k % 3)), "ab"[k % 5 == 0]) for k in range(6_000)] + [(9_000, "v " * 40_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).collect()
+    total, largest = sum(r.size for r in got), max(r.size for r in got)
+    taken = sum(r.taken for r in got)
+    assert len(got) == len(rows) and total - largest < taken <= total and all(r.taken <= 3 * r.size for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, odd, none, stage):
+    got = stage(spark, odd, SF)
+    assert "bucket_len" in got.columns or got.columns == odd.columns
+    assert got.count() > 0 and stage(spark, none, SF).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     before = docs
     for name, stage in corpus_pipeline.STAGES:
