@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The characters with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -21,15 +22,19 @@ MARKERS = ("Bearer ", "api_key=", "apikey=", "password=", "token=")
 REDACTED = "[REDACTED]"
 
 
-_CACHE: dict[tuple, Column] = {}
+_CACHE: WeakKeyDictionary[SparkContext, dict[tuple, Column]] = WeakKeyDictionary()
+#: Columns kept for one context; user catalogs come and go, so the oldest leave.
+CACHED = 64
 
 
 def cached(key: tuple, build: Callable[[], Column]) -> Column:
-    """A column that depends only on ``key``, built once per JVM (large trees take a while)."""
-    key = (*key, id(SparkContext._jvm))
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
+    """A column that depends only on ``key``, built once per context (large trees take a while)."""
+    own = _CACHE.setdefault(SparkSession.active().sparkContext, {})
+    if key not in own:
+        own[key] = build()
+        if len(own) > CACHED:
+            del own[next(iter(own))]
+    return own[key]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -235,5 +240,6 @@ def safe_name(name: Column) -> Column:
     return F.coalesce(non_empty(cleaned), F.lit("input"))
 
 
-def first_line(text: Column, limit: int = 120) -> Column:
-    return F.left(F.coalesce(F.get(text_lines(text), F.lit(0)), F.lit("ok")), F.lit(limit))
+def first_line(text: Column, limit: int | None = 120) -> Column:
+    line = F.coalesce(F.get(text_lines(text), F.lit(0)), F.lit("ok"))
+    return line if limit is None else F.left(line, F.lit(limit))

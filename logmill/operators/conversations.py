@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logmill.functions.text import first_line, is_blank, tail_chars
 from logmill.operators.lines import last_rows
-from logmill.operators.ordering import RANGE, running_sum
+from logmill.operators.ordering import RANGE, extreme_rows, running_sum
 
 # The note before a shortened message, the smallest budget, the kept history.
 EARLIER_CUT = "[earlier text truncated]\n"
@@ -47,9 +47,7 @@ def latest_message(
     messages: DataFrame, role: str = "user", conv: str = "conv_id", turn: str = "turn",
     text: str = "text",
 ) -> DataFrame:
-    return messages.filter(F.col("role") == role).groupBy(conv).agg(
-        F.max(turn).alias(turn), F.max_by(text, turn).alias(text)
-    )
+    return extreme_rows(messages.filter(F.col("role") == role).select(conv, turn, text), [conv], turn, newest=True)
 
 
 def trim_history(
@@ -62,9 +60,8 @@ def titles(
     messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text"
 ) -> DataFrame:
     """Title from the first line of the first question, unless that line is blank."""
-    first = messages.filter(F.col("role") == "user").groupBy(conv).agg(
-        F.min_by(text, turn).alias("question")
-    )
-    line = F.left(first_line(F.trim("question"), 1_000_000), F.lit(TITLE_CHARS))
+    asked = messages.filter(F.col("role") == "user").select(conv, turn, F.col(text).alias("question"))
+    first = extreme_rows(asked, [conv], turn)
+    line = first_line(F.trim("question"), TITLE_CHARS)
     numbered = F.concat(F.lit("Chat "), F.col(conv))
     return first.select(conv, F.when(is_blank(line), numbered).otherwise(line).alias("title"))

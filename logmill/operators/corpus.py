@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logmill.functions.severity import is_important
 from logmill.operators.prepare import event_groups, reduction_percent
 from logmill.plans.catalog import Profile
+from logmill.session import written
 
 
 def templates(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every fingerprint of the corpus with total repeats, documents and its first example.
 
-    Documents are deduplicated inside their row, then partially aggregated: one shuffle of at most
-    one row per fingerprint and task, so a template that fills a third of the corpus stays cheap.
+    Documents are deduplicated inside their row and written once. Counts and the first document (a
+    numeric ``key``) are partially aggregated in hash tables: at most one row per fingerprint and task
+    is shuffled. The example comes by an equi-join on fingerprint and document, which no template skews.
     """
-    rows = event_groups(parsed, key)
-    return rows.groupBy("fingerprint").agg(
-        F.sum("repeats").alias("total_repeats"),
-        F.count(F.lit(1)).alias("documents"),
-        F.min_by("content", F.struct(key, "first_seq")).alias("example"),
+    rows = written(event_groups(parsed, key).select(key, "fingerprint", "repeats", "content"), "template-rows")
+    counted = rows.groupBy("fingerprint").agg(
+        F.sum("repeats").alias("total_repeats"), F.count(F.lit(1)).alias("documents"), F.min(key).alias(key)
+    )
+    # a document has a fingerprint once
+    return rows.select(key, "fingerprint", F.col("content").alias("example")).join(counted, [key, "fingerprint"]).select(
+        "fingerprint", "total_repeats", "documents", "example"
     )
 
 

@@ -12,6 +12,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGE = 4_096
 
 
+def extreme_rows(df: DataFrame, keys: list[str], order: str, newest: bool = False) -> DataFrame:
+    """The row of each group with the smallest (``newest``: greatest) ``order``, a number that is unique
+    in its group.
+
+    The aggregation sees numbers only, so it stays a hash aggregation; texts come by an equi-join.
+    """
+    columns = [*keys, order]
+    best = df.groupBy(*keys).agg((F.max if newest else F.min)(order).alias(order)).toDF(*(f"best_{c}" for c in columns))
+    same = [F.col(c).eqNullSafe(F.col(f"best_{c}")) for c in columns]
+    return df.join(best, same).drop(*best.columns)
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],

@@ -97,7 +97,7 @@ def sections(text: Column) -> Column:
     def last_marked(lines: Column, prefix: str) -> Column:
         marked = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit(prefix)))
         value = let(marked, lambda m: F.get(m, F.size(m) - 1))
-        return F.coalesce(trim_space(F.substring(value, len(prefix) + 1, 1 << 30)), F.lit(""))
+        return F.coalesce(trim_space(F.substr(value, F.lit(len(prefix) + 1))), F.lit(""))
 
     def build(lines: Column) -> Column:
         found = {name: last_marked(lines, prefix) for name, prefix in SECTIONS}

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logmill.functions.text import regex
+from logmill.operators.ordering import extreme_rows
 from logmill.operators.parse import outcomes, parse
 from logmill.plans.catalog import (
     BUILT_IN, FALLBACK, SCHEMA_VERSION, Profile, parse_profiles, profiles_json,
@@ -246,8 +247,7 @@ def lookup(sources: dict[str, DataFrame]) -> DataFrame:
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    best = F.min_by(F.struct("body", "found_in"), "priority")
-    return union.groupBy("id").agg(best.alias("best")).select("id", "best.body", "best.found_in")
+    return extreme_rows(union, ["id"], "priority").select("id", "body", "found_in")
 
 
 def install(stored: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -263,9 +263,7 @@ def install(stored: DataFrame, drafts: DataFrame) -> DataFrame:
 def upsert(stored: DataFrame, newer: DataFrame) -> DataFrame:
     """Overwrite by id: the highest ``version`` of every id."""
     union = stored.select("id", "body", "version").unionByName(newer.select("id", "body", "version"))
-    return union.groupBy("id").agg(
-        F.max_by("body", "version").alias("body"), F.max("version").alias("version")
-    )
+    return extreme_rows(union, ["id"], "version", newest=True)
 
 
 def restore_defaults(states: DataFrame, base: DataFrame) -> DataFrame:

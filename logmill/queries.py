@@ -11,8 +11,10 @@ from logmill.functions import batching, fingerprint as fp, records, severity, te
 from logmill.operators import (
     audit, conversations, corpus, lines as ln, parse as ps, prepare as pp, prompts, registry, requests,
 )
+from logmill.operators.ordering import extreme_rows
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import matching_formats
+from logmill.plans.profile_texts import profile_corpus
 from logmill.plans.synth import documents, log_corpus, order_corpus, spread
 from logmill.session import configure, run_folder
 from logmill.sources import files, sinks
@@ -33,6 +35,10 @@ ORDER_PROFILE = Profile(
      ],
      "default_severity": "INFO"},
 )
+COMMA_PROFILE = Profile(
+    "comma-orders", "text", (("regex", r"^\d+,[OFP],\d+,\d-"),), ORDER_PROFILE.any,
+    {**ORDER_PROFILE.parser, "delimiter": "comma"},
+)
 
 
 def by_id(profile_id: str) -> Profile:
@@ -367,6 +373,17 @@ def detected_formats(spark, sf_dir):
     )
 
 
+@query
+def profile_detections(spark, sf_dir):
+    """Documents in the grammar of every built-in profile: the format, and where and how severe its events are."""
+    parsed = ps.parse(profile_corpus(spark, sf_dir))
+    return parsed.select(
+        "doc_id", F.array_join("format_ids", ",").alias("format_ids"), "supported",
+        F.array_join(F.col("events.source"), "; ").alias("sources"),
+        F.array_join(F.col("events.severity"), ",").alias("severities"),
+    )
+
+
 @query
 def format_candidates(spark, sf_dir):
     """Every matching text profile with its score."""
@@ -713,18 +730,15 @@ def part_profiles(spark, sf_dir) -> DataFrame:
 
 def base_profiles(spark, sf_dir) -> DataFrame:
     """The oldest profile of every id, as the installed catalog."""
-    return part_profiles(spark, sf_dir).groupBy("id").agg(
-        F.min("p_partkey").alias("ordinal"), F.min_by("application", "p_partkey").alias("application"),
-        F.min_by("body", "p_partkey").alias("body"), F.min("p_size").alias("p_size"),
+    return extreme_rows(part_profiles(spark, sf_dir), ["id"], "p_partkey").select(
+        "id", F.col("p_partkey").alias("ordinal"), "application", "body", "p_size"
     ).withColumn("origin", F.when(F.col("p_size") % 2 == 0, "built-in").otherwise("user"))
 
 
 def newest_profiles(spark, sf_dir) -> DataFrame:
     """The newest profile of ids with a size divisible by five: overrides."""
-    return part_profiles(spark, sf_dir).filter("p_size % 5 = 0").groupBy("id").agg(
-        F.max_by("application", "p_partkey").alias("application"),
-        F.max_by("body", "p_partkey").alias("body"),
-    )
+    sized = part_profiles(spark, sf_dir).filter("p_size % 5 = 0")
+    return extreme_rows(sized, ["id"], "p_partkey", newest=True).select("id", "application", "body")
 
 
 def disabled_profiles(spark, sf_dir) -> DataFrame:
@@ -862,6 +876,13 @@ def order_events(spark, sf_dir):
     )
 
 
+@query
+def comma_order_events(spark, sf_dir):
+    """The same with commas, and both user profiles to choose from."""
+    docs = order_corpus(spark, sf_dir).withColumn("text", F.replace("text", F.lit("|"), F.lit(",")))
+    return ps.events(docs, profiles=[*BUILT_IN, ORDER_PROFILE, COMMA_PROFILE]).withColumn("seq", F.col("seq").cast("bigint"))
+
+
 @query
 def format_usage(spark, sf_dir):
     return corpus.format_usage(ps.outcomes(log_corpus(spark, sf_dir)), BUILT_IN)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logmill.functions.fingerprint import fingerprint
 from logmill.functions.severity import is_important, text_severity
 from logmill.functions.text import normalize_line, redact
+from logmill.operators.ordering import extreme_rows
 
 
 def line_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -121,8 +122,7 @@ def updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> Streaming
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current table from the written updates: the newest batch of every key."""
     updates = spark.read.parquet(path)
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    return updates.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+    return extreme_rows(updates, keys, "batch", newest=True).drop("batch")
 
 
 def latest_templates(spark: SparkSession, path: str) -> DataFrame:

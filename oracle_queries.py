@@ -10,7 +10,7 @@ from logmill.operators.prompts import INSTRUCTION, SYNTHESIS
 from logmill.plans.catalog import BUILT_IN
 from logmill.plans.extract import BUILD_MARKER, OMITTED
 from logmill.plans.synth import STYLES
-from logmill.queries import EXPECTED, ORDER_PROFILE
+from logmill.queries import COMMA_PROFILE, EXPECTED, ORDER_PROFILE
 
 q, NL = o.q, o.NL
 MIX = o.corpus()
@@ -214,6 +214,77 @@ ORACLES["detected_formats"] = MIXED + """
 select l.doc_id, replace(l.ids, ' + ', ',') as format_ids, l.supported,
   case when l.supported then p.n_events else 0 end as event_count, l.detected_format
 from labelled l left join per_doc p using (doc_id)"""
+# What the grammar of each profile gives, in the order in which events take turns.
+PROFILE_RESULTS = """
+cargo-rustc-error|line 1; lines 2-4; lines 5-6|INFO,ERROR,ERROR
+rustc-clippy-short-diagnostic|line 1; lines 2-3|WARNING,ERROR
+docker-cli-error|lines 1-2|ERROR
+docker-buildkit-error|lines 1-4|ERROR
+gcc-compiler|line 1|ERROR
+gpp-compiler|line 1|ERROR
+git-cli-error|line 1|CRITICAL
+javac-compiler|line 1|ERROR
+java-exception|lines 1-2|ERROR
+node-exception|lines 1-2|ERROR
+npm-cli-error|lines 1-2|ERROR
+postgres-client-error|line 1|ERROR
+python-traceback|lines 1-3|ERROR
+shell-command-not-found|line 1|ERROR
+browser-chromium-v8-stack|lines 1-2|ERROR
+browser-firefox-stack|lines 1-2|ERROR
+browser-safari-webkit-stack|lines 1-3|ERROR
+browser-console-security|line 1|ERROR
+browser-minified-v8-stack|lines 1-2|ERROR
+react-browser-error|line 1|ERROR
+vue-browser-error|line 1|ERROR
+angular-browser-error|line 1|ERROR
+dotnet-exception|lines 1-2|ERROR
+msbuild-diagnostic|line 1|ERROR
+go-panic|lines 1-4|CRITICAL
+go-test-failure|lines 1-2|ERROR
+kubernetes-events|line 1|WARNING
+kubernetes-prefixed-pod-log|line 1; lines 2-3|UNKNOWN,ERROR
+nginx-error|line 1; line 2|CRITICAL,INFO
+nginx-access|line 1; line 2|ERROR,UNKNOWN
+mysql-error-log|line 1; line 2|WARNING,UNKNOWN
+redis-log|line 1; line 2|UNKNOWN,ERROR
+mongodb-json-log|JSON item 1 / MongoDB; JSON item 2 / MongoDB|WARNING,CRITICAL
+systemd-journal-short|line 1; line 2|UNKNOWN,ERROR
+systemd-journal-json|JSON item 1 / journal|CRITICAL
+native-asan|line 1|CRITICAL
+native-gdb-backtrace|lines 1-2|CRITICAL
+native-crash|line 1|CRITICAL
+android-logcat|lines 1-2; line 3|WARNING,INFO
+apache-error-log|line 1; line 2|INFO,ERROR
+bgl-ras|line 1; line 2|CRITICAL,INFO
+hadoop|lines 1-2; line 3|WARNING,CRITICAL
+hdfs|line 1; line 2|INFO,ERROR
+healthapp|line 1; line 2|UNKNOWN,WARNING
+hpc-failure|line 1; line 2|ERROR,UNKNOWN
+linux-syslog|line 1; line 2|UNKNOWN,CRITICAL
+mac-unified-syslog|line 1|UNKNOWN
+openssh-auth|line 1; line 2|UNKNOWN,ERROR
+openstack|line 1; line 2|INFO,WARNING
+proxifier|line 1; line 2|ERROR,UNKNOWN
+spark|line 1; line 2|WARNING,INFO
+thunderbird-ras|line 1|UNKNOWN
+windows-cbs|line 1; line 2|WARNING,INFO
+zookeeper|line 1; line 2|WARNING,INFO
+prometheus-logfmt|line 1; line 2|ERROR,INFO
+aws-vpc-flow-default|line 1; line 3; line 4|ERROR,WARNING,INFO
+kafka-broker-log4j|lines 1-2; line 3|ERROR,INFO
+opensearch-application-log|line 1|WARNING
+rabbitmq-plaintext|line 1; line 2|ERROR,INFO
+elastic-ecs-server-json|JSON item 1 / Elastic ECS|WARNING
+gcp-http-request|JSON item 1|CRITICAL
+gcp-proto-payload-audit|JSON item 1 / protoPayload|ERROR
+gcp-text-payload|JSON item 1 / textPayload|ERROR
+gcp-json-payload|JSON item 1 / jsonPayload|INFO
+""".split("\n")[1:-1]
+_results = ", ".join(f"({k}, " + ", ".join(map(q, row.split("|"))) + ")" for k, row in enumerate(PROFILE_RESULTS))
+ORACLES["profile_detections"] = f"""
+select event_id as doc_id, r.id as format_ids, true as supported, r.sources, r.severities
+from events join (values {_results}) as r(k, id, sources, severities) on event_id % {len(PROFILE_RESULTS)} = r.k"""
 ORACLES["format_candidates"] = "with " + o.clean_ctes(MIX) + " " + " union all ".join(
     f"select doc_id, {q(p.id)} as id, {p.score} as score from cleaned where {o.detector(p, 'trimmed')}"
     for p in BUILT_IN if p.record_kind == "text")
@@ -378,6 +449,8 @@ select doc_id, case when not supported then 'confirm' when ids = 'kafka-broker-l
   case when supported and ids <> 'kafka-broker-log4j' then 'wrong update log: selected kafka-broker-log4j, detected ' || ids end as reason from labelled"""
 ORACLES["uncovered_documents"] = MIXED + " select doc_id, detected_format from labelled where not supported"
 ORACLES["order_events"] = o.pipeline(ORDERS, [*BUILT_IN, ORDER_PROFILE]) + EVENTS
+ORACLES["comma_order_events"] = o.pipeline(
+    f"select doc_id, replace(text, '|', ',') as text from ({ORDERS})", [*BUILT_IN, ORDER_PROFILE, COMMA_PROFILE]) + EVENTS
 CATALOG_ROWS = ", ".join(
     f"({q(p.id)}, {q(p.label)}, {p.catalog_rank if p.catalog_rank is not None else 'null'})" for p in BUILT_IN)
 ORACLES["format_usage"] = MIXED + f"""

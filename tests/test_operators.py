@@ -7,8 +7,9 @@ from logmill.operators import (
     audit, conversations as cv, corpus, lines as ln, parse as ps, prepare as pp, prompts, registry as rg,
     requests as rq,
 )
-from logmill.operators.ordering import running_sum
+from logmill.operators.ordering import extreme_rows, running_sum
 from logmill.plans.catalog import BUILT_IN, Profile, parse_profiles, profiles_json
+from logmill.queries import QUERIES
 from logmill.sources import files, sinks
 
 
@@ -289,3 +290,17 @@ def test_sinks(spark, docs, tmp_path):
 def test_no_shuffle_in_preparation(docs):
     plan = pp.summary(pp.prepare(docs("a"), 3_000))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_extreme_rows(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), (None, 2, "z"), (None, 5, None), ("b", 7, "w")]
+    df = spark.createDataFrame(rows, "k string, o bigint, v string")
+    assert sorted(map(tuple, extreme_rows(df, ["k"], "o").collect()), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+    assert sorted(map(tuple, extreme_rows(df, ["k"], "o", newest=True).collect()), key=repr) == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_no_sort_aggregate_over_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("corpus_templates", "latest_questions", "conversation_titles", "profile_lookup", "profile_restore", "stream_templates"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan, name
