@@ -10,8 +10,8 @@ keep the pairs few without losing a link:
    cannot change it. So a large group of near copies costs its size and not the square of it.
 
 Verification intersects the whole sets. Sets are made again from the texts, for the classes of possible
-pairs only; a bit table of fixed size (``FILTER_BITS``) tells workers which, its false hits cost time
-only.
+pairs only, each from one of its texts. A bit table of fixed size (``FILTER_BITS``) over text digests tells
+workers which texts; its false hits cost time only.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MARKS = [f"m{k}" for k in range(MARK_WORDS)]
 FILTER_BITS = 25
 #: Rows of a bucket for each salt.
 SALTED = 128
-ROWS = "doc_id bigint, n bigint, cls bigint, marks array<bigint>, keys array<bigint>"
+ROWS = "doc_id bigint, n bigint, cls bigint, marks array<bigint>, keys array<bigint>, digest bigint"
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -78,11 +78,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, grams): the sorted set, eight bytes a member, of each wanted class (and a few more)."""
-    slot = F.col("cls").bitwiseAND((1 << FILTER_BITS) - 1)
+    """(cls, grams): the sorted set, eight bytes a member, of each wanted (cls, digest of one of its texts)."""
+    slot = F.col("digest").bitwiseAND((1 << FILTER_BITS) - 1)
     words = (
         wanted.groupBy(F.shiftright(slot, 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(cls & 63 as int))")).alias("bits")).toPandas()
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(digest & 63 as int))")).alias("bits")).toPandas()
     )
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
@@ -90,26 +90,30 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
-        seen: set[int] = set()
         for batch in batches:
+            digest = batch.column(1).to_numpy().view(np.uint64)
+            at = digest & np.uint64((1 << FILTER_BITS) - 1)
+            word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            rows = np.flatnonzero(bits[word] & bit)
+            rows = rows[np.sort(np.unique(digest[rows], return_index=True)[1])]
+            texts = batch.column(0).take(pa.array(rows))
             ids, grams = [], []
-            for found in shingle_sets(batch.column(0), width):
-                cls = class_of(found)
-                at = cls & ((1 << FILTER_BITS) - 1)
-                if len(found) and cls not in seen and int(bits[at >> 6]) >> (at & 63) & 1:
-                    seen.add(cls)
-                    ids.append(cls)
+            for found in shingle_sets(texts, width):
+                if len(found):
+                    ids.append(class_of(found))
                     grams.append(found.tobytes())
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
 
-    found = docs.select("text").mapInArrow(run, "cls bigint, grams binary")
+    found = docs.select("text", F.xxhash64("text").alias("digest")).mapInArrow(run, "cls bigint, grams binary")
     return stored(found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.any_value("grams").alias("grams")), "sets")
 
 
-def _verified(texts: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(texts: DataFrame, width: int, pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    sets = _sets(texts, width, stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("cls"), "wanted"))
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("cls").join(info.select("cls", "digest"), "cls")
+    sets = _sets(texts, width, stored(wanted, "wanted"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -187,12 +191,14 @@ def _star_pairs(postings: DataFrame, info: DataFrame, percent: int) -> DataFrame
 def grouped(
     docs: DataFrame, width: int, percent: int, keyed: Callable[[pa.RecordBatch], dict], prefixes: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls and label (both null for an empty set) of every document;
+    """doc_id, n_shingles, component_id, digest (of the text) and label (null for an empty set) of every document;
     ``keyed`` makes ``ROWS`` of (doc_id, text). ``prefixes``: the keys are the first members in one global
     order, as many as the similarity asks for, so pairs with too few common keys need no verification."""
     batched(docs.sparkSession)
     texts = columns_of(docs, doc_id="bigint", text="string")
-    rows = stored(per_batch(texts, keyed, ROWS), "classes")
+    rows = stored(per_batch(
+        texts.withColumn("digest", F.xxhash64("text")), lambda b: {**keyed(b), "digest": b.column(2)}, ROWS
+    ), "classes")
     held = rows.filter("n > 0")
     first = held.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
     postings = held.select(F.explode("keys").alias("bucket"), "cls")
@@ -200,17 +206,17 @@ def grouped(
     postings = stored(postings.join(shared, "bucket", "left_semi").distinct(), "postings")
     degree = postings.groupBy("cls").agg(F.count("*").alias("degree"))
     info = stored(
-        held.select("cls", "n", "marks").join(degree, "cls").groupBy("cls")
-        .agg(*(F.any_value(c).alias(c) for c in ("n", "marks", "degree")))
-        .select("cls", "n", "degree", *(F.col("marks")[k].alias(m) for k, m in enumerate(MARKS))), "candidates",
+        held.select("cls", "n", "marks", "digest").join(degree, "cls").groupBy("cls")
+        .agg(*(F.any_value(c).alias(c) for c in ("n", "marks", "degree")), F.min("digest").alias("digest"))
+        .select("cls", "n", "degree", "digest", *(F.col("marks")[k].alias(m) for k, m in enumerate(MARKS))), "candidates",
     )
     enough = _enough(percent) if prefixes else F.lit(True)
     stars = stored(_star_pairs(postings, info, percent).filter(enough).select("a", "b"), "pairs")
-    links = _verified(texts, width, stars, percent)
-    rest = _open(postings, components(links)).join(info.drop("degree"), "cls")
+    links = _verified(texts, width, stars, info, percent)
+    rest = _open(postings, components(links)).join(info.drop("degree", "digest"), "cls")
     pairs = _rest_pairs(stored(rest, "open"), percent).filter(enough).select("a", "b")
     pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    labels = components(links.union(_verified(texts, width, pairs, percent)))
+    labels = components(links.union(_verified(texts, width, pairs, info, percent)))
 
     named = first.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
         "cls", "doc_id", F.coalesce("label", "cls").alias("label")
@@ -218,6 +224,6 @@ def grouped(
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("cls", "label", "component_id")
     return (
-        rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "label")
+        rows.select("doc_id", "n", "digest", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest", "label")
     )

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logmill.llm.common import batched, columns_of
+from logmill.llm.common import WORD, batched, columns_of
 from logmill.llm.linking import bitmap, class_of, grouped
 from logmill.llm.shingles import shingle_sets, shingled
 
@@ -68,7 +68,7 @@ def column_levels(texts: DataFrame, width: int) -> bytes:
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and cls (the class of equal sets) of every document."""
+    """doc_id, n_shingles, component_id, digest and label (see ``grouped``) of every document."""
     spark = batched(docs.sparkSession)
     levels = spark.sparkContext.broadcast(column_levels(columns_of(docs, text="string"), width))
 
@@ -94,21 +94,16 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     found = ngram_components(docs, width, percent)
     keep = (
         found.filter("n_shingles > 0").groupBy("label")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("one"))
-        .select(F.coalesce(F.col("one.doc_id").cast("string"), F.lit("")).alias("id_"), F.col("one.cls").alias("cls_"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one"))
+        .select(F.coalesce(F.col("one.doc_id").cast("string"), F.lit("")).alias("id_"), F.col("one.digest").alias("digest_"))
     )
-    at = docs.columns.index("text")
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = [class_of(s) if len(s) else None for s in shingle_sets(batch.column(at).cast(pa.string()), width)]
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), pa.array(cls, pa.int64())], ["doc_", "cls_"])
-
-    schema = docs.select(F.struct("*").alias("doc_")).schema.add("cls_", "long")
-    rows = docs.mapInArrow(tagged, schema)
-    twin = Window.partitionBy("id_", "cls_").orderBy(F.lit(0))
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct("*").alias("doc_"), F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("id_"),
+        F.xxhash64(text).alias("digest_"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("words_"),
+    )
+    twin = Window.partitionBy("id_", "digest_").orderBy(F.lit(0))
     chosen = (
-        rows.filter("cls_ is not null").withColumn("id_", F.coalesce(F.col("doc_.doc_id").cast("string"), F.lit("")))
-        .join(keep, ["id_", "cls_"]).withColumn("twin_", F.row_number().over(twin)).filter("twin_ = 1")
+        rows.filter("words_").join(keep, ["id_", "digest_"]).withColumn("twin_", F.row_number().over(twin)).filter("twin_ = 1")
     )
-    return chosen.select("doc_.*").union(rows.filter("cls_ is null").select("doc_.*"))
+    return chosen.select("doc_.*").union(rows.filter("not words_").select("doc_.*"))
