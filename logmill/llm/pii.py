@@ -3,7 +3,8 @@
 Transducers rewrite a text step by step and remember for every character which source characters it
 stands for: homoglyphs and invisible characters, spelled digits, "at" and "dot" in disguise. The base
 patterns run on the rewritten text; what they find is mapped back to source offsets and added, if it
-uses something rewritten and overlaps no base span. Only texts in which a trigger stands are rewritten.
+uses something rewritten or taken out and reaches outside the base spans (which stay). Only texts in which
+a trigger stands are rewritten.
 
 A bare "at" counts only together with a spelled or bracketed dot ("look at example.org" is no address);
 digits count as spelled from ``SPELLED`` number words in a row, spelled dots between them allowed.
@@ -175,10 +176,10 @@ def deobfuscated(text: str) -> Tape:
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     tape, cover, added = deobfuscated(text), Cover(base), []
     for start, end, kind in base_spans(tape.text):
-        if any(tape.new[start:end]):
-            span = tape.source(start, end)
-            if cover.clear(*span):
-                added.append((*span, kind))
+        span = tape.source(start, end)
+        # characters that were taken out leave no mark on the tape, but a longer source
+        if (any(tape.new[start:end]) or span[1] - span[0] > end - start) and not cover.holds(*span):
+            added.append((*span, kind))
     return added
 
 

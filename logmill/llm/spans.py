@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 Span = tuple[int, int, str]  # start, end (exclusive), kind; in code points
 
@@ -18,7 +18,7 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
 
 
 class Cover:
-    """The union of spans; tells in logarithmic time whether another span is clear of all of them."""
+    """The union of spans; tells in logarithmic time whether another span is clear of it or lies inside."""
 
     def __init__(self, spans: list[Span]):
         self.starts, self.ends = [], []
@@ -33,6 +33,10 @@ class Cover:
         k = bisect_left(self.starts, end)
         return k == 0 or self.ends[k - 1] <= start
 
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and end <= self.ends[k - 1]
+
 
 def blanked(text: str, spans: list[Span]) -> str:
     """The text with every span (overlaps joined) replaced by its kind in brackets."""

@@ -412,6 +412,26 @@ def test_disguises(text, kind, value):
     assert [(k, text[s:e]) for s, e, k in found] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text, kind, value, base", [
+    ("to john@exa\u200bmple.com", "email", "john@exa\u200bmple.com", []),
+    ("card 4111\u200b1111\u20601111\ufeff1111.", "card", "4111\u200b1111\u20601111\ufeff1111", []),
+    ("ip 10.0\u200b.0.1", "ip", "10.0\u200b.0.1", []),
+    ("call +1 415\u200d 555 0199", "phone", "+1 415\u200d 555 0199", []),
+    ("jоhn@example.com", "email", "jоhn@example.com", ["hn@example.com"]),
+    ("john@example.cоm", "email", "john@example.cоm", ["john@example.c"]),
+    ("ip 9.８.1.2.3.4", "ip", "9.８.1.2", ["1.2.3.4"]),
+])
+def test_hits_beyond_base_spans(text, kind, value, base):
+    own = pii.base_spans(text)
+    assert [text[s:e] for s, e, _ in own] == base
+    assert [(k, text[s:e]) for s, e, k in pii.added_spans(text, own)] == [(kind, value)]
+
+
+def test_base_spans_are_not_added_again():
+    for text in ("\u200bjohn@example.com", "one-two@example.com \u200b", "john@example.com\u200b"):
+        assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at example.com now", "one two three", "meet me at the dot", "привет мир", "a @ b", "one dot two three four five six seven eight", "punkt eins zwei"])
 def test_clean_texts_stay_clean(text):
     assert pii.added_spans(text, pii.base_spans(text)) == []
