@@ -7,7 +7,10 @@ uses something rewritten or taken out and reaches outside the base spans (which
 a trigger stands are rewritten.
 
 A bare "at" counts only together with a spelled or bracketed dot ("look at example.org" is no address);
-digits count as spelled from ``SPELLED`` number words in a row, spelled dots between them allowed.
+number words are read in runs of number words, and of number words and figures together, spelled or
+hidden dots between them allowed. A run is rewritten if it can hold an identifier at all (``DIGITS`` digits
+or ``DOTS`` dots); the base patterns decide whether it does. Each reading (none, words only, words and
+figures) has a tape of its own, so that a number word beside an identifier hides nothing.
 
 Edge cases: null is the empty text; a text without spans gets 0, the digest of the empty string and an
 empty list; null and repeated ids are rows like any other; an empty table gives no rows; other columns
@@ -27,7 +30,8 @@ from logmill.llm.common import batched, columns_of, per_batch
 from logmill.llm.spans import Cover, Span, digest, listed
 
 KINDS = ("email", "ip", "card", "phone")
-SPELLED = 7
+# the fewest digits of a phone or card number, the dots of an IP
+DIGITS, DOTS = 10, 3
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # a match can only begin where a run of digits begins: the look-behind changes no match, only the time
@@ -47,9 +51,9 @@ NUMBER_WORDS = (
 )
 DIGIT = {word: str(n) for n, words in enumerate(NUMBER_WORDS) for word in words}
 _WORDS = "|".join(sorted(DIGIT, key=len, reverse=True))
-_JOIN = r"[\s-]+(?:(?:dot|punkt|punto)[\s-]+)?"
-SPELLED_RUN = re.compile(rf"(?i)(?P<plus>(?:\+|(?<!\w)plus)[\s-]*)?(?<!\w)(?:{_WORDS})(?:{_JOIN}(?:{_WORDS})){{{SPELLED - 1},}}(?!\w)")
-_SPELLED_WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
+_WORD = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
+_NUMBER = re.compile(rf"{_WORD.pattern}|[0-9]+")
+_PLUS = re.compile(r"(?i)(?:\+|(?<!\w)plus)[\s-]*\Z")
 _OPEN, _CLOSE = r"\s*[(\[{]\s*", r"\s*[)\]}]\s*"
 HIDDEN_DOT = re.compile(rf"(?i){_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|\s+(?:dot|punkt|punto)\s+")
 HIDDEN_AT = re.compile(rf"(?i){_OPEN}(?:at|arroba|arobase|@){_CLOSE}|\s+@\s*|@\s+")
@@ -60,9 +64,13 @@ ADDRESS = re.compile(
 )
 HIDDEN_IP = re.compile(rf"(?i)(?<![0-9])[0-9]+(?:{_DOT}[0-9]+){{3}}")
 _ANY_DOT = re.compile(rf"(?i){_DOT}")
+# what may stand between two numbers of a run: a spelled or hidden dot, or signs that the base patterns take
+_RUN_DOT = re.compile(r"(?i)[\s-]*[(\[{]\s*(?:dot|punkt|punto|point|\.)\s*[)\]}][\s-]*|[\s-]+(?:dot|punkt|punto)[\s-]+")
+_RUN_GAP = re.compile(r"[\s().-]+")
+_NEXT = r"[^0-9A-Za-z]+(?:(?:dot|punkt|punto|point)[^0-9A-Za-z]+)?"
 TRIGGER = (
     r"[\x{0370}-\x{052F}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]|"
-    r"(?i:\b(?:" + _WORDS + r")(?:" + _JOIN + r"(?:" + _WORDS + r")){6})|"
+    r"(?i:\b(?:" + _WORDS + r")" + _NEXT + r"(?:" + _WORDS + r"|[0-9]))|(?i:[0-9]" + _NEXT + r"(?:" + _WORDS + r"))|"
     r"(?i:[(\[{]\s*(?:at|arroba|arobase|@|dot|punkt|punto|point|\.)\s*[)\]}])|(?i:\s(?:dot|punkt|punto)\s)|\s@|@\s"
 )
 
@@ -141,20 +149,69 @@ def _plain(c: str) -> str | None:
     return None
 
 
-def deobfuscated(text: str) -> Tape:
+def _digit(word: str) -> str:
+    # case folding also meets the letters that a regex without case takes for i, k and s
+    return DIGIT[word.casefold().replace("i\u0307", "i").replace("ı", "i")]
+
+
+def _spelled(text: str, number: re.Pattern) -> list[tuple[int, int, str]]:
+    """The changes that write digits for the number words in all runs of ``number`` that may be identifiers."""
+    changes, run, gaps = [], [], []
+    ips = Cover([s for s in base_spans(text) if s[2] == "ip"])
+
+    def closed() -> None:
+        words = sum(m[0][0].isalpha() for m in run)
+        digits = words + sum(len(m[0]) for m in run if not m[0][0].isalpha())
+        if not words and not any(by == "." != text[a:b] for a, b, by in gaps):
+            return
+        if digits < DIGITS and sum("." in by for *_, by in gaps) < DOTS:
+            return
+        plus = _PLUS.search(text, max(run[0].start() - 64, 0), run[0].start())
+        if plus and text[plus.start() : run[0].start()] != "+":
+            changes.append((*plus.span(), "+"))
+        for m, gap in zip(run, [*gaps, None]):
+            if m[0][0].isalpha():  # what joins it to the next number goes with a word
+                to = gap[1] if gap else m.end()
+                changes.append((m.start(), to, _digit(m[0]) + (gap[2] if gap else "")))
+            elif gap and text[gap[0] : gap[1]] != gap[2]:
+                # and with a figure's last digit
+                changes.append((m.end() - 1, gap[1], m[0][-1] + gap[2]))
+
+    for m in number.finditer(text):
+        if run:
+            a, b = run[-1].end(), m.start()
+            gap = None
+            if _RUN_DOT.fullmatch(text, a, b):
+                gap = (a, b, ".")
+            elif _RUN_GAP.fullmatch(text, a, b):
+                figures = [x for x in (run[-1], m) if not x[0][0].isalpha()]
+                loose = all(c in "-" or c.isspace() for c in text[a:b])
+                # words are joined to each other, one sign apart also to figures, but not to a whole IP
+                close = b - a == 1 and all(ips.clear(*x.span()) for x in figures)
+                # longer figures keep what stands between them
+                long = len(figures) == 2 and any(len(x[0]) > 1 for x in figures)
+                gap = (a, b, "" if loose and (not figures or close and not long) else text[a:b])
+            if gap:
+                run.append(m)
+                gaps.append(gap)
+                continue
+            closed()
+        run, gaps = [m], []
+    if run:
+        closed()
+    return changes
+
+
+def _plainly(text: str) -> Tape:
+    """Lookalikes by the letters that they stand for, without invisible characters."""
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite([(k, k + 1, by) for k, c in enumerate(text) if ord(c) > 0x36F and (by := _plain(c)) is not None])
-    changes = []
-    for m in SPELLED_RUN.finditer(tape.text):
-        words = list(_SPELLED_WORD.finditer(tape.text, m.end("plus") if m["plus"] else m.start(), m.end()))
-        if m["plus"]:
-            changes.append((*m.span("plus"), "+"))
-        for k, w in enumerate(words):  # what joins two words goes with the first
-            to = words[k + 1].start() if k + 1 < len(words) else w.end()
-            dot = "." if any(c.isalpha() for c in tape.text[w.end() : to]) else ""
-            changes.append((w.start(), to, DIGIT[w[0].lower()] + dot))
-    tape.rewrite(changes)
+    return tape
+
+
+def _dotted(tape: Tape) -> Tape:
+    """Hidden "at" and dots of addresses, then hidden dots of IPs, by their signs."""
     changes = []
     for m in ADDRESS.finditer(tape.text):
         bare = m["at"].strip().lower() == "at"
@@ -173,14 +230,30 @@ def deobfuscated(text: str) -> Tape:
     return tape
 
 
+def deobfuscated(text: str) -> list[Tape]:
+    """The text without disguises: number words as they stand, and where it makes a difference as digits by
+    runs of words and by runs of words and figures."""
+    tapes = [_plainly(text)]
+    known = [[]]
+    for number in (_WORD, _NUMBER):
+        changes = _spelled(tapes[0].text, number)
+        if changes not in known:
+            known.append(changes)
+            tape = _plainly(text)
+            tape.rewrite(changes)
+            tapes.append(tape)
+    return [_dotted(tape) for tape in tapes]
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    tape, cover, added = deobfuscated(text), Cover(base), []
-    for start, end, kind in base_spans(tape.text):
-        span = tape.source(start, end)
-        # characters that were taken out leave no mark on the tape, but a longer source
-        if (any(tape.new[start:end]) or span[1] - span[0] > end - start) and not cover.holds(*span):
-            added.append((*span, kind))
-    return added
+    cover, added = Cover(base), {}
+    for tape in deobfuscated(text):
+        for start, end, kind in base_spans(tape.text):
+            span = tape.source(start, end)
+            # characters that were taken out leave no mark on the tape, but a longer source
+            if (any(tape.new[start:end]) or span[1] - span[0] > end - start) and not cover.holds(*span):
+                added[*span, kind] = None
+    return list(added)
 
 
 def _find(batch: pa.RecordBatch) -> dict[str, list]:

@@ -427,6 +427,32 @@ def test_hits_beyond_base_spans(text, kind, value, base):
     assert [(k, text[s:e]) for s, e, k in pii.added_spans(text, own)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("host one two seven dot zero dot zero dot one", "ip", "one two seven dot zero dot zero dot one"),
+    ("host one two seven[.]zero[.]zero [dot] one", "ip", "one two seven[.]zero[.]zero [dot] one"),
+    ("host one nine 2 dot 1 six eight dot 10 dot one", "ip", "one nine 2 dot 1 six eight dot 10 dot one"),
+    ("eins.zwei.drei.vier", "ip", "eins.zwei.drei.vier"),
+    ("call +1 four one five 555 0199", "phone", "+1 four one five 555 0199"),
+    ("call plus 1 (four one five) 555-0199", "phone", "plus 1 (four one five) 555-0199"),
+    ("pay 4111 1111 one one one one 1111", "card", "4111 1111 one one one one 1111"),
+    ("pay four 111 one 111 one 111 one 111", "card", "four 111 one 111 one 111 one 111"),
+    ("card two  4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+    ("page one 4111\u200b 1111 1111 1111", "card", "4111\u200b 1111 1111 1111"),
+    ("ſix dot FIVE dot fıve dot oh", "ip", "ſix dot FIVE dot fıve dot oh"),
+])
+def test_short_runs_of_number_words(text, kind, value):
+    assert pii._find(pa.record_batch([pa.array([1]), pa.array([text])], ["doc_id", "text"]))["spans"] == [
+        f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"]
+
+
+@pytest.mark.parametrize("text", [
+    "host one 10.0.0.1 is up", "one 4111 1111 1111 1111", "two or 3 of 10", "one two three 4 5 6", "version one.two.3", "null null 0 0",
+    "meet at five 10 2024", "one. 2 three. 4 five.",
+])
+def test_number_words_beside_figures_add_nothing(text):
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
 def test_base_spans_are_not_added_again():
     for text in ("\u200bjohn@example.com", "one-two@example.com \u200b", "john@example.com\u200b"):
         assert pii.added_spans(text, pii.base_spans(text)) == []
