@@ -143,6 +143,25 @@ def test_secrets(spark, docs, odd, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def keys_of(seed, n, length, letters):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(letters), length)) for _ in range(n)]
+
+
+MIXED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+PROSE = ["ordinary words of the archive stand in every single document", "internationalization and responsibilities recur everywhere"]
+
+
+def test_unlabelled_credentials_do_not_train_ordinary_words(spark):
+    labelled, bare = keys_of(1, 60, 32, MIXED), keys_of(2, 600, 32, MIXED)
+    rows = [(k, f"{PROSE[k % 2]} password={v}") for k, v in enumerate(labelled)]
+    rows += [(1000 + k, f"{v} stood first, {PROSE[k % 2]}") for k, v in enumerate(bare)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[1000 + k] == "assign:0:32" for k in range(600))
+    assert found >= 0.95 * 600
+    assert all(got[k].count(",") == 0 for k in range(60))
+
+
 def test_automata_tell_formats_apart():
     rng = np.random.default_rng(1)
     keys = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)) for _ in range(200)]
