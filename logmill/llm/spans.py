@@ -33,6 +33,16 @@ class Cover:
         k = bisect_left(self.starts, end)
         return k == 0 or self.ends[k - 1] <= start
 
+    def left(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The parts of a span that the union leaves."""
+        found, k = [], max(bisect_right(self.starts, start) - 1, 0)
+        while start < end and k < len(self.starts) and self.starts[k] < end:
+            if start < self.starts[k]:
+                found.append((start, self.starts[k]))
+            start = max(start, self.ends[k])
+            k += 1
+        return [*found, (start, end)] if start < end else found
+
     def holds(self, start: int, end: int) -> bool:
         k = bisect_right(self.starts, start)
         return k > 0 and end <= self.ends[k - 1]

@@ -162,6 +162,39 @@ def test_unlabelled_credentials_do_not_train_ordinary_words(spark):
     assert all(got[k].count(",") == 0 for k in range(60))
 
 
+@pytest.mark.parametrize("letters, length, part", [
+    (MIXED, 12, 12), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 20), ("abcdefghijklmnopqrstuvwxyz", 20, 4), ("0123456789_", 9, 9),
+])
+def test_candidates_of_any_length_and_letters(spark, letters, length, part):
+    labelled, bare = (["-".join(re.findall("." * part, v)) for v in keys_of(seed, n, length, letters)] for seed, n in ((3, 60), (4, 100)))
+    length = len(bare[0])
+    rows = [(k, f"{PROSE[k % 2]} token: {v}") for k, v in enumerate(labelled)]
+    rows += [(1000 + k, f"{PROSE[k % 2]} {v}") for k, v in enumerate(bare)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = [len(PROSE[k % 2]) + 1 for k in range(100)]
+    assert sum(got[1000 + k] == f"assign:{at[k]}:{at[k] + length}" for k in range(100)) >= 90
+
+
+def test_the_rest_of_a_run_beside_a_base_span(spark):
+    labelled, bare = keys_of(5, 60, 40, MIXED + "/+"), keys_of(6, 100, 40, MIXED + "/+")
+    rows = [(k, f"{PROSE[k % 2]} secret={v}") for k, v in enumerate(labelled)]
+    rows += [(1000 + k, f"AKIA{'A1' * 8}/{v}") for k, v in enumerate(bare)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert sum(got[1000 + k] == "access:0:20,assign:21:61" for k in range(100)) >= 90
+    texts = [r.text for r in secret_scan.cleaned(df).filter("doc_id >= 1000").collect()]
+    assert sum(t == "[ACCESS]/[ASSIGN]" for t in texts) >= 90
+
+
+def test_cover_left():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        spans = [(int(a), int(a + n), "x") for a, n in zip(rng.integers(0, 60, 5), rng.integers(1, 9, 5))][: rng.integers(0, 6)]
+        start, end = sorted(map(int, rng.integers(0, 70, 2)))
+        inside = {k for s, e, _ in spans for k in range(s, e)}
+        assert [k for s, e in Cover(spans).left(start, end) for k in range(s, e)] == [k for k in range(start, end) if k not in inside]
+
+
 def test_automata_tell_formats_apart():
     rng = np.random.default_rng(1)
     keys = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)) for _ in range(200)]
