@@ -7,7 +7,9 @@ codes; any other code is a family of its own.
 
 The machines are fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows, shared equally by
 the languages and taken by a digest of the text, so the same rows give the same machines. Copies of a
-text count once; the driver gets at most twice ``SAMPLE`` rows.
+text count once, also in the share that is taken of a language, and at least the ``FEWEST`` smallest digests
+of each language stay; the driver gets at most twice ``SAMPLE`` rows and
+twice ``FEWEST`` a language.
 
 Edge cases: null texts and texts without a letter get ``und`` and score 0, as does every text when there
 is nothing to learn from; with one language all other texts get that language; null and repeated ids are
@@ -22,12 +24,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logmill.llm.common import batched, columns_of, per_batch
 from logmill.llm.shingles import pieces
 
-SAMPLE, BUCKETS = 2_400, 4_096
+SAMPLE, FEWEST, BUCKETS = 2_400, 8, 4_096
 ROUNDS, PENALTY = 120, 1e-4
 UNKNOWN = "und"
 # fixed values: families of language codes
@@ -141,23 +143,28 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Machines | None:
     """Machines of (text, lang) rows, null languages left out."""
     batched(labelled.sparkSession)
     rows = columns_of(labelled, text="string", lang="string").filter("lang is not null and text is not null")
-    counts = dict(rows.groupBy("lang").count().collect())
+    rows = rows.withColumn("digest", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    digests = rows.select("lang", "digest").distinct()
+    counts = dict(digests.groupBy("lang").count().collect())
     if not counts:
         return None
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    least = dict(
+        digests.withColumn("place", place).filter(F.col("place") <= FEWEST).groupBy("lang").agg(F.max("digest")).collect()
+    )
     each = max(sample // len(counts), 1)
-    share = F.lit(1.0)
+    upto = F.lit(0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    digest = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+        upto = F.when(F.col("lang") == lang, max(int(min(1.0, each / n) * (1 << 30)) - 1, least[lang])).otherwise(upto)
     chosen = (
-        rows.withColumn("digest", digest).filter(F.col("digest") < share * (1 << 30))
-        .groupBy("lang", "digest").agg(F.any_value("text").alias("text")).orderBy("digest", "lang").limit(2 * sample)
+        rows.filter(F.col("digest") <= upto).groupBy("lang", "digest").agg(F.any_value("text").alias("text"))
+        .orderBy("digest", "lang").limit(2 * (sample + FEWEST * len(counts)))
     )
     found = per_batch(
         chosen.select("text", "lang"),
         lambda b: {"lang": b.column(1), "x": [row.tobytes() for row in features(b.column(0)).astype(np.float16)]},
         "lang string, x binary",
-    ).toPandas().sort_values(["lang", "x"]).groupby("lang").head(2 * each)
+    ).toPandas().sort_values(["lang", "x"]).groupby("lang").head(max(2 * each, FEWEST))
     x = np.stack([np.frombuffer(v, np.float16) for v in found["x"]]).astype(np.float32)
     lang = found["lang"].to_numpy()
     languages = sorted(set(lang))

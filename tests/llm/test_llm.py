@@ -112,6 +112,20 @@ def test_language(spark, docs, odd, none):
     assert {r.lang_pred for r in language.predicted(docs, one).collect()} == {"en"}
 
 
+def test_language_of_repeated_rows(spark):
+    """More rows than the sample, nearly all of them copies of a few texts."""
+    texts = [(lang, t) for lang, words_ in (("en", "the house stands near this green river"), ("de", "das haus steht am grünen fluss"),
+                                            ("fi", "talo seisoo vihreän joen rannalla")) for t in (words_, words_ + " " + words_[:9], words_[4:])]
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("copy")
+    got = language.predicted(df, language.learn(copies), ("doc_id", "lang")).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    equal = copies.filter("doc_id = 0")
+    assert {r.lang_pred for r in language.predicted(df, language.learn(equal)).collect()} == {"en"}
+    few = spark.range(60).select(F.concat(F.lit("x"), F.col("id") % 20).alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    assert len(language.learn(few, sample=20).languages) == 20
+
+
 BASE = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
