@@ -87,14 +87,16 @@ def with_successors(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ranges_of(ids: pd.Series) -> pd.Series:
-        home = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right")
-        return pd.Series([
-            [int(r), before[i]] if i in before else [k % parts if i is None else int(r)]
-            for k, (i, r) in enumerate(zip(ids.astype(object).where(ids.notna(), None), home))
-        ])
+        home = np.searchsorted(bounds, ids.to_numpy(np.int64), "right")
+        return pd.Series([[int(r), before[i]] if i in before else [int(r)] for i, r in zip(ids.tolist(), home)])
 
+    # pandas would turn ids beside nulls to floats and round them; rows without id go round the ranges
+    known = docs.filter("doc_id is not null").select("doc_id", "text", F.posexplode(ranges_of("doc_id")).alias("place_", "range_"))
+    rest = docs.filter("doc_id is null").select(
+        "doc_id", "text", F.lit(0).alias("place_"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int").alias("range_")
+    )
     return (
-        docs.select("doc_id", "text", F.posexplode(ranges_of("doc_id")).alias("place_", "range_"))
+        known.unionByName(rest)
         .repartitionById(parts, "range_")
         .select("doc_id", "text", (F.col("place_") > 0).alias("next_"))
         .sortWithinPartitions("next_", "doc_id", "text")

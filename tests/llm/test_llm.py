@@ -424,6 +424,22 @@ def test_fingerprints(spark, docs, odd, none):
     assert fingerprints.fingerprints(odd).count() == 10
 
 
+def test_large_ids_beside_null_ids(spark):
+    ids = [(1 << 62) + 3 * k for k in range(300)]
+    rows = [(i, f"text number {k} of many words " * 4) for k, i in enumerate(ids)] + [(None, f"no id {k}") for k in range(50)]
+    rows = [rows[k] for k in np.random.default_rng(9).permutation(len(rows))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    texts, want = dict(r for r in rows if r[0] is not None), Counter()
+    for k, i in enumerate(ids):
+        text, after = texts[i], texts[ids[(k + 1) % len(ids)]]
+        cut = len(text) // 4
+        want[i, hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    for i, text in rows:
+        if i is None:
+            want[None, hashlib.sha256(text[: len(text) - len(text) // 4].encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.edited_fingerprints(df).collect()) == want
+
+
 def test_banded_near_duplicates(spark):
     rows = [r for r in near_copies() if r[0] is not None]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
