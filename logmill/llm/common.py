@@ -118,3 +118,13 @@ def running_total(df: DataFrame, keys: list[str], order: str, ties: list[str], v
         .withColumn(name, F.col("offset_") + F.sum(value).over(inside))
         .drop("slice_", "offset_")
     )
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, slots: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each ``key`` of theirs.
+
+    A key may have a third of all rows: they are dealt over ``slots`` by ``by``, each present slot of a key gets
+    its fact first, and rows meet it by key and slot."""
+    dealt = rows.withColumn("slot_", F.pmod(F.xxhash64(F.lit(slots), by), F.lit(slots)).cast("int"))
+    present = dealt.select(key, "slot_").distinct().join(facts, key)
+    return dealt.join(present, [key, "slot_"]).drop("slot_")

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logmill.llm import (
-    fingerprints, language, mixing, neighbours, ngram_join, packing, pii, secret_scan, token_counts, url_filter,
+    alignment, fill_middle, fingerprints, language, mixing, neighbours, ngram_join, packing, pii, secret_scan, simhash, token_counts,
+    url_filter,
 )
 from logmill.llm.common import WORD, table
 from logmill.session import configure
 
 #: The rank file of the token counts and the version it stands for.
 RANKS, RANKS_VERSION = "file:///opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
+#: The two tokenizers whose tokens are aligned.
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
     url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -81,10 +84,30 @@ def op10_personal_data(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
+def op11_fill_middle(spark, sf_dir):
+    """Digests of every text rearranged for filling in its middle, and of the text rebuilt from that."""
+    made = fill_middle.restored(fill_middle.transformed(documents(spark, sf_dir)))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
+def op12_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers line up in every text."""
+    return alignment.aligned(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
+def op13_simhash(spark, sf_dir):
+    """SimHash fingerprints of every text and the documents within three bits of each other."""
+    return simhash.near_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mix, op2_language, op3_secrets, op4_url_verdicts, op5_neighbours, op6_ngram_components,
-        op7_length_buckets, op8_token_rollup, op9_fingerprints, op10_personal_data,
+        op7_length_buckets, op8_token_rollup, op9_fingerprints, op10_personal_data, op11_fill_middle, op12_alignment,
+        op13_simhash,
     )
 }
 
@@ -168,3 +191,23 @@ reach(a, b) as (select a, b from links union select r.a, l.b from reach r join l
 select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id
 from sets
 """
+
+ORACLES["op11_fill_middle"] = r"""
+with cut as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as d,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+drawn as (
+  select doc_id, t, u, len(u) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+         cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4 from cut),
+formed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+         case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+              when h4 % 100 < 80 then 'spm' else 'psm' end as form from drawn),
+pieces as (
+  select *, array_to_string(u[1:lo], '') as p, array_to_string(u[lo+1:hi], '') as m, array_to_string(u[hi+1:n], '') as s from formed)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from pieces
+"""
