@@ -34,43 +34,41 @@ def line_measures(lines: DataFrame) -> DataFrame:
     )
 
 
-def block_events(
-    lines: DataFrame, profile: Profile, key: str = "doc_id", size: int = RANGE
-) -> DataFrame:
-    """Events of a block profile from a line table of clean, trimmed documents.
+def numbered_blocks(lines: DataFrame, key: str = "doc_id", size: int = RANGE) -> DataFrame:
+    """``(key, block, first, last, level, content)`` of lines with ``level`` (not null where a block starts) and
+    ``preamble`` (the level of the lines before the first start; null: they belong to no block).
 
     Block numbers are running counts of start lines; no document is held in one task.
     """
-    level = start_level(F.col("line"), profile.parser)
-    marked = lines.withColumn("level", level)
-    numbered = running_sum(
-        marked, [key], "line_no", F.when(F.col("level").isNotNull(), 1).otherwise(0), "block",
-        size=size,
-    )
-    keep_head = profile.parser.get("include_preamble", False)
-    kept = numbered if keep_head else numbered.filter("block > 0")
+    opens = F.when(F.col("level").isNotNull(), 1).otherwise(0)
+    numbered = running_sum(lines, [key], "line_no", opens, "block", size=size)
     joined = F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]
         ),
         "\n",
     )
-    blocks = kept.groupBy(key, "block").agg(
+    blocks = numbered.filter("block > 0 or preamble is not null").groupBy(key, "block").agg(
         (F.min("line_no") - 1).alias("first"),
         F.max("line_no").alias("last"),
-        F.max("level").alias("level"),
+        F.coalesce(F.max("level"), F.max("preamble")).alias("level"),
         joined.alias("content"),
     )
-    if keep_head:
-        blocks = blocks.withColumn(
-            "level",
-            F.when(F.col("block") == 0, profile.parser["preamble_severity"]).otherwise(
-                F.col("level")
-            ),
-        )
-        started = numbered.filter("block > 0").select(key).distinct()
-        blocks = blocks.join(started, key, "left_semi")
-    return blocks.select(
+    # a preamble needs a block after it
+    heads = numbered.filter("preamble is not null and block = 1").select(key).distinct()
+    started = blocks.filter("block = 0").join(heads, key, "left_semi")
+    return blocks.filter("block > 0").unionByName(started)
+
+
+def block_events(
+    lines: DataFrame, profile: Profile, key: str = "doc_id", size: int = RANGE
+) -> DataFrame:
+    """Events of a block profile from a line table of clean, trimmed documents."""
+    preamble = profile.parser["preamble_severity"] if profile.parser.get("include_preamble", False) else None
+    marked = lines.withColumn("level", start_level(F.col("line"), profile.parser)).withColumn(
+        "preamble", F.lit(preamble).cast("string")
+    )
+    return numbered_blocks(marked, key, size).select(
         key,
         "first",
         source_label(F.col("first"), F.col("last")).alias("source"),
@@ -126,5 +124,5 @@ def last_rows(df: DataFrame, keys: Iterable[str], order: str, count: int) -> Dat
 
 __all__ = [
     "block_events", "clean_lines", "context_lines", "join_context", "last_rows", "line_measures",
-    "to_lines", "trim_space",
+    "numbered_blocks", "to_lines", "trim_space",
 ]

@@ -296,27 +296,28 @@ def json_event(parts: Column, item: Column) -> Column:
     return let(severity, event)
 
 
-def json_events(profiles: Iterable[Profile], formats: Column, records: Column) -> Column:
-    """Events of JSON records, given the format id of every record."""
+def record_event(profiles: Iterable[Profile], fmt: Column, record: Column, number: Column) -> Column:
+    """The event of one JSON record (value and fields) of format ``fmt``, NULL if no profile reads it."""
     usable = [p for p in profiles if p.record_kind == "json" and p.kind == "json_fields"]
+    if not usable:
+        return F.lit(None).cast(EVENT)
+    read = FieldReader(record["fields"])
 
-    def one(record: Column, i: Column) -> Column:
-        if not usable:
-            return F.lit(None).cast(EVENT)
-        read = FieldReader(record["fields"])
+    def parts(name: Column) -> Column:
+        out = None
+        for p in usable:
+            taken = json_parts(p, read)
+            out = F.when(name == p.id, taken) if out is None else out.when(name == p.id, taken)
+        return out
 
-        def parts(fmt: Column) -> Column:
-            out = None
-            for p in usable:
-                taken = json_parts(p, read)
-                out = F.when(fmt == p.id, taken) if out is None else out.when(fmt == p.id, taken)
-            return out
+    taken = let(fmt, parts)
+    return let(taken, lambda t: F.when(t.isNotNull(), json_event(t, number.cast("string"))))
 
-        taken = let(F.get(formats, i), parts)
-        number = (i + 1).cast("string")
-        return let(taken, lambda t: F.when(t.isNotNull(), json_event(t, number)))
 
-    return F.transform(records, one)
+def json_events(profiles: Iterable[Profile], formats: Column, records: Column) -> Column:
+    """Events of JSON records, given the format id of every record."""
+    profiles = list(profiles)
+    return F.transform(records, lambda r, i: record_event(profiles, F.get(formats, i), r, i + 1))
 
 
 def has_content(event: Column) -> Column:

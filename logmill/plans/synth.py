@@ -1,14 +1,18 @@
 """Log corpora derived from the given tables, written in SQL that Spark and DuckDB both read.
 
-A log document holds the events of one owner in one week, an order document the orders of one customer
-in one year: a natural bound, so an owner with a large share of all rows has many documents. Its id is
-the owner times a million plus the week or year, which stays below that.
+A log document in one row holds the events of one owner in one week, an order document the orders of one
+customer in one year: a natural bound, so an owner with a large share of all rows has many documents. Its id
+is the owner times a million plus the week or year, which stays below that. ``owner_lines`` has all events of
+an owner as one document, in the form of a line table: no row holds more than one event.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logmill.operators.line_prepare import raw_lines
+from logmill.operators.ordering import RANGE, running_sum
+
 STYLES = (
     "broker", "journal", "cloud", "flow", "access", "build", "compiler", "prose", "trace",
 )
@@ -22,7 +26,7 @@ EVENT_COLUMNS = """
   case event_type when 'error' then '3' when 'signup' then '4' else '6' end as priority,
   case event_id % 6 when 0 then 200 when 1 then 301 when 2 then 404 when 3 then 500
     when 4 then 204 else 200 end as status,
-  user_id * 1000000 + {week} as doc_id
+  {doc_id} as doc_id
 """
 
 # One source row to one or more log lines, by style.
@@ -89,46 +93,65 @@ def _dialect(engine: str) -> dict:
     }
 
 
-def corpus_sql(engine: str, style: str = "mixed", sf_dir: str = "") -> str:
-    """SELECT of ``doc_id, name, style, text`` built from the events table.
-
-    ``mixed`` gives every owner one of the styles.
-    """
+def _parts(engine: str, style: str, by: str) -> dict[str, str]:
+    """SQL of an event's columns, its line, its style and the head, separator and tail of its document."""
     d = _dialect(engine)
-    columns = EVENT_COLUMNS.format(k=d["k"], ts=d["ts"], week=d["week"])
-    table = d["table"].replace("{dir}", sf_dir)
+    doc_id = f"user_id * 1000000 + {d['week']}" if by == "week" else "user_id"
     lines = {name: text.replace("{{", "{").replace("}}", "}") for name, text in LINES.items()}
 
-    def pick(parts: dict, default: str, key: str) -> str:
+    def pick(parts: dict, default: str) -> str:
         if style != "mixed":
             return parts.get(style, default)
         cases = " ".join(f"when {i} then {parts.get(s, default)}" for i, s in enumerate(STYLES))
-        return f"case {key} {cases} end"
+        return f"case style_no {cases} end"
 
-    number = f"user_id % {len(STYLES)}" if style == "mixed" else str(STYLES.index(style))
-    line = pick(lines, "''", "style_no")
-    sep = pick(SEPARATORS, "chr(10)", "style_no")
-    names = " ".join(f"when {i} then '{s}'" for i, s in enumerate(STYLES))
-    body = (
-        f"concat({pick(HEADS, repr(''), 'style_no')}, {d['agg'].format(sep=sep)}, "
-        f"{pick(TAILS, repr(''), 'style_no')})"
-    )
+    return {
+        "columns": EVENT_COLUMNS.format(k=d["k"], ts=d["ts"], doc_id=doc_id),
+        "number": f"user_id % {len(STYLES)}" if style == "mixed" else str(STYLES.index(style)),
+        "line": pick(lines, "''"), "sep": pick(SEPARATORS, "chr(10)"), "head": pick(HEADS, "''"), "tail": pick(TAILS, "''"),
+    }
+
+
+def corpus_sql(engine: str, style: str = "mixed", sf_dir: str = "", by: str = "week") -> str:
+    """SELECT of ``doc_id, name, style, text`` built from the events table, a document by owner and
+    week or by owner.
+
+    ``mixed`` gives every owner one of the styles.
+    """
+    d, p = _dialect(engine), _parts(engine, style, by)
+    joined = d["agg"].format(sep=p["sep"])
     if engine != "spark":
         # string_agg wants a constant separator: join with a unit separator, then replace it.
-        joined = "replace(string_agg(line, chr(31) order by event_id), chr(31), " + sep + ")"
-        body = (
-            f"concat({pick(HEADS, repr(''), 'style_no')}, {joined}, "
-            f"{pick(TAILS, repr(''), 'style_no')})"
-        )
+        joined = f"replace({d['agg'].format(sep='chr(31)')}, chr(31), {p['sep']})"
+    names = " ".join(f"when {i} then '{s}'" for i, s in enumerate(STYLES))
     return f"""
 select doc_id, concat('log-', doc_id, '.log') as name, case style_no {names} end as style,
-  {body} as text
-from (select doc_id, style_no, event_id, {line} as line
-      from (select {columns}, {number} as style_no from {table}))
+  concat({p['head']}, {joined}, {p['tail']}) as text
+from (select doc_id, style_no, event_id, {p['line']} as line
+      from (select {p['columns']}, {p['number']} as style_no from {d['table'].replace("{dir}", sf_dir)}))
 group by doc_id, style_no
 """
 
 
+def owner_lines(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
+    """The documents of ``corpus_sql(by="owner")`` as a line table, without ever joining their lines."""
+    p = _parts("spark", style, "owner")
+    table = _dialect("spark")["table"].replace("{dir}", sf_dir)
+    events = spark.sql(f"""
+select doc_id, event_id, {p['line']} as line, {p['sep']} as sep, {p['head']} as head, {p['tail']} as tail
+from (select {p['columns']}, {p['number']} as style_no from {table})""")
+    ends = events.groupBy("doc_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    text = F.concat(
+        F.when(F.col("event_id") == F.col("first"), F.col("head")).otherwise(""), "line",
+        F.when(F.col("event_id") == F.col("last"), F.col("tail")).otherwise(F.col("sep")),
+    )
+    pieces = raw_lines(events.join(ends, "doc_id").select(F.struct("doc_id", "event_id").alias("id"), text.alias("text")), key="id")
+    # at most 1,024 lines an event
+    ordered = pieces.select("id.doc_id", (F.col("id.event_id") * 1_024 + F.col("line_no")).alias("place"), "line", "chars")
+    numbered = running_sum(ordered, ["doc_id"], "place", F.lit(1), "line_no", size=RANGE * 1_024)
+    return numbered.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "chars")
+
+
 def log_corpus(spark: SparkSession, sf_dir: str, style: str = "mixed") -> DataFrame:
     return spark.sql(corpus_sql("spark", style, sf_dir))
 
@@ -167,7 +190,7 @@ MARKED_TEXT = """replace(text, '. ', case doc_id % 7
 
 
 def documents(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
-    """The prose documents, spread over the cores when they come in fewer splits."""
+    """The prose documents."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.withColumn("text", F.expr(MARKED_TEXT)) if marked else docs
 
@@ -176,9 +199,8 @@ def marked_sql() -> str:
     return f"select doc_id, {MARKED_TEXT} as text from documents"
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Repartition only an input that has fewer splits than the cluster has cores."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer files than the cluster has cores, dealt out: a small table is one row
+    group, which no setting splits. Larger tables are read as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

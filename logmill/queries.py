@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logmill.functions import batching, fingerprint as fp, records, severity, text as tx
 from logmill.operators import (
-    audit, conversations, corpus, lines as ln, parse as ps, prepare as pp, prompts, registry, requests,
+    audit, conversations, corpus, line_prepare as lp, lines as ln, parse as ps, prepare as pp, prompts, registry, requests,
 )
 from logmill.operators.ordering import extreme_rows
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import matching_formats
 from logmill.plans.profile_texts import profile_corpus
-from logmill.plans.synth import documents, log_corpus, order_corpus, spread
+from logmill.plans.synth import documents, log_corpus, order_corpus, owner_lines, spread
 from logmill.session import configure, run_folder
-from logmill.sources import files, sinks
+from logmill.sources import files, lines as ls, sinks
 from logmill.streaming import blocks as sb, lines as sl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,6 +362,59 @@ def build_context(spark, sf_dir):
     return ln.join_context(ln.context_lines(lines))
 
 
+# --- whole preparation of line tables -----------------------------------------------------------
+
+def _line_batches(prepared: lp.Prepared) -> DataFrame:
+    return prepared.batches().select("doc_id", "variant", "batch_index", "content")
+
+
+@query
+def line_summary(spark, sf_dir):
+    """All events of an owner as one document: detection to variant choice and batches, without a row for it."""
+    prepared = lp.prepare_lines(owner_lines(spark, sf_dir), SMALL_BUDGET)
+    return prepared.summary()
+
+
+@query
+def line_batches(spark, sf_dir):
+    """The batches of these documents."""
+    return _line_batches(lp.prepare_lines(owner_lines(spark, sf_dir), SMALL_BUDGET))
+
+
+@query
+def line_groups(spark, sf_dir):
+    """Their distinct events with repeat counts (a whole-text event keeps its text in the line table)."""
+    groups = lp.prepare_lines(owner_lines(spark, sf_dir), SMALL_BUDGET).groups
+    return groups.filter("content is not null").select("doc_id", "source", "severity", "content", "fingerprint", "repeats")
+
+
+@query
+def line_page_batches(spark, sf_dir):
+    """Raw batches of web pages from their line tables; most lines are longer than the budget."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return _line_batches(lp.prepare_lines(lp.raw_lines(pages), SMALL_BUDGET))
+
+
+@query
+def file_lines(spark, sf_dir):
+    """Line tables of files that several tasks read: numbers by counts per split."""
+    root = run_folder(spark, "page-files")
+    pages = table(spark, sf_dir, "pages").select(
+        (F.col("page_id") % 3).alias("part"), F.regexp_replace("html", "[\r\n]", F.lit(" ")).alias("value")
+    )
+    pages.write.partitionBy("part").text(root)
+    lines = ls.read_lines(spark, files.qualified(spark, root))
+    part = F.regexp_extract("path", "part=([0-9])", 1).cast("bigint").alias("part")
+    by_file = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("chars").alias("chars"), F.count_distinct("line_no").alias("numbers"),
+        F.max("line_no").alias("last"),
+    )
+    wrong = (F.col("numbers") != F.col("lines")) | (F.col("last") != F.col("lines"))
+    return by_file.groupBy(part).agg(
+        F.sum("lines").alias("lines"), F.sum("chars").alias("chars"), F.count_if(wrong).alias("misnumbered"),
+    )
+
+
 # --- detection and events -----------------------------------------------------------------------
 
 @query

@@ -308,6 +308,14 @@ ORACLES["prepared_batches"] = PREP + " select * from batches"
 ORACLES["document_summary"] = DOCS + " select * from summary"
 ORACLES["document_batches"] = DOCS + " select * from batches"
 ORACLES["page_batches"] = PAGES + " select * from batches"
+OWNERS = o.prepared(o.corpus_sql("duckdb", by="owner"), 3000)
+ORACLES["line_summary"] = OWNERS + " select * from summary"
+ORACLES["line_batches"] = OWNERS + " select * from batches"
+ORACLES["line_groups"] = OWNERS + """ select doc_id, source, severity, content, fingerprint, repeats from groups
+  where doc_id % 9 <> 8"""
+ORACLES["line_page_batches"] = PAGES + " select * from batches"
+ORACLES["file_lines"] = """
+select page_id % 3 as part, count(*) as lines, cast(sum(len(html) + 1) as bigint) as chars, cast(0 as bigint) as misnumbered from pages group by 1"""
 ORACLES["parsed_previews"] = PREP + " select doc_id, case when supported then parsed_text else clean end as parsed_preview from choice"
 ORACLES["batch_previews"] = PREP + f"""
 select doc_id, string_agg(content, {NL}||{NL}||'--- next batch ---'||{NL}||{NL} order by batch_index) as payload from batches group by doc_id"""
