@@ -18,7 +18,7 @@ from logmill.sources.files import plain_path, under_roots
 def read_lines(spark: SparkSession, path: str | list[str], roots: list[str] | None = None, glob: str = "*", recursive: bool = True) -> DataFrame:
     """``(path, line_no, line, chars)`` of all files; lines end at CRLF, CR or LF, and ``chars`` counts their end.
 
-    An empty file is one line of no characters. Files outside the roots are left out. Bytes that are not
+    Spark's scans skip empty files, here as in ``files.read_logs``. Files outside the roots are left out. Bytes that are not
     UTF-8 are replaced, as by Spark's text reader; ``files.read_logs`` reports such files instead.
     """
     options = {"pathGlobFilter": glob, "recursiveFileLookup": str(recursive).lower()}
@@ -46,10 +46,4 @@ def read_lines(spark: SparkSession, path: str | list[str], roots: list[str] | No
     number = F.col("before") + F.col("place") - F.col("from") + 1
     # the line end that was put behind a file's last line may not be there
     chars = F.length("piece") - F.when(F.col("unended") & (number == F.col("lines")), 1).otherwise(0)
-    lines = numbered.select("path", number.alias("line_no"), F.rtrim("piece", F.lit("\r\n")).alias("line"), chars.cast("bigint").alias("chars"))
-    empty = spark.read.format("binaryFile").options(**options).load(path).filter("length = 0").select(plain_path(F.col("path")).alias("path"))
-    if roots:
-        empty = empty.filter(under_roots(F.col("path"), roots))
-    return lines.unionByName(empty.select(
-        "path", F.lit(1).cast("bigint").alias("line_no"), F.lit("").alias("line"), F.lit(0).cast("bigint").alias("chars")
-    ))
+    return numbered.select("path", number.alias("line_no"), F.rtrim("piece", F.lit("\r\n")).alias("line"), chars.cast("bigint").alias("chars"))
