@@ -12,6 +12,7 @@ from logmill.operators import (
     audit, conversations, corpus, line_prepare as lp, lines as ln, parse as ps, prepare as pp, prompts, registry, requests,
 )
 from logmill.operators.ordering import extreme_rows
+from logmill.operators.profile_store import ProfileStore
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import matching_formats
 from logmill.plans.profile_texts import profile_corpus
@@ -891,6 +892,19 @@ def profile_restore(spark, sf_dir):
     return registry.restore_defaults(states, base)
 
 
+@query
+def profile_store(spark, sf_dir):
+    """The versioned store after installs, overrides, disabled profiles and a second round of installs."""
+    store = ProfileStore(spark, run_folder(spark, "profile-store"))
+    base, newest = base_profiles(spark, sf_dir), newest_profiles(spark, sf_dir)
+    store.install(base.filter("origin = 'built-in'"), "built-in")
+    store.install(base, "user")
+    store.override(newest)
+    store.disable(disabled_profiles(spark, sf_dir))
+    store.install(newest.withColumn("id", F.regexp_replace("id", "-10$", "-new")), "draft")
+    return store.state()
+
+
 @query
 def draft_validation(spark, sf_dir):
     """A user profile tried on the order documents."""
@@ -1085,7 +1099,7 @@ def event_stream(spark, sf_dir) -> DataFrame:
 def updated(spark, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """The current rows of an aggregation in update mode, those still open included."""
     root = run_folder(spark, name)
-    sl.updates_to_files(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    sl.updates_to_files(stream, f"{root}/out", f"{root}/checkpoint", keys).awaitTermination()
     return sl.latest(spark, f"{root}/out", keys)
 
 
@@ -1128,9 +1142,10 @@ def stream_sliding(spark, sf_dir):
 
 @query
 def stream_sessions(spark, sf_dir):
-    """Sessions that the watermark has closed: session windows have no update mode."""
+    """All sessions, open ones too: partial sessions kept by the stream, merged as intervals."""
     lines = sl.measured(event_stream(spark, sf_dir), F.col("level"))
-    return drained(spark, sl.session_counts(lines, "source", gap="1 day"), "sessions")
+    partial = sl.partial_sessions(lines, "source", gap="1 day")
+    return sl.merged_sessions(updated(spark, partial, "sessions", ["source", "range_start"]), "source", gap="1 day")
 
 
 @query
@@ -1164,12 +1179,10 @@ def stream_blocks(spark, sf_dir):
     lines = event_stream(spark, sf_dir).select(
         F.col("source").alias("origin"), F.col("event_id").alias("line_no"), tx.normalize_line(F.col("line")).alias("line"), "event_time"
     )
-    started = sb.block_stream(lines, STREAM_PROFILE, root, f"{root}/checkpoint",
-                              int(timedelta(days=90).total_seconds()))
-    started.awaitTermination()
-    last = started.lastProgress["batchId"] if started.lastProgress else 0
-    done = sb.finish_blocks(spark, root, STREAM_PROFILE, last)
-    return done.select("origin", F.col("first").cast("bigint").alias("first"), "severity", "content", "fingerprint")
+    timeout = int(timedelta(days=90).total_seconds())
+    sb.block_stream(lines, STREAM_PROFILE, f"{root}/pieces", f"{root}/checkpoint", timeout).awaitTermination()
+    done = sb.assembled(spark, f"{root}/pieces", f"{root}/checkpoint", STREAM_PROFILE)
+    return done.select("origin", "first", "severity", "content", "fingerprint")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,92 +1,166 @@
-"""Multi-line blocks over micro-batches.
+"""Multi-line blocks of a stream, assembled in keyed state.
 
-Inside a micro-batch the blocks are cut by the line-table operator, which spreads one busy source
-over many tasks. Only the lines of each source's last, still open block are carried over, in a
-written table per micro-batch; a repeated micro-batch reads the same carry and overwrites its own
-output, so results do not change after a lost executor or driver. The lines of one source must
-arrive in order over micro-batches, as a tailed file delivers them.
+The state key is a source and a range of its line numbers, so a busy source spreads over many tasks and each
+keeps the lines of one open block at most. Lines are only appended to the state; nothing is rewritten from
+batch to batch. Of each range come
+
+- ``block`` rows: blocks that a later start line of the range has closed,
+- ``head`` rows: lines before the first start of the range, which continue a block of an earlier one,
+- a ``tail`` row: the last block of the range, when its newest line is ``timeout_seconds`` older than the
+  newest line of all sources (an event-time timer; a later range or nothing continues it).
+
+``assembled`` joins heads to the tails before them, two rows or so for each range, and takes what is still open from the
+state itself. The lines of one source must arrive in order over micro-batches, as a tailed file delivers them;
+lines that are later than the timeout are dropped as late. State, output and offsets are checkpointed by
+Spark: a restarted query goes on where the last one stopped.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from logmill.operators.lines import block_events
-from logmill.operators.ordering import RANGE
+from logmill.functions.fingerprint import fingerprint
+from logmill.functions.severity import text_severity
+from logmill.operators.ordering import RANGE, running_sum
 from logmill.plans.catalog import Profile
 from logmill.plans.extract import start_level
 
-CARRY = "origin string, line_no bigint, line string, event_time timestamp"
-
-
-def _read_carry(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    empty = spark.createDataFrame([], CARRY)
-    if batch_id == 0:
-        return empty
-    return spark.read.schema(CARRY).parquet(f"{path}/carry/batch={batch_id - 1}")
-
-
-def assemble(
-    lines: DataFrame, profile: Profile, timeout_seconds: int, finish: bool = False,
-    size: int = RANGE,
-) -> tuple[DataFrame, DataFrame]:
-    """Split lines ``(origin, line_no, line, event_time)`` into closed block events and open lines.
-
-    The last block of a source stays open until a later start line, or until the newest line of
-    all sources is ``timeout_seconds`` later than its own newest line.
-    """
-    keep_head = profile.parser.get("include_preamble", False)
-    opens = start_level(F.col("line"), profile.parser).isNotNull()
-    last_start = lines.groupBy("origin").agg(
-        F.max(F.when(opens, F.col("line_no"))).alias("open_from"),
-        F.max("event_time").alias("newest"),
+PIECES = StructType([
+    StructField("origin", StringType()), StructField("range_", LongType()), StructField("kind", StringType()),
+    StructField("first", LongType()), StructField("last", LongType()), StructField("level", StringType()), StructField("content", StringType()),
+])
+#: State variables: the lines of the open block, and the newest line of the range.
+OPEN, NEWEST = "open", "newest"
+OPEN_LINE = StructType([StructField("line_no", LongType()), StructField("level", StringType()), StructField("line", StringType())])
+NEWEST_MS = StructType([StructField("ms", LongType())])
+#: The stores of keyed state variables and timers.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Assembler(StatefulProcessor):
+    """Pieces of one range of one source. Lines come with the level of those that open a block."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState(OPEN, OPEN_LINE)
+        self.newest = handle.getValueState(NEWEST, NEWEST_MS)
+
+    @staticmethod
+    def _piece(key: Any, kind: str, lines: list[tuple]) -> tuple:
+        numbers, levels, texts = zip(*lines)
+        return (*key, kind, numbers[0], numbers[-1], None if kind == "head" else levels[0], "\n".join(texts))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        lines = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        held = self.newest.get() if self.newest.exists() else None
+        newest = max(int(lines["ms"].max()), held[0] if held else 0)
+        opened = self.open.exists()
+        out, new = [], []  # new: the lines since the last start, or since the batch began
+        for line_no, level, line in zip(lines["line_no"].tolist(), lines["level"].tolist(), lines["line"].tolist()):
+            level = level if isinstance(level, str) else None
+            if level is not None:
+                if opened:
+                    out.append(self._piece(key, "block", [*(self.open.get() if self.open.exists() else ()), *new]))
+                    self.open.clear()
+                elif new:
+                    out.append(self._piece(key, "head", new))
+                opened, new = True, []
+            new.append((line_no, level, line))
+        if new and not opened:
+            out.append(self._piece(key, "head", new))
+        elif new:
+            self.open.appendList(new) if self.open.exists() else self.open.put(new)
+        if held is None or newest > held[0]:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.newest.update((newest,))
+            self.handle.registerTimer(newest)
+        yield pd.DataFrame(out, columns=PIECES.names)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        out = [self._piece(key, "tail", list(self.open.get()))] if self.open.exists() else []
+        self.open.clear()
+        self.newest.clear()
+        yield pd.DataFrame(out, columns=PIECES.names)
+
+    def close(self) -> None:
+        pass
+
+
+def pieces(lines: DataFrame, profile: Profile, timeout_seconds: int, size: int = RANGE) -> DataFrame:
+    """``PIECES`` of a stream of lines (origin, line_no, line, event_time)."""
+    marked = lines.withWatermark("event_time", f"{timeout_seconds} seconds").select(
+        "origin", F.floor(F.col("line_no") / size).alias("range_"), F.col("line_no").cast("bigint").alias("line_no"), "line",
+        start_level(F.col("line"), profile.parser).alias("level"), F.unix_millis("event_time").alias("ms"), "event_time",
+    )
+    return marked.groupBy("origin", "range_").transformWithStateInPandas(
+        _Assembler(), PIECES, outputMode="Append", timeMode="EventTime"
     )
-    now = lines.agg(F.max("event_time")).first()[0]
-    late = F.lit(finish)
-    if now is not None:
-        late = late | (F.col("newest") < F.lit(now - timedelta(seconds=timeout_seconds)))
-    aged = last_start.withColumn("expired", late)
-    joined = lines.join(aged.select("origin", "open_from", "expired"), "origin")
-    # lines before the first start are a preamble to wait for, or belong to no block at all
-    from_line = F.coalesce("open_from", F.lit(0)) if keep_head else F.col("open_from")
-    held = F.coalesce(~F.col("expired") & (F.col("line_no") >= from_line), F.lit(False))
-    columns = ["origin", "line_no", "line", "event_time"]
-    closed = block_events(joined.filter(~held).select(*columns), profile, "origin", size)
-    return closed, joined.filter(held).select(*columns)
 
 
 def block_stream(
-    lines: DataFrame, profile: Profile, path: str, checkpoint: str, timeout_seconds: int = 300,
-    size: int = RANGE,
+    lines: DataFrame, profile: Profile, path: str, checkpoint: str, timeout_seconds: int = 300, size: int = RANGE,
 ) -> StreamingQuery:
-    """Write closed blocks to ``path/blocks`` and keep open lines in ``path/carry``."""
-    spark = lines.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        merged = _read_carry(spark, path, batch_id).unionByName(
-            batch.select("origin", "line_no", "line", "event_time")
+    """Append the pieces of a stream to ``path``, until the input at hand is used up."""
+    spark, name = lines.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)  # taken over by the query when it starts
+    try:
+        return (
+            pieces(lines, profile, timeout_seconds, size).writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
         )
-        merged.persist()
-        closed, held = assemble(merged, profile, timeout_seconds, size=size)
-        held.write.mode("overwrite").parquet(f"{path}/carry/batch={batch_id}")
-        closed.write.mode("overwrite").parquet(f"{path}/blocks/batch={batch_id}")
-        merged.unpersist()
-
-    return (
-        lines.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def open_pieces(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``tail`` pieces of the blocks that are open in the state of a stopped stream."""
+    state = spark.read.format("statestore").option("stateVarName", OPEN).load(checkpoint)
+    rows = state.select("key.*", "list_element.*")
+    held = rows.groupBy("origin", "range_").agg(
+        F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.max("level").alias("level"),
+        F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"),
+    )
+    return held.select(
+        "origin", "range_", F.lit("tail").alias("kind"), "first", "last", "level",
+        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("content"),
     )
 
 
-def finish_blocks(
-    spark: SparkSession, path: str, profile: Profile, last_batch: int, size: int = RANGE
-) -> DataFrame:
-    """All written blocks plus those still open after the last micro-batch."""
-    held = spark.read.schema(CARRY).parquet(f"{path}/carry/batch={last_batch}")
-    tail, _ = assemble(held, profile, 0, finish=True, size=size)
-    return spark.read.parquet(f"{path}/blocks").drop("batch").unionByName(tail)
+def assembled(spark: SparkSession, path: str, checkpoint: str, profile: Profile) -> DataFrame:
+    """All blocks of a stopped stream, open ones included: origin, first, last, severity, content, fingerprint."""
+    written = spark.read.schema(PIECES).parquet(path)
+    whole = written.filter("kind = 'block'").select("origin", "first", "last", "level", "content")
+    parts = written.filter("kind <> 'block'").unionByName(open_pieces(spark, checkpoint))
+    starts = F.when(F.col("kind") == "tail", 1).otherwise(0)
+    numbered = running_sum(parts, ["origin"], "first", starts, "block")
+    joined = numbered.groupBy("origin", "block").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("level").alias("level"),
+        F.array_sort(F.collect_list(F.struct("first", "content"))).alias("parts"),
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("content")
+    if profile.parser.get("include_preamble", False):
+        level = F.when(F.col("block") == 0, profile.parser["preamble_severity"]).otherwise(F.col("level"))
+        joined = joined.withColumn("level", level)
+        # a preamble needs a block after it
+        started = whole.select("origin").union(parts.filter("kind = 'tail'").select("origin")).distinct()
+        joined = joined.join(started, "origin", "left_semi")
+    else:
+        joined = joined.filter("block > 0")
+    rows = whole.unionByName(joined.select("origin", "first", "last", "level", text))
+    return rows.select(
+        "origin", (F.col("first") - 1).alias("first"), "last", text_severity(F.col("level"), F.col("content")).alias("severity"),
+        "content", fingerprint(F.col("content")).alias("fingerprint"),
+    )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logmill.functions.fingerprint import fingerprint
 from logmill.functions.severity import is_important, text_severity
 from logmill.functions.text import normalize_line, redact
-from logmill.operators.ordering import extreme_rows
+from logmill.sources.keyed_table import KeyedTable
 
 
 def line_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -53,24 +53,41 @@ def window_counts(
     )
 
 
-def session_counts(
+def partial_sessions(
     lines: DataFrame,
     key: str,
     time: str = "event_time",
     delay: str = "10 minutes",
     gap: str = "30 minutes",
 ) -> DataFrame:
-    """Events per session of a source."""
-    counted = lines.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(
-        F.count(F.lit(1)).alias("events"),
+    """Events of a source by ranges of time as long as the gap, for update mode.
+
+    Two events of a range are nearer than the gap, so a range is part of one session. A busy source has one
+    row per range, whatever its number of events.
+    """
+    counted = lines.withWatermark(time, delay).groupBy(F.window(time, gap), key).agg(
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("events"),
         F.count_if(is_important(F.col("severity"))).alias("important_events"),
     )
     return counted.select(
-        key, F.col("session_window.start").alias("session_start"),
-        F.col("session_window.end").alias("session_end"), "events", "important_events",
+        key, F.col("window.start").alias("range_start"), "first", "last", "events", "important_events"
     )
 
 
+def merged_sessions(partial: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of partial ones: an interval belongs to the session before it unless it begins a gap or more
+    after that session's last event. Sessions still open are included."""
+    along = Window.partitionBy(key).orderBy("first")
+    width = F.expr(f"interval {gap}")
+    opens = F.coalesce(F.col("first") >= F.lag("last").over(along) + width, F.lit(True))
+    numbered = partial.withColumn("opens", opens.cast("int")).withColumn("session", F.sum("opens").over(along))
+    merged = numbered.groupBy(key, "session").agg(
+        F.min("first").alias("session_start"), (F.max("last") + width).alias("session_end"),
+        F.sum("events").alias("events"), F.sum("important_events").alias("important_events"),
+    )
+    return merged.drop("session")
+
+
 def template_counts(lines: DataFrame) -> DataFrame:
     """Running template table, for update mode."""
     return lines.groupBy("fingerprint").agg(
@@ -108,10 +125,16 @@ def audit_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed rows of a streaming aggregation, one folder per micro-batch."""
+def updates_to_files(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Changed rows of a streaming aggregation, a step of a keyed table per micro-batch. A repeated batch
+    commits its step again."""
+    table = KeyedTable(stream.sparkSession, path, keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        table.put(batch, batch_id, again=True)
+
     return (
-        stream.writeStream.foreachBatch(_by_batch(path, "parquet"))
+        stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .outputMode("update")
         .trigger(availableNow=True)
@@ -120,9 +143,8 @@ def updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current table from the written updates: the newest batch of every key."""
-    updates = spark.read.parquet(path)
-    return extreme_rows(updates, keys, "batch", newest=True).drop("batch")
+    """Current table from the written updates: the newest row of every key, from a few merged folders."""
+    return KeyedTable(spark, path, keys).rows()
 
 
 def latest_templates(spark: SparkSession, path: str) -> DataFrame:

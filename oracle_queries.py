@@ -441,6 +441,13 @@ from base b left join disabled d using (id) left join newest n using (id)"""
 ORACLES["profile_install"] = W_CAT + """, dr as (select regexp_replace(id, '-10$', '-new') as id, body from newest)
 select d.id, d.body, b.id is null as installed, case when b.id is not null then 'schema already exists: ' || d.id end as reason
 from dr d left join base b using (id)"""
+ORACLES["profile_store"] = W_CAT + """
+select b.id, case when n.id is not null then 'override' else b.origin end as origin,
+  case when n.id is not null then coalesce(n.application, b.id) else b.application end as application,
+  case when n.id is not null then n.body else b.body end as body, b.id in (select id from disabled) as disabled
+from base b left join newest n using (id)
+union all
+select regexp_replace(id, '-10$', '-new') as id, 'draft', application, body, false from newest where id like '%-10'"""
 ORACLES["profile_upsert"] = W_CAT + " select id, arg_max(body, version) as body, max(version) as version from parts group by id"
 ORACLES["profile_restore"] = W_CAT + " select id, origin, body, false as disabled from base"
 ORDERS = o.order_corpus_sql("duckdb")
@@ -561,10 +568,9 @@ ORACLES["stream_sliding"] = windows(24, 12)
 ORACLES["stream_sessions"] = f"""with {STREAM},
 g as (select *, case when event_time >= lag(event_time) over (partition by source order by event_time) + interval '1 day' then 1 else 0 end as opens from s),
 h as (select *, sum(opens) over (partition by source order by event_time, event_id) as sess from g),
-m as (select max(event_time) - interval '10 minutes' as mark from s),
 a as (select source, sess, min(event_time) as session_start, max(event_time) + interval '1 day' as session_end, count(*) as events,
    count(*) filter (where {IMPORTANT}) as important_events from h group by source, sess)
-select source, session_start, session_end, events, important_events from a, m where session_end <= mark"""
+select source, session_start, session_end, events, important_events from a"""
 ORACLES["stream_templates"] = f"with {STREAM} select fingerprint, count(*) as total_repeats, min(line) as example from s group by fingerprint"
 ORACLES["stream_audit"] = f"with {STREAM} select event_id, source, severity, len(line) as chars from s"
 ORACLES["stream_blocks"] = f"""with {STREAM},

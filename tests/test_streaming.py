@@ -4,9 +4,13 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from logmill.operators import registry
 from logmill.operators.lines import block_events
+from logmill.operators.profile_store import ProfileStore
+from logmill.plans.catalog import Profile
 from logmill.queries import STREAM_PROFILE
 from logmill.session import run_folder
+from logmill.sources.keyed_table import Conflict, KeyedTable
 from logmill.streaming import blocks as sb, lines as sl
 
 START = datetime(2026, 1, 1)
@@ -31,33 +35,72 @@ def stream(spark, folder, schema=SCHEMA):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
-def test_blocks_over_batches_equal_one_batch(spark, tmp_path):
+def block_rows(n=120):
     rows = []
-    for n in range(1, 121):
-        level = "ERROR" if n % 9 == 0 else "WARN" if n % 7 == 0 else "INFO"
-        rows.append(("hot", n, f"[{n}] {level} line {n}", n))
-    rows += [("cold", n, f"[{n}] {'ERROR' if n == 2 else 'INFO'} c", n) for n in range(1, 5)]
-    rows.sort(key=lambda r: r[3])
-    write_batches(tmp_path / "in", [rows[i:i + 10] for i in range(0, len(rows), 10)])
-    root = run_folder(spark, "test-blocks")
-    query = sb.block_stream(stream(spark, tmp_path / "in"), STREAM_PROFILE, root, f"{root}/checkpoint", 10_000, size=8)
+    for k in range(1, n + 1):
+        level = "ERROR" if k % 9 == 0 else "WARN" if k % 7 == 0 else "INFO"
+        rows.append(("hot", k, f"[{k}] {level} line {k}", k))
+    rows += [("cold", k, f"[{k}] {'ERROR' if k == 2 else 'INFO'} c", k) for k in range(1, 5)]
+    rows += [("bare", k, f"[{k}] INFO c", k) for k in range(1, 3)]
+    return sorted(rows, key=lambda r: r[3])
+
+
+def run_blocks(spark, folder, root, profile=STREAM_PROFILE, timeout=10_000, size=8):
+    query = sb.block_stream(stream(spark, folder), profile, f"{root}/pieces", f"{root}/checkpoint", timeout, size)
     query.awaitTermination()
     assert query.exception() is None
-    last = query.lastProgress["batchId"]
-    assert last >= 12
-    got = sb.finish_blocks(spark, root, STREAM_PROFILE, last)
-    whole = block_events(spark.createDataFrame(
-        [(o, n, x, START) for o, n, x, _ in rows], SCHEMA), STREAM_PROFILE, "origin")
-    cols = ["origin", "first", "severity", "content"]
-    assert sorted(got.select(cols).collect()) == sorted(whole.select(cols).collect())
+    return query
+
+
+def blocks_of(spark, root, profile=STREAM_PROFILE):
+    rows = sb.assembled(spark, f"{root}/pieces", f"{root}/checkpoint", profile)
+    return sorted(map(tuple, rows.select("origin", "first", "severity", "content").collect()))
+
+
+def one_batch(spark, rows, profile=STREAM_PROFILE):
+    lines = spark.createDataFrame([(o, n, x, START) for o, n, x, _ in rows], SCHEMA)
+    return sorted(map(tuple, block_events(lines, profile, "origin").select("origin", "first", "severity", "content").collect()))
 
 
-def test_open_block_closes_after_timeout(spark):
-    rows = [("a", 1, "[1] ERROR x", START), ("a", 2, "[2] INFO y", START), ("b", 1, "[1] WARN z", START + timedelta(seconds=100))]
-    lines = spark.createDataFrame(rows, SCHEMA)
-    closed, held = sb.assemble(lines, STREAM_PROFILE, 60)
-    assert [r.content for r in closed.collect()] == ["[1] ERROR x\n[2] INFO y"]
-    assert [r.origin for r in held.collect()] == ["b"]
+def test_blocks_over_batches_and_restarts_equal_one_batch(spark, tmp_path):
+    """Small line ranges, so blocks cross ranges, batches and a restart of the query."""
+    rows = block_rows()
+    parts = [rows[i:i + 14] for i in range(0, len(rows), 14)]
+    write_batches(tmp_path / "in", parts[:5])
+    root = run_folder(spark, "test-blocks")
+    first = run_blocks(spark, tmp_path / "in", root)
+    assert first.lastProgress["batchId"] >= 4
+    assert blocks_of(spark, root) == one_batch(spark, [r for p in parts[:5] for r in p])
+    for k, part in enumerate(parts[5:], start=5):
+        add_file(tmp_path / "in", k, "\n".join(json.dumps(
+            {"origin": o, "line_no": n, "line": x, "event_time": (START + timedelta(seconds=t)).isoformat()}) for o, n, x, t in part))
+    second = run_blocks(spark, tmp_path / "in", root)
+    assert second.lastProgress["batchId"] > first.lastProgress["batchId"]
+    assert blocks_of(spark, root) == one_batch(spark, rows)
+    kinds = {r.kind for r in spark.read.schema(sb.PIECES).parquet(f"{root}/pieces").collect()}
+    assert {"block", "head"} <= kinds
+
+
+def test_preamble_of_a_stream(spark, tmp_path):
+    profile = Profile("p", "text", (("regex", "x"),), (), {
+        "kind": "text_blocks", "start_regex": r"^\[\d+\] ERROR", "severity": "ERROR", "include_preamble": True, "preamble_severity": "INFO"})
+    rows = block_rows(40)
+    write_batches(tmp_path / "in", [rows[i:i + 9] for i in range(0, len(rows), 9)])
+    root = run_folder(spark, "test-preamble")
+    run_blocks(spark, tmp_path / "in", root, profile)
+    assert blocks_of(spark, root, profile) == one_batch(spark, rows, profile)
+
+
+def test_open_block_closes_after_timeout(spark, tmp_path):
+    write_batches(tmp_path / "in", [
+        [("a", 1, "[1] ERROR x", 0), ("a", 2, "[2] INFO y", 1)], [("b", 1, "[1] WARN z", 100)], [("b", 2, "[2] INFO w", 101)],
+    ])
+    root = run_folder(spark, "test-timeout")
+    run_blocks(spark, tmp_path / "in", root, timeout=60)
+    pieces = spark.read.schema(sb.PIECES).parquet(f"{root}/pieces").collect()
+    assert [(r.origin, r.kind, r.content) for r in pieces] == [("a", "tail", "[1] ERROR x\n[2] INFO y")]
+    assert [(r.origin, r.content) for r in sb.open_pieces(spark, f"{root}/checkpoint").collect()] == [("b", "[1] WARN z\n[2] INFO w")]
+    assert [r[3] for r in blocks_of(spark, root)] == ["[1] ERROR x\n[2] INFO y", "[1] WARN z\n[2] INFO w"]
 
 
 LINE_SCHEMA = "source string, line string, event_time timestamp"
@@ -91,11 +134,78 @@ def test_dedup_and_templates_over_batches(spark, tmp_path):
     sl.to_files(sl.first_of_template(lines, delay="1 hour"), f"{root}/out", f"{root}/c1").awaitTermination()
     assert sorted((r.source, r.fingerprint) for r in spark.read.parquet(f"{root}/out").collect()) == [
         ("a", "disk # full"), ("a", "ok"), ("b", "disk # full")]
-    sl.updates_to_files(sl.template_counts(lines), f"{root}/t", f"{root}/c2").awaitTermination()
+    sl.updates_to_files(sl.template_counts(lines), f"{root}/t", f"{root}/c2", ["fingerprint"]).awaitTermination()
     assert {r.fingerprint: r.total_repeats for r in sl.latest_templates(spark, f"{root}/t").collect()} == {
         "disk # full": 4, "ok": 1}
 
 
+def test_sessions_over_batches(spark, tmp_path):
+    line_batches(tmp_path / "in", [
+        [("a", "error 1", 0), ("a", "ok", 29), ("b", "ok", 5)], [("a", "ok", 58), ("a", "ok", 59 + 60)], [("b", "warn", 35), ("b", "ok", 64)],
+    ])
+    lines = sl.measured(stream(spark, tmp_path / "in", LINE_SCHEMA))
+    root = run_folder(spark, "test-sessions")
+    keys = ["source", "range_start"]
+    partial = sl.partial_sessions(lines, "source", delay="1 day", gap="30 minutes")
+    sl.updates_to_files(partial, f"{root}/out", f"{root}/c", keys).awaitTermination()
+    rows = sl.merged_sessions(sl.latest(spark, f"{root}/out", keys), "source", gap="30 minutes").collect()
+
+    def minutes(t):
+        return (t - START) / timedelta(minutes=1)
+
+    got = sorted((r.source, minutes(r.session_start), minutes(r.session_end), r.events, r.important_events) for r in rows)
+    # an event exactly a gap after the last one opens a session
+    assert got == [("a", 0, 88, 3, 1), ("a", 119, 149, 1, 0), ("b", 5, 35, 1, 0), ("b", 35, 94, 2, 1)]
+
+
+def test_a_keyed_table_of_many_steps_is_read_from_few_folders(spark):
+    table = KeyedTable(spark, run_folder(spark, "test-keyed"), ["k"], fan=3)
+    want = {}
+    for step in range(29):
+        rows = [(k, step * 100 + k) for k in range(step % 4, 12, 4)]
+        want.update(dict(rows))
+        table.put(spark.createDataFrame(rows, "k int, v int").coalesce(1), step)
+        assert len(table.manifest().folders) <= 2 * 4
+    assert {r.k: r.v for r in table.rows().collect()} == want
+    assert {r.k: r.v for r in table.rows(0).collect()} == {0: 0, 4: 4, 8: 8}
+    with pytest.raises(Conflict):
+        table.put(spark.createDataFrame([(1, 1)], "k int, v int"), 28)
+    table.put(spark.createDataFrame([(99, 1)], "k int, v int"), 28, again=True)
+    got = {r.k: r.v for r in table.rows().collect()}
+    assert got[99] == 1 and got[0] != want[0]  # step 28 is replaced
+
+
+def test_two_writers_of_a_profile_store(spark):
+    root = run_folder(spark, "test-store")
+    one, two = ProfileStore(spark, root), ProfileStore(spark, root)
+
+    def drafts(*ids):
+        return spark.createDataFrame([(i, f"app {i}", f"body {i}") for i in ids], "id string, application string, body string")
+
+    assert one.state().count() == 0 and one.install(drafts("a", "b")) == 0
+    pinned, tried = one.state(0), []
+
+    def slow(state):
+        """While this writer works, the other one commits."""
+        if not tried:
+            tried.append(two.install(drafts("c"), origin="other"))
+        return registry.install(state, drafts("c", "d")).filter("installed").selectExpr("id", "'slow' as origin", "id as application", "body", "false as disabled")
+
+    assert one.change(slow) == 2 and tried == [1]
+    state = {r.id: r.origin for r in two.state().collect()}
+    assert state == {"a": "user", "b": "user", "c": "other", "d": "slow"}  # c was refused on the state it lost to
+    assert {r.id for r in pinned.collect()} == {"a", "b"}  # a reader keeps its version
+    with pytest.raises(Conflict):
+        one.table.put(pinned, 1)
+    two.override(drafts("b", "nobody"))
+    two.disable(drafts("a", "b"))
+    assert {(r.id, r.origin, r.disabled) for r in one.state().collect()} == {
+        ("a", "user", True), ("b", "override", True), ("c", "other", False), ("d", "slow", False)}
+    one.restore_defaults(one.state(0))
+    assert {(r.id, r.origin, r.disabled) for r in two.state().collect()} == {
+        ("a", "user", False), ("b", "user", False), ("c", "other", False), ("d", "slow", False)}
+
+
 def test_text_ingest_and_audit_folders(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.log").write_text("password=a b\nWARN c  \n")
