@@ -5,8 +5,8 @@ sentencepiece's proto give the token ends as coarse cuts. Two kinds of tokens ne
 may share one multibyte character, and byte-fallback tokens of B have no span of their own; their ends follow
 from their decoded bytes. A text counts only if the joined bytes of both sides are a space and the text.
 
-A text is cut before each space that follows a non-space character, and each distinct chunk is aligned once
-a worker. That is exact if no merge crosses such a cut: A splits by the byte-level pattern and has no
+A text is cut before each space that follows a non-space character, and a worker aligns a chunk once as long
+as it keeps it (chunks met lately, a bounded number). That is exact if no merge crosses such a cut: A splits by the byte-level pattern and has no
 normalizer, B has the identity normalizer, adds the space in front and has no piece with a space after
 another character. Other tokenizers, and texts with a chunk that does not decode to itself, are aligned as
 wholes. Ends of chunks are common ends, so the groups of a text are those of its chunks in turn.
@@ -29,20 +29,22 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logmill.llm.common import arrow_schema, batched, columns_of, stored
+from logmill.llm.common import arrow_schema, batched, columns_of, lasting, stored
 
 #: Where no token of either side crosses: before a space after a non-space character.
 CUT = re.compile(r"(?<=\S)(?= )")
 SPACE = "▁"
-#: Chunks that a worker keeps (twice), the longest of them, and characters that are encoded at once.
-KEPT, LONGEST, PIECE = 1 << 17, 64, 1 << 16
+#: White space before a space, where the cut is not valid (fixed values: what Python takes for white space).
+BEFORE_SPACE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Chunks that a worker keeps (twice), the longest of them, chunks that are encoded as one text, and characters
+#: that are aligned at once.
+KEPT, LONGEST, TOGETHER, PIECE = 3 << 16, 64, 64, 1 << 16
 #: Token ids of a pair are one number: A's above, B's in the low bits.
 LOW = 32
 ROWS = (
@@ -89,86 +91,109 @@ class Aligner:
             and not model.trainer_spec.treat_whitespace_as_suffix
             and not any(SPACE in p.lstrip(SPACE) for p, own in zip(pieces, self.fallback) if not own)
         )
+        self.a_lengths, self.b_lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
+        for i, x in self.a_bytes.items():
+            self.a_lengths[i] = len(x)
+        self.text = [str(i) for i in range(max(len(self.a_lengths), len(self.b_lengths)))]
         self.kept: dict[str, Entry | None] = {}
         self.older: dict[str, Entry | None] = {}
 
-    def _a_ends(self, text: str, ids: list[int], offsets: list[tuple[int, int]]) -> np.ndarray:
-        """Byte ends of A's tokens."""
-        spans = np.array(offsets, np.int64).reshape(-1, 2)
-        if text.isascii():
-            return spans[:, 1]
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        ends = at[spans[:, 1]]
-        shared = np.flatnonzero(spans[1:, 0] < spans[:-1, 1])  # the next token begins inside the last character
-        for k in shared.tolist():
-            ends[k] = (ends[k - 1] if k else 0) + len(self.a_bytes[ids[k]])
-        return ends
-
-    def _b_ends(self, ids: list[int], ends: list[int]) -> np.ndarray:
-        """Byte ends of B's tokens, with the space that B adds."""
-        found = np.array(ends, np.int64) + 1
-        for k in np.flatnonzero(self.fallback[ids]).tolist():
-            found[k] = found[k - 1] + 1 if k else 1
-        return found
+    def _ends(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Byte ends of tokens: their spans' ends, but where a token shares its last character with the next one
+        (``own`` marks others without a span) what the decoded bytes up to it add up to."""
+        refined = own.copy()
+        refined[:-1] |= starts[1:] < ends[:-1]
+        return np.where(refined, np.cumsum(lengths[ids]), ends)
 
     def align(self, chunks: list[str]) -> list[Entry | None]:
-        """Of each chunk. All begin with the space that B adds itself; at their joints the cuts are valid."""
-        text = "".join(chunks)
-        one = self.a.encode(text, add_special_tokens=False)
-        pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto", num_threads=1).pieces]
-        a, b, whole = one.ids, [p for p, _ in pieces], text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+        """Of each chunk, without its space. Where they are joined the cuts are valid."""
+        pieces, at = [], 0
+        while at < len(chunks):
+            pieces.append(" " + " ".join(chunks[at : at + TOGETHER]))
+            at += TOGETHER
+        text = "".join(pieces)
+        whole = text.encode()
+        sizes = np.array([len(p) for p in pieces])
+        if len(whole) == len(text):
+            at = np.arange(len(text) + 1)
+        else:
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        before = np.cumsum(sizes) - sizes
+        coded = self.a.encode_batch(pieces, add_special_tokens=False)
+        a = np.array([i for c in coded for i in c.ids], np.int64)
+        spans = [c.offsets for c in coded]
+        shift = np.repeat(before, [len(x) for x in spans])
+        starts, ends = (np.array([x[k] for y in spans for x in y], np.int64) + shift for k in range(2))
+        # sentencepiece's spans are in bytes of the text without the space
+        protos = self.b.encode([p[1:] for p in pieces], return_type="proto", num_threads=1)
+        found = [(p.id, p.begin, p.end) for x in protos for p in x.pieces]
+        b = np.array([x[0] for x in found], np.int64)
+        shift = np.repeat(at[before], [len(x.pieces) for x in protos])
+        b_starts, b_ends = (np.array([x[k] for x in found], np.int64) + shift + 1 for k in (1, 2))
+        a_list, b_list = a.tolist(), b.tolist()
+        if b"".join([self.a_bytes[i] for i in a_list]) != whole or b"".join([self.b_bytes[i] for i in b_list]) != whole:
             return [self.align([c])[0] for c in chunks] if len(chunks) > 1 else [None]
-        a_ends, b_ends = self._a_ends(text, a, one.offsets), self._b_ends(b, [p for _, p in pieces])
+        a_ends = self._ends(a, at[starts], at[ends], self.a_lengths, np.zeros(len(a), bool))
+        b_ends = self._ends(b, b_starts, b_ends, self.b_lengths, self.fallback[b])
         # no token is empty, so both are strictly increasing
         _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        links = (np.array(a, np.int64)[at_a] << LOW | np.array(b, np.int64)[at_b]).tolist()
-        last = np.searchsorted(a_ends[at_a], np.cumsum([len(c.encode()) for c in chunks]))  # group at each chunk's end
-        at_a, at_b, a_text, b_text = (at_a + 1).tolist(), (at_b + 1).tolist(), list(map(str, a)), list(map(str, b))
+        links = (a[at_a] << LOW | b[at_b]).tolist()
+        last = np.searchsorted(a_ends[at_a], np.cumsum([len(c.encode()) + 1 for c in chunks])) + 1  # groups up to each chunk's end
+        to_a, to_b = at_a + 1, at_b + 1
+        counts = [np.diff(to[last - 1], prepend=0).tolist() for to in (to_a, to_b)]
+        a_text, b_text = [self.text[i] for i in a_list], [self.text[i] for i in b_list]
+        to_a, to_b = to_a.tolist(), to_b.tolist()
         groups = [
-            f"{','.join(a_text[i:to_i])}|{','.join(b_text[j:to_j])}"
-            for i, to_i, j, to_j in zip([0, *at_a], at_a, [0, *at_b], at_b)
+            f"{a_text[i]}|{b_text[j]}" if to_i - i == 1 == to_j - j else f"{','.join(a_text[i:to_i])}|{','.join(b_text[j:to_j])}"
+            for i, to_i, j, to_j in zip([0, *to_a], to_a, [0, *to_b], to_b)
+        ]
+        last = last.tolist()
+        return [
+            (n, m, ";".join(groups[i:to]), tuple(links[i:to])) for n, m, i, to in zip(*counts, [0, *last], last)
         ]
-        found, at = [], 0
-        for to in (last + 1).tolist():
-            before = (at_a[at - 1], at_b[at - 1]) if at else (0, 0)
-            found.append((at_a[to - 1] - before[0], at_b[to - 1] - before[1], ";".join(groups[at:to]), tuple(links[at:to])))
-            at = to
-        return found
 
     def _aligned(self, chunks: list[str]) -> Iterator[Entry | None]:
-        """In pieces whose chunks may stand side by side: a chunk that ends in white space is its last."""
-        piece, size = [], 0
-        for c in chunks:
-            piece.append(c)
-            size += len(c)
-            if size > PIECE or c[-1].isspace() or not self.separable:
-                yield from self.align(piece)
-                piece, size = [], 0
-        if piece:
-            yield from self.align(piece)
+        """Together in pieces of many chunks, but a chunk that ends in white space or has none stands alone."""
+        alone = [not self.separable or not c or c[-1].isspace() for c in chunks]
+        at = 0
+        while at < len(chunks):
+            to, size = at, 0
+            while to < len(chunks) and size < PIECE and not alone[to]:
+                size += len(chunks[to])
+                to += 1
+            to = max(to, at + 1)
+            yield from self.align(chunks[at:to])
+            at = to
 
     def _found(self, chunks: Iterable[str]) -> dict[str, Entry | None]:
         """An entry of each chunk; those met lately are kept, in two generations."""
-        found, new = {}, []
+        found, new, again = {}, [], []
         for c in dict.fromkeys(chunks):
-            entry = self.kept.get(c, c)
-            if entry is c:
-                entry = self.older.get(c, c)
-            if entry is c:
-                new.append(c)
+            if c in self.kept:
+                found[c] = self.kept[c]
+            elif c in self.older:
+                found[c] = self.older[c]
+                again.append(c)
             else:
-                found[c] = entry
+                new.append(c)
         found.update(zip(new, self._aligned(new)))
-        self.kept.update((c, e) for c, e in found.items() if len(c) <= LONGEST)
         if len(self.kept) > KEPT:
             self.kept, self.older = {}, self.kept
+        self.kept.update((c, found[c]) for c in chain(again, new) if len(c) <= LONGEST)
         return found
 
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a text without the space before each."""
+        if not self.separable:
+            return [text]
+        if text[0] == " " or any(pair in text for pair in BEFORE_SPACE):
+            return [c[1:] for c in CUT.split(" " + text)]
+        return text.split(" ")
+
     def entries(self, texts: list[str]) -> Iterator[list[Entry] | None]:
-        """The entries whose sequence is each text (with a space in front); None: its bytes changed."""
-        cut = [CUT.split(t) if self.separable else [t] for t in texts]
+        """The entries whose sequence is each (not empty) text; None: its bytes changed."""
+        cut = [self.cut(t) for t in texts]
         found = self._found(chain.from_iterable(cut))
         for text, chunks in zip(texts, cut):
             parts = [found[c] for c in chunks]
@@ -177,11 +202,6 @@ class Aligner:
             yield None if None in parts else parts
 
 
-@lru_cache(1)
-def aligner(a: bytes, b: bytes) -> Aligner:
-    return Aligner(a, b)
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()))
@@ -195,7 +215,9 @@ def _file(path: str) -> bytes:
 def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``ROWS`` of every document; the files are read where this runs and travel to the workers."""
     spark = batched(docs.sparkSession)
-    files = spark.sparkContext.broadcast((_file(a_path), _file(b_path)))
+    files = _file(a_path), _file(b_path)
+    digest = hashlib.sha256(b"|".join(files)).hexdigest()
+    files = spark.sparkContext.broadcast(files)
     fields, arrow = arrow_schema(spark, ROWS)
 
     def one(batch: pa.RecordBatch, both: Aligner) -> pa.RecordBatch:
@@ -203,7 +225,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         held = [k for k, t in enumerate(texts) if t]
         numbers, digests = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
         pairs, times = ([np.zeros(0, np.int64)] * len(texts) for _ in range(2))
-        for k, parts in zip(held, both.entries([" " + texts[k] for k in held])):
+        for k, parts in zip(held, both.entries([texts[k] for k in held])):
             if parts:
                 a, b, groups, links = zip(*parts)
                 ids = np.fromiter(chain.from_iterable(links), np.int64)
@@ -215,7 +237,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         ], names=arrow.names).cast(arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(*files.value)
+        both = lasting("aligner", digest, lambda: Aligner(*files.value))
         gc.disable()  # no cycles arise here, and looking for them among the kept entries takes a fifth of the time
         try:
             for batch in batches:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from types import ModuleType
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,6 +23,7 @@ from logmill.session import configure, run_folder
 # the functions go to the workers themselves, so that executors need no copy of this package
 cloudpickle.register_pickle_by_value(logmill.llm)
 
+T = TypeVar("T")
 #: Words as the contracts name them: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of an ordered group; each is summed in a task of its own.
@@ -89,6 +93,16 @@ def per_batch(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+def lasting(name: str, key: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, once in a worker process for each ``key`` (the newest of a ``name`` stays).
+
+    Functions travel by value, so their own globals last for one task only."""
+    held = sys.modules.setdefault("logmill_lasting", ModuleType("logmill_lasting")).__dict__
+    if held.get(name, ("",))[0] != key:
+        held[name] = (key, make())
+    return held[name][1]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
