@@ -5,9 +5,10 @@ keep the pairs few without losing a link:
 
 1. In each bucket every class is paired with the bucket's most central class, never all with all.
    Verified pairs are joined to components.
-2. Two classes of a bucket that are still in different components are paired, if the sizes and 1,024-bit
-   marks of their sets and the number of buckets they share leave the needed overlap possible. Pairs within a component need no test: they
-   cannot change it. So a large group of near copies costs its size and not the square of it.
+2. Two classes of a bucket that are still in different components are paired at their first common key, if their
+   sizes, 1,024-bit marks and the key's places leave the needed overlap possible; then the keys they share are
+   counted. Pairs within a component need no test: they cannot change it. So a large group of near copies costs
+   its size and not the square of it, and a pair is one row however many keys it shares.
 
 Verification intersects the whole sets. Sets are made again from the texts, for the classes of possible
 pairs only, each from one of its texts. A bit table of fixed size (``FILTER_BITS``) over text digests tells
@@ -20,16 +21,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logmill.llm.common import batched, columns_of, per_batch, stored
+from logmill.llm.common import batched, columns_of, per_batch, spread_join, stored
 from logmill.llm.shingles import mixed, shingle_sets
 
 MARK_WORDS = 16
 MARKS = [f"m{k}" for k in range(MARK_WORDS)]
 FILTER_BITS = 25
-#: Rows of a bucket for each salt.
-SALTED = 128
+#: Rows of a bucket for each salt, and earlier keys that tell whether two classes have met.
+SALTED, BEFORE = 128, 4
 ROWS = "doc_id bigint, n bigint, cls bigint, marks array<bigint>, keys array<bigint>, digest bigint"
 
 
@@ -133,30 +134,44 @@ def _verified(texts: DataFrame, width: int, pairs: DataFrame, info: DataFrame, p
 
 
 def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, cls, label, size) of the buckets whose classes are not all in one component."""
+    """(bucket, cls, pos, label, size) of the buckets whose classes are not all in one component."""
     joined = postings.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
-        "bucket", "cls", F.coalesce("label", "cls").alias("label")
+        "bucket", "cls", "pos", F.coalesce("label", "cls").alias("label")
     )
     split = joined.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
     return joined.join(split.filter("lo < hi").select("bucket", "size"), "bucket")
 
 
-def _rest_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common buckets) of different components that share a bucket and may reach the similarity.
+def _rest_pairs(rest: DataFrame, percent: int, prefixes: bool) -> DataFrame:
+    """(a, b) of different components that share a bucket and may reach the similarity.
 
-    In a large bucket one side is dealt by salt and the other goes to every salt, so many tasks share it."""
+    Each class lists its keys in one global order, so two classes are paired at their first common key only:
+    where they share one of the ``BEFORE`` keys before it, they have met there or earlier. (Keys of buckets that are
+    not open are common to no two components.) For prefixes nothing is common before that key, so what follows it
+    in both sets must leave the needed overlap. In a large bucket one side is dealt by salt and the other goes to
+    every salt, so many tasks share it."""
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy("cls").orderBy("pos")
+    before = F.array_compact(F.array(*(F.lag("bucket", k).over(own) for k in range(1, BEFORE + 1))))
     salts = F.floor(F.col("size") / SALTED) + 1
+    rest = rest.withColumn("before", before)
     a = rest.withColumn("salt", F.pmod(F.xxhash64("cls"), salts)).repartition(parts, "bucket", "salt")
     b = rest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).repartition(parts, "bucket", "salt")
     meet = F.expr("a.bucket = b.bucket and a.salt = b.salt and a.cls < b.cls and a.label <> b.label")
-    return _counted(a.alias("a").join(b.alias("b"), meet & _possible(percent)).select(
+    meet = meet & ~F.arrays_overlap("a.before", "b.before")
+    if prefixes:
+        n, m = F.col("a.n"), F.col("b.n")
+        meet = meet & ((100 + percent) * F.least(n - F.col("a.pos"), m - F.col("b.pos")) >= percent * (n + m))
+    return a.alias("a").join(b.alias("b"), meet & _possible(percent)).select(
         F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")
-    ))
+    ).distinct()
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    return met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("common"))
+def _with_common(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``pairs`` with ``common``: the number of keys (cls, keys) that both classes have."""
+    a, b = (keys.select(F.col("cls").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return both.select(*pairs.columns, F.size(F.array_intersect("a_keys", "b_keys")).alias("common"))
 
 
 def _enough(percent: int) -> Column:
@@ -201,7 +216,7 @@ def grouped(
     ), "classes")
     held = rows.filter("n > 0")
     first = held.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
-    postings = held.select(F.explode("keys").alias("bucket"), "cls")
+    postings = held.select(F.posexplode("keys").alias("pos", "bucket"), "cls")
     shared = postings.groupBy("bucket").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("bucket")
     postings = stored(postings.join(shared, "bucket", "left_semi").distinct(), "postings")
     degree = postings.groupBy("cls").agg(F.count("*").alias("degree"))
@@ -214,8 +229,12 @@ def grouped(
     stars = stored(_star_pairs(postings, info, percent).filter(enough).select("a", "b"), "pairs")
     links = _verified(texts, width, stars, info, percent)
     rest = _open(postings, components(links)).join(info.drop("degree", "digest"), "cls")
-    pairs = _rest_pairs(stored(rest, "open"), percent).filter(enough).select("a", "b")
-    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = _rest_pairs(stored(rest, "open"), percent, prefixes).join(stars, ["a", "b"], "left_anti")
+    if prefixes:
+        wanted = stored(pairs, "met")
+        some = wanted.select(F.col("a").alias("cls")).union(wanted.select("b")).distinct()
+        pairs = _with_common(wanted, held.select("cls", "keys").join(some, "cls", "left_semi").dropDuplicates(["cls"])).filter(enough)
+    pairs = stored(pairs.select("a", "b"), "pairs")
     labels = components(links.union(_verified(texts, width, pairs, info, percent)))
 
     named = first.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select(
@@ -223,7 +242,6 @@ def grouped(
     )
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("cls", "label", "component_id")
-    return (
-        rows.select("doc_id", "n", "digest", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest", "label")
-    )
+    full = spread_join(held.select("doc_id", "n", "digest", "cls"), named, "cls", "doc_id")
+    empty = rows.filter("n = 0").select("doc_id", "n", "digest", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("label"))
+    return full.select("doc_id", "n", "digest", "component_id", "label").union(empty).withColumnRenamed("n", "n_shingles")

@@ -98,8 +98,9 @@ def plain_alignment(both, text):
             own.append(at)
         ends.append(own)
     groups, links, i, j = [], [], 0, 0
-    for end in sorted(set(ends[0]) & set(ends[1])):
-        x, y = ends[0].index(end) + 1, ends[1].index(end) + 1
+    place = [{end: k + 1 for k, end in enumerate(own)} for own in ends]
+    for end in sorted(place[0].keys() & place[1].keys()):
+        x, y = place[0][end], place[1][end]
         groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
         links.append((a[x - 1], b[y - 1]))
         i, j = x, y
