@@ -70,6 +70,33 @@ def greedy_batches(pieces: Column, budget: Column, sep: str) -> Column:
     return let(pieces, cut)
 
 
+def event_batch_count(lengths: Column, budget: Column) -> Column:
+    """The number of ``event_batches`` of rendered events of these lengths."""
+    return F.when(F.size(lengths) == 0, 0).otherwise(let(lengths, lambda x: F.size(_starts(x, budget, 2))))
+
+
+def raw_batch_count(text: Column, budget: Column) -> Column:
+    """The number of ``raw_batches`` of a text, from the lengths of its lines."""
+
+    def cut(length: Column) -> Column:
+        full = F.floor((length - 1) / budget).cast("int")  # pieces of budget size before the last one
+        return F.when(length <= budget, F.array(length)).otherwise(
+            F.concat(F.array_repeat(budget, full), F.array(length - full * budget))
+        )
+
+    def lengths(t: Column) -> Column:
+        ended = F.endswith(t, F.lit("\n"))
+        lines = F.split(F.when(ended, F.left(t, F.length(t) - 1)).otherwise(t), "\n")
+
+        def with_ends(ls: Column) -> Column:
+            own = F.transform(ls, lambda x, i: F.length(x) + F.when((i < F.size(ls) - 1) | ended, 1).otherwise(0))
+            return let(own, lambda n: F.when(F.exists(n, lambda x: x > budget), F.flatten(F.transform(n, cut))).otherwise(n))
+
+        return let(lines, with_ends)
+
+    return F.when(text == "", 0).otherwise(let(text, lambda t: F.size(_starts(lengths(t), budget, 0))))
+
+
 def event_batches(rendered: Column, budget: Column) -> Column:
     """Batches of rendered events, a blank line between them."""
     return F.filter(greedy_batches(rendered, budget, "\n\n"), lambda b: b != "")

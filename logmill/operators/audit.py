@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logmill.functions.fingerprint import audit_signature
-from logmill.functions.severity import raw_line_level
-from logmill.functions.text import is_blank, let, mask_pii, text_lines, trim_space_end
+from logmill.functions.severity import LABELS, raw_line_level
+from logmill.functions.text import fold, is_blank, let, mask_pii, text_lines, trim_space_end
+from logmill.session import written
 
 # The event header of a rendered report and the words of a priority line.
 HEADER = (
@@ -112,35 +115,47 @@ def severity_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     return sides.filter(F.col("level").isNotNull()).groupBy(key, "level").agg(_count("raw"), _count("parsed"))
 
 
-def verdicts(sides: DataFrame, key: str = "doc_id") -> DataFrame:
-    """OK when event count, signatures and severities agree, else REVIEW.
+def multisets(sides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: events of both sides, whether their signatures agree as multisets and whether their
+    levels do.
 
-    Every row counts once under its signature and once under its level, so the documents are
-    prepared only once for both comparisons.
+    A multiset is compared by sums: each event adds the four halves of two 64-bit hashes of its signature, so
+    that equal multisets have equal sums and others differ in one of them (128 bits). Sums are partial
+    aggregations: a row per document and task is shuffled, and no signature.
     """
-    keyed = sides.select(
-        key, "side", "n",
-        F.explode(
-            F.array(
-                F.struct(F.lit("signature").alias("kind"), audit_signature(F.col("text")).alias("value")),
-                F.struct(F.lit("level").alias("kind"), F.col("level").alias("value")),
-            )
-        ).alias("k"),
-    )
-    counted = keyed.groupBy(key, F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).agg(
-        _count("raw"), _count("parsed")
+    signature = audit_signature(F.col("text"))
+    hashes = sides.select(key, "side", "n", "level", F.xxhash64(signature).alias("h0"), F.xxhash64(F.lit(1), signature).alias("h1"))
+    halves = [half for h in ("h0", "h1") for half in (F.col(h).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+
+    def total(side: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, value)), F.lit(0))
+
+    n = F.col("n")
+    sums = [n, *(n * half for half in halves), *(F.when(F.col("level") == level, n).otherwise(0) for level in LABELS)]
+    rows = hashes.groupBy(key).agg(*(total(side, v).alias(f"{side}_{k}") for side in ("raw", "parsed") for k, v in enumerate(sums)))
+
+    def agree(places: range) -> Column:
+        return fold(*(F.col(f"raw_{k}") == F.col(f"parsed_{k}") for k in places), op=lambda x, y: x & y)
+
+    first = 1 + len(halves)
+    return rows.select(
+        key, F.col("raw_0").alias("raw_events"), F.col("parsed_0").alias("parsed_events"),
+        agree(range(first)).alias("equal"), agree(range(first, len(sums))).alias("severity_ok"),
     )
-    def of(kind: str, value: Column) -> Column:
-        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
-
-    missing = F.greatest(F.col("raw_n") - F.col("parsed_n"), F.lit(0))
-    extra = F.greatest(F.col("parsed_n") - F.col("raw_n"), F.lit(0))
-    rows = counted.groupBy(key).agg(
-        of("signature", F.col("raw_n")).alias("raw_events"),
-        of("signature", F.col("parsed_n")).alias("parsed_events"),
-        of("signature", missing).alias("missing_signatures"),
-        of("signature", extra).alias("extra_signatures"),
-        (of("level", missing + extra) == 0).alias("severity_ok"),
+
+
+def verdicts(docs: DataFrame, sides: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+    """OK when event count, signatures and severities agree, else REVIEW.
+
+    ``sides`` makes the rows of ``both_sides`` of documents. Documents whose multisets agree are done; only those
+    of the others are made again and spelled out by signature.
+    """
+    compared = written(multisets(sides(docs), key), "multisets")
+    other = docs.join(compared.filter("not equal").select(key), key, "left_semi")
+    spelled = signature_differences(sides(other), key).select(key, "missing_signatures", "extra_signatures")
+    rows = compared.join(spelled, key, "left").select(
+        key, "raw_events", "parsed_events", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("missing_signatures", "extra_signatures")),
+        "severity_ok",
     )
     events_ok = F.col("raw_events") == F.col("parsed_events")
     signatures_ok = (F.col("missing_signatures") == 0) & (F.col("extra_signatures") == 0)

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmill.functions.batching import MIN_BUDGET, event_batches, raw_batches
+from logmill.functions.batching import MIN_BUDGET, event_batch_count, event_batches, raw_batch_count, raw_batches
 from logmill.functions.severity import is_important
 from logmill.functions.text import cached, let, sealed, token_estimate
 from logmill.operators.parse import format_label, parse
@@ -84,6 +84,14 @@ def rendered(groups: Column) -> Column:
     )
 
 
+def rendered_lengths(groups: Column) -> Column:
+    """The lengths of ``rendered``, without making the texts."""
+    def one(g: Column) -> Column:
+        return F.length(render_event(g["source"], g["severity"], g["repeats"], F.lit(""))) + F.length(g["content"])
+
+    return F.transform(groups, one)
+
+
 def event_groups(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per distinct fingerprint of a document, with its first event and repeat count."""
     rows = parsed.select(key, F.explode(deduplicate(F.col("events"))).alias("g"))
@@ -157,6 +165,47 @@ def prepare(
     return sealed(staged, kept, columns)
 
 
+def summarized(
+    docs: DataFrame,
+    batch_chars: Column | int = 12_000,
+    profiles: Iterable[Profile] = BUILT_IN,
+    text: str = "text",
+    key: str = "doc_id",
+) -> DataFrame:
+    """``summary(prepare(docs))`` from lengths: no event is rendered and no batch is cut."""
+    budget = F.lit(batch_chars) if isinstance(batch_chars, int) else batch_chars
+    budget = F.greatest(budget.cast("int"), F.lit(MIN_BUDGET))
+    parsed = parse(docs.select(key, F.col(text).alias("text")).withColumn("budget", budget), profiles)
+    staged = parsed.withColumn("groups", cached(("groups",), lambda: deduplicate(F.col("events"))))
+    staged = staged.withColumn("lengths", cached(("lengths",), lambda: rendered_lengths(F.col("groups"))))
+    joined = F.aggregate("lengths", F.lit(0), lambda a, n: a + n) + F.greatest(2 * F.size("lengths") - 2, F.lit(0))
+    staged = staged.withColumn("parsed_chars", joined)
+    supported, clean = F.col("supported"), F.length("clean")
+    raw = ~supported | (clean < F.col("parsed_chars"))
+    original = F.length("text")
+    selected = F.when(~supported, original).when(raw, clean).otherwise(F.col("parsed_chars"))
+    important = F.size(F.filter("events", lambda e: is_important(e["severity"])))
+
+    def counted(value: Column, other: Column | int) -> Column:
+        return F.when(supported, value).otherwise(other).cast("bigint")
+
+    batches = cached(("batch_count",), lambda: F.when(
+        ~F.col("supported") | (F.length("clean") < F.col("parsed_chars")), raw_batch_count(F.col("clean"), F.col("budget"))
+    ).otherwise(event_batch_count(F.col("lengths"), F.col("budget"))))
+    return sealed(staged, [key], {
+        "detected_format": format_label(F.col("format_ids"), supported),
+        "original_chars": original.cast("bigint"),
+        "normalized_chars": counted(F.col("parsed_chars"), original),
+        "event_count": counted(F.size("events"), 1),
+        "important_events": counted(important, 0),
+        "duplicate_count": counted(F.size("events") - F.size("groups"), 0),
+        "estimated_tokens": token_estimate(selected),
+        "selected_variant": F.when(raw, "Raw").otherwise("Parsed"),
+        "batch_count": batches.cast("bigint"),
+        "normalized": supported,
+    })
+
+
 def summary(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
     """The metadata columns of prepared documents with the batch count, without any text."""
     return prepared.select(
@@ -219,5 +268,5 @@ def preview(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
 
 __all__ = [
     "batch_rows", "deduplicate", "event_groups", "prepare", "prepare_raw", "preview",
-    "reduction_percent", "render_event", "rendered", "summary",
+    "reduction_percent", "render_event", "rendered", "rendered_lengths", "summarized", "summary",
 ]

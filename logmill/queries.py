@@ -13,6 +13,7 @@ from logmill.operators import (
 )
 from logmill.operators.ordering import extreme_rows
 from logmill.operators.profile_store import ProfileStore
+from logmill.plans import extract
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.detect import matching_formats
 from logmill.plans.profile_texts import profile_corpus
@@ -322,15 +323,21 @@ def line_severity(spark, sf_dir):
     )
 
 
+LEVEL_WORDS = (
+    "0", "1", "2", "3", "4", "5", "6", "7", "8", "", "F", "alert", "Crit", "FATAL", "critical", "PANIC", "E", "error", "Err", "SEVERE",
+    "w", "WARN", "Warning", "I", "d", "info", "NOTICE", "Debug", "TRACE", "V", "verbose", "emerg", "ERRORS", "Tracer",
+)
+
+
 @query
 def level_words(spark, sf_dir):
     """JSON level lookup and leading-level test of words in the tables."""
-    word = F.coalesce(F.regexp_extract("o_orderpriority", "^([0-9])", 1), F.lit(""))
+    word = F.get(F.array(*map(F.lit, LEVEL_WORDS)), (F.col("o_orderkey") % len(LEVEL_WORDS)).cast("int"))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+        "o_orderkey", word.alias("word"),
         severity.level_word_severity(word).alias("severity"),
         severity.starts_with_level(
-            F.concat(F.when(F.col("o_orderstatus") == "P", "  INFO ").otherwise("x"), "o_orderpriority")
+            F.concat(F.when(F.col("o_orderstatus") == "P", "  ").otherwise("x"), word, F.lit(" "), F.col("o_orderpriority"))
         ).alias("leading_level"),
     )
 
@@ -527,7 +534,7 @@ def long_index(df: DataFrame) -> DataFrame:
 @query
 def prepared_summary(spark, sf_dir):
     """Flagship: detection, events, dedup, variant choice and batches of every document."""
-    return pp.summary(prepared_corpus(spark, sf_dir))
+    return pp.summarized(log_corpus(spark, sf_dir), SMALL_BUDGET)
 
 
 @query
@@ -537,7 +544,7 @@ def prepared_batches(spark, sf_dir):
 
 @query
 def document_summary(spark, sf_dir):
-    return pp.summary(prepared_documents(spark, sf_dir))
+    return pp.summarized(documents(spark, sf_dir).select("doc_id", "text"), SMALL_BUDGET)
 
 
 @query
@@ -702,7 +709,7 @@ def request_payloads(spark, sf_dir):
     content = F.coalesce(*[
         F.when(F.col("protocol") == p, F.get_json_object("body", path)) for p, path in paths.items()
     ])
-    return out.select("conv_id", "turn", "protocol", content.alias("content"),
+    return out.select("conv_id", "turn", "protocol", "body", content.alias("content"),
                       F.get_json_object("body", "$.model").alias("model"))
 
 
@@ -950,6 +957,15 @@ def comma_order_events(spark, sf_dir):
     return ps.events(docs, profiles=[*BUILT_IN, ORDER_PROFILE, COMMA_PROFILE]).withColumn("seq", F.col("seq").cast("bigint"))
 
 
+@query
+def tab_order_events(spark, sf_dir):
+    """Fields between tabs, taken from lines as they are (sanitizing a document widens its tabs)."""
+    parser = {**ORDER_PROFILE.parser, "delimiter": "tab"}
+    lines = tx.text_lines(F.replace("text", F.lit("|"), F.lit("\t")))
+    rows = order_corpus(spark, sf_dir).select("doc_id", F.explode(extract.delimited_events(lines, parser)).alias("e"))
+    return rows.select("doc_id", F.col("e.first").cast("bigint").alias("first"), "e.level", "e.content")
+
+
 @query
 def format_usage(spark, sf_dir):
     return corpus.format_usage(ps.outcomes(log_corpus(spark, sf_dir)), BUILT_IN)
@@ -998,10 +1014,13 @@ def draft_envelopes(spark, sf_dir):
 
 # --- audit and sampling ---------------------------------------------------------------------------
 
-def audit_sides(spark, sf_dir) -> DataFrame:
+def sides_of(docs: DataFrame) -> DataFrame:
     """Raw lines and re-read rendered events; unsupported documents have no events."""
-    prepared = prepared_corpus(spark, sf_dir)
-    return audit.both_sides(prepared, tx.trim_space(F.col("clean")), F.col("parsed_preview"))
+    return audit.both_sides(pp.prepare(docs, SMALL_BUDGET), tx.trim_space(F.col("clean")), F.col("parsed_preview"))
+
+
+def audit_sides(spark, sf_dir) -> DataFrame:
+    return sides_of(log_corpus(spark, sf_dir))
 
 
 @query
@@ -1033,12 +1052,12 @@ def audit_levels(spark, sf_dir):
 
 @query
 def audit_verdicts(spark, sf_dir):
-    return audit.verdicts(audit_sides(spark, sf_dir))
+    return audit.verdicts(log_corpus(spark, sf_dir), sides_of)
 
 
 @query
 def audit_result(spark, sf_dir):
-    return audit.corpus_result(audit.verdicts(audit_sides(spark, sf_dir)))
+    return audit.corpus_result(audit.verdicts(log_corpus(spark, sf_dir), sides_of))
 
 
 @query

@@ -191,9 +191,15 @@ cl as (select doc_id, line_no, raw, {o.redact(f"replace({o.rtrim('raw')}, chr(9)
 ORACLES["line_severity"] = RAW_LINES + f"""
 select doc_id, line_no, {o.text_severity("'UNKNOWN'", 'line')} as severity, {o.fingerprint('line')} as fingerprint,
   {o.raw_line_level('raw')} as raw_level, {o.signature('raw')} as signature, {o.http_status('raw')} as http_status from cl"""
+# fixed values: word, severity as a JSON level, whether a line may lead with it
+_level_words = """0 CRITICAL n,1 CRITICAL n,2 CRITICAL n,3 ERROR n,4 WARNING n,5 INFO n,6 INFO n,7 INFO n,8 UNKNOWN n, UNKNOWN n,
+F CRITICAL n,alert CRITICAL n,Crit CRITICAL n,FATAL CRITICAL y,critical CRITICAL n,PANIC CRITICAL n,E ERROR n,error ERROR n,Err ERROR n,
+SEVERE ERROR n,w WARNING n,WARN WARNING y,Warning WARNING n,I INFO n,d INFO n,info INFO n,NOTICE INFO n,Debug INFO n,TRACE INFO y,
+V UNKNOWN n,verbose UNKNOWN n,emerg UNKNOWN n,ERRORS UNKNOWN y,Tracer UNKNOWN n""".replace("\n", "").split(",")
+_level_rows = ", ".join(f"({k}, {q(w)}, {q(s)}, {str(y == 'y').lower()})" for k, (w, s, y) in enumerate(x.split(" ") for x in _level_words))
 ORACLES["level_words"] = f"""
-select o_orderkey, coalesce({o._lookup("regexp_extract(o_orderpriority, '^([0-9])', 1)", JSON_LEVELS)}, 'UNKNOWN') as severity,
-  o_orderstatus = 'P' as leading_level from orders"""
+select o_orderkey, w.word, w.severity, o_orderstatus = 'P' and w.leads as leading_level
+from orders join (values {_level_rows}) as w(k, word, severity, leads) on o_orderkey % {len(_level_words)} = w.k"""
 
 
 def block_oracle(style: str) -> str:
@@ -389,8 +395,17 @@ select conv_id, turn, case when s > 0 and e > s then text[s:e] end as json,
   case when s = 0 then 'provider returned no JSON object' when e is null then 'provider returned incomplete JSON'
     when s >= e then 'provider returned invalid JSON bounds' end as error from a"""
 ORACLES["request_payloads"] = """
-select conv_id, turn, protocol, text as content, case when protocol <> 'generate_content' then 'gpt-5-x' end as model
-from conversations, (values ('responses'), ('chat'), ('local'), ('generate_content'), ('messages')) as p(protocol)"""
+select conv_id, turn, protocol, text as content, case when protocol <> 'generate_content' then 'gpt-5-x' end as model,
+  case protocol
+  when 'responses' then '{"model":"gpt-5-x","instructions":"Be brief.","input":[{"role":"' || role || '","content":[{"type":"input_text","text":'
+    || t || '}]}],"max_output_tokens":1500,"store":false,"reasoning":{"effort":"low"}}'
+  when 'chat' then '{"model":"gpt-5-x","messages":[{"role":"system","content":"Be brief."},{"role":"' || role || '","content":' || t || '}],"max_tokens":1500}'
+  when 'local' then '{"model":"gpt-5-x","input":' || t || ',"system_prompt":"Be brief.","max_output_tokens":1500,"store":false}'
+  when 'generate_content' then '{"systemInstruction":{"parts":[{"text":"Be brief."}]},"contents":[{"role":"' || case role when 'assistant' then 'model' else 'user' end
+    || '","parts":[{"text":' || t || '}]}],"generationConfig":{"maxOutputTokens":1500}}'
+  else '{"model":"gpt-5-x","system":"Be brief.","messages":[{"role":"' || case role when 'assistant' then 'assistant' else 'user' end
+    || '","content":[{"type":"text","text":' || t || '}]}],"max_tokens":1500}' end as body
+from (select *, cast(to_json(text) as varchar) as t from conversations), (values ('responses'), ('chat'), ('local'), ('generate_content'), ('messages')) as p(protocol)"""
 ORACLES["stored_answers"] = """
 with p as (select *, (conv_id + turn) % 6 as pick from conversations)
 select conv_id, turn, case when pick = 2 then trim(text, ' ' || chr(10) || chr(9)) when pick < 5 then text end as text, case when pick < 5 then len(text) end as input_tokens,
@@ -466,6 +481,12 @@ ORACLES["uncovered_documents"] = MIXED + " select doc_id, detected_format from l
 ORACLES["order_events"] = o.pipeline(ORDERS, [*BUILT_IN, ORDER_PROFILE]) + EVENTS
 ORACLES["comma_order_events"] = o.pipeline(
     f"select doc_id, replace(text, '|', ',') as text from ({ORDERS})", [*BUILT_IN, ORDER_PROFILE, COMMA_PROFILE]) + EVENTS
+ORACLES["tab_order_events"] = f"""
+with l as (select doc_id, string_split(text, {NL}) as ls from ({ORDERS})),
+r as (select doc_id, i - 1 as first, string_split(ls[i], '|') as f from l, unnest(generate_series(1, len(ls))) as g(i))
+select doc_id, first, case when f[2] = 'P' then 'ERROR' when f[4] in ('1-URGENT', '2-HIGH') then 'WARNING' else 'INFO' end as level,
+  'order=' || f[1] || ' status=' || f[2] || ' price=' || f[3] || ' priority=' || f[4] as content
+from r where len(f) >= 4"""
 CATALOG_ROWS = ", ".join(
     f"({q(p.id)}, {q(p.label)}, {p.catalog_rank if p.catalog_rank is not None else 'null'})" for p in BUILT_IN)
 ORACLES["format_usage"] = MIXED + f"""

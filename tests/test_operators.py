@@ -149,12 +149,19 @@ def test_requests(spark, docs):
 
 def test_audit_of_own_rendering(docs):
     same = "\n".join(f"03-17 16:13:38.811  1  2 {'E' if i % 2 else 'I'} Tag: boom {i}" for i in range(20))
-    prepared = pp.prepare(docs(same, same + "\n continued"), 3_000)
-    sides = audit.both_sides(prepared, tx.trim_space(F.col("clean")), F.col("parsed_preview")).cache()
-    got = {r.doc_id: r for r in audit.verdicts(sides).collect()}
+    both = docs(same, same + "\n continued")
+    prepared = pp.prepare(both, 3_000)
+    asked = []
+
+    def sides(rows):
+        asked.append(rows)
+        return audit.both_sides(pp.prepare(rows, 3_000), tx.trim_space(F.col("clean")), F.col("parsed_preview"))
+
+    got = {r.doc_id: r for r in audit.verdicts(both, sides).collect()}
+    assert [r.doc_id for r in asked[1].collect()] == [1]  # only what differs is spelled out
     assert got[0].status == "OK" and got[0].raw_events == got[0].parsed_events == 20
     assert got[1].status == "REVIEW" and got[1].missing_signatures > 0
-    assert audit.corpus_result(audit.verdicts(sides)).first() == (1, 1)
+    assert audit.corpus_result(audit.verdicts(both, sides)).first() == (1, 1)
     report = sinks.report_text(prepared).withColumn("p", audit.parsed_section(F.col("report")))
     assert report.filter("doc_id = 0").first().p == prepared.filter("doc_id = 0").first().parsed_preview
     groups = pp.event_groups(ps.parse(docs(same)))
@@ -304,3 +311,26 @@ def test_no_sort_aggregate_over_texts(spark):
     for name in ("corpus_templates", "latest_questions", "conversation_titles", "profile_lookup", "profile_restore", "stream_templates"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "HashAggregate" in plan, name
+
+
+def test_multisets_count_repeats(spark):
+    def side(doc, name, *events):
+        return [(doc, name, text, level, n) for text, level, n in events]
+
+    a, b = ("one 1", "INFO"), ("two", "ERROR")
+    rows = [
+        *side(1, "raw", (*a, 1), (*a, 1), (*b, 1)), *side(1, "parsed", ("ONE 27", "INFO", 2), (*b, 1)),
+        *side(2, "raw", (*a, 1), (*a, 1), (*b, 1)), *side(2, "parsed", (*a, 1), (*b, 2)),
+        *side(3, "raw", (*a, 1)), *side(3, "parsed", ("one 1", "WARNING", 1)), (4, None, None, None, None),
+    ]
+    sides = spark.createDataFrame(rows, "doc_id bigint, side string, text string, level string, n bigint")
+    got = {r.doc_id: (r.raw_events, r.parsed_events, r.equal, r.severity_ok) for r in audit.multisets(sides).collect()}
+    assert got == {1: (3, 3, True, True), 2: (3, 3, False, False), 3: (1, 1, True, False), 4: (0, 0, True, True)}
+
+
+def test_summaries_without_texts_equal_those_of_prepared_documents(docs):
+    odd = docs("", "\n", "a\n\n", "x" * 9_000 + "\ny", "é" * 3_000 + "\n" + "z" * 2_999 + "\n", "y\n" * 4_000,
+               "\n".join(f"03-17 16:13:38.811  1  2 {'E' if i % 2 else 'I'} Tag: boom {chr(97 + i % 26) * (i % 90)}" for i in range(300)))
+    for budget in (3_000, 12_000):
+        want = sorted(map(tuple, pp.summary(pp.prepare(odd, budget)).collect()))
+        assert sorted(map(tuple, pp.summarized(odd, budget).collect())) == want
