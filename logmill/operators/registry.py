@@ -1,7 +1,7 @@
 """The profile catalog as data: reading, checking, merging, overriding and looking up profiles.
 
-A catalog is small by contract (at most 100 profiles per file), so turning a catalog table into
-compiled columns collects it, behind a check of its row count. Everything else stays a table.
+A catalog becomes compiled columns, so the profiles that are taken come to the driver. All checks, and the
+merging of any number of files, are table operations.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ MAX_ID = 80
 MAX_REGEX_BYTES = 2_000
 MAX_FIELDS = 64
 DELIMITERS = ("whitespace", "tab", "comma", "pipe")
-MAX_CATALOG = 10_000
 
 CONDITION = "struct<kind:string,value:string>"
 PARSER = (
@@ -341,10 +340,11 @@ def validate_draft(
 class Registry:
     """Active profiles after user files, overrides and disabled ids, with a status report."""
 
-    def __init__(self, profiles: list[Profile], rejected: list[str], origins: dict[str, str],
+    def __init__(self, profiles: list[Profile], rejections: DataFrame | None, origins: dict[str, str],
                  disabled: set[str]):
         self.all = profiles
-        self.rejected = rejected
+        #: place, path and message of every rejected file
+        self.rejections = rejections
         self.origins = origins
         self.disabled = disabled
 
@@ -352,12 +352,36 @@ class Registry:
     def profiles(self) -> list[Profile]:
         return [p for p in self.all if p.id not in self.disabled]
 
+    @property
+    def rejected(self) -> list[str]:
+        if self.rejections is None:
+            return []
+        return [r["message"] for r in self.rejections.orderBy("place", "path").select("message").collect()]
+
     def summary(self) -> list[tuple[str, str, str, bool]]:
         return sorted(
             (p.id, p.label, self.origins[p.id], p.id not in self.disabled) for p in self.all
         )
 
 
+def _rejection(place: int, prefix: str = "") -> list[Column]:
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return [F.lit(place).alias("place"), "path", F.concat(F.lit(prefix), name, F.lit(": "), F.col("reason")).alias("message")]
+
+
+def _checked(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Format rows of the valid files, and path and reason of the others."""
+    formats = read_formats(files)
+    bad = violations(formats).groupBy("path").agg(F.min("problem").alias("reason"))
+    return formats.join(bad, "path", "left_anti"), bad
+
+
+def _profiles_of(files: DataFrame, paths: DataFrame) -> list[list[Profile]]:
+    """The profiles of the files that were taken, by path: a catalog becomes columns, so these come to the driver."""
+    rows = files.join(paths.select("path"), "path", "left_semi").select("path", "text").collect()
+    return [parse_profiles(row["text"]) for row in sorted(rows, key=lambda r: r["path"])]
+
+
 def load_registry(
     user_files: DataFrame | None = None,
     override_files: DataFrame | None = None,
@@ -366,44 +390,36 @@ def load_registry(
 ) -> Registry:
     """Merge profile files ``(path, text)`` over the base catalog, in path order.
 
-    A user file is taken whole or rejected whole; an override file holds one known profile.
+    A user file is taken whole or rejected whole; an override file holds one known profile, and the last of a
+    profile counts. Checks and merging are table operations over all files; only taken ones are collected.
     """
+    spark = SparkSession.active()
     merged = list(base)
     origins = {p.id: "built-in" for p in merged}
-    rejected: list[str] = []
-    for path, draft in _valid_files(user_files, rejected):
-        clash = next((p.id for p in draft if p.id in origins), None)
-        if clash:
-            rejected.append(f"{path}: format id already exists: {clash}")
-            continue
-        merged += draft
-        origins.update({p.id: "user" for p in draft})
-    for path, draft in _valid_files(override_files, rejected):
-        if len(draft) != 1:
-            rejected.append(f"override: {path}: override must contain exactly one format")
-        elif draft[0].id not in origins:
-            rejected.append(f"override: {path}: unknown profile: {draft[0].id}")
-        else:
+    rejections = []
+    if user_files is not None:
+        valid, bad = _checked(user_files)
+        known = spark.createDataFrame([(i,) for i in origins], "id string")
+        taken = merge_files(known, valid.select("path", "position", "id"))
+        for draft in _profiles_of(user_files, taken.filter("accepted")):
+            merged += draft
+            origins.update({p.id: "user" for p in draft})
+        rejections += [bad.select(*_rejection(0)), taken.filter("not accepted").select(*_rejection(1))]
+    if override_files is not None:
+        valid, bad = _checked(override_files)
+        known = spark.createDataFrame([(i,) for i in origins], "id string")
+        one = valid.filter("format_count = 1")
+        several = valid.filter("format_count <> 1").select("path").distinct()
+        newest = one.join(known, "id").groupBy("id").agg(F.max("path").alias("path"))
+        for draft in _profiles_of(override_files, newest):
             merged = [draft[0] if p.id == draft[0].id else p for p in merged]
             origins[draft[0].id] = "override"
-    return Registry(merged, rejected, origins, set(disabled))
-
-
-def _valid_files(files: DataFrame | None, rejected: list[str]) -> list[tuple[str, list[Profile]]]:
-    if files is None:
-        return []
-    if files.count() > MAX_CATALOG:
-        raise ValueError(f"a catalog has at most {MAX_CATALOG} profile files")
-    first = violations(read_formats(files)).groupBy("path").agg(F.min("problem").alias("problem"))
-    rows = files.join(first, "path", "left").select("path", "text", "problem").collect()
-    out = []
-    for row in sorted(rows, key=lambda r: r["path"]):
-        name = row["path"].rsplit("/", 1)[-1]
-        if row["problem"] is not None:
-            rejected.append(f"{name}: {row['problem']}")
-            continue
-        try:
-            out.append((name, parse_profiles(row["text"])))
-        except (KeyError, TypeError, json.JSONDecodeError) as error:
-            rejected.append(f"{name}: {error}")
-    return out
+        rejections += [
+            bad.select(*_rejection(2)),
+            several.withColumn("reason", F.lit("override must contain exactly one format")).select(*_rejection(3, "override: ")),
+            one.join(known, "id", "left_anti").withColumn("reason", F.concat(F.lit("unknown profile: "), "id")).select(*_rejection(3, "override: ")),
+        ]
+    found = None
+    for part in rejections:
+        found = part if found is None else found.unionByName(part)
+    return Registry(merged, found, origins, set(disabled))

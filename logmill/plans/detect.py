@@ -1,8 +1,8 @@
 """Compile profile detectors to one CASE expression.
 
 Profiles are tried from the highest score down (later catalog rows first on equal scores), so the
-first match is the best format and evaluation stops there. Every regex is preceded by a plain
-substring test on a text that the regex requires, which is far cheaper than the regex itself.
+first match is the best format and evaluation stops there. A built-in regex is preceded by a plain
+substring test on texts that it requires (``required``), which is far cheaper than the regex itself.
 """
 
 from __future__ import annotations
@@ -14,61 +14,12 @@ from pyspark.sql import Column, functions as F
 from logmill.functions.records import path_exists
 from logmill.functions.text import fold, regex
 from logmill.plans.catalog import Profile
-
-try:  # the standard library's regex parse tree; without it there are just no substring tests
-    from re import _constants as _re_c, _parser as _re_p
-except ImportError:  # pragma: no cover
-    _re_p = None
-
-MAX_ALTERNATIVES = 8
-
-
-def required_texts(pattern: str) -> tuple[str, ...]:
-    """Texts of which every match of ``pattern`` contains at least one; empty if unknown."""
-    if _re_p is None or "(?i" in pattern:
-        return ()
-    try:
-        tree = _re_p.parse(pattern)
-    except Exception:
-        return ()
-    return _best(_candidates(tree))
-
-
-def _best(candidates: list[tuple[str, ...]]) -> tuple[str, ...]:
-    usable = [c for c in candidates if c and len(c) <= MAX_ALTERNATIVES and min(map(len, c)) >= 2]
-    return max(usable, key=lambda c: (min(map(len, c)), -len(c)), default=())
-
-
-def _candidates(tree: Iterable) -> list[tuple[str, ...]]:
-    found: list[tuple[str, ...]] = []
-    run = ""
-    for op, arg in tree:
-        if op is _re_c.LITERAL:
-            run += chr(arg)
-            continue
-        if op is _re_c.AT:
-            continue
-        if run:
-            found.append((run,))
-        run = ""
-        if op is _re_c.SUBPATTERN:
-            _, add, remove, inner = arg
-            if not add and not remove:
-                found += _candidates(inner)
-        elif op in (_re_c.MAX_REPEAT, _re_c.MIN_REPEAT) and arg[0] >= 1:
-            found += _candidates(arg[2])
-        elif op is _re_c.BRANCH:
-            options = [_best(_candidates(branch)) for branch in arg[1]]
-            if all(options):
-                found.append(tuple(dict.fromkeys(t for option in options for t in option)))
-    if run:
-        found.append((run,))
-    return found
+from logmill.plans.required import REQUIRED
 
 
 def regex_condition(text: Column, pattern: str) -> Column:
     matched = text.rlike(regex(pattern))
-    required = required_texts(pattern)
+    required = REQUIRED.get(pattern, ())
     if not required:
         return matched
     present = fold(*[F.contains(text, F.lit(t)) for t in required], op=lambda a, b: a | b)

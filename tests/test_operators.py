@@ -334,3 +334,14 @@ def test_summaries_without_texts_equal_those_of_prepared_documents(docs):
     for budget in (3_000, 12_000):
         want = sorted(map(tuple, pp.summary(pp.prepare(odd, budget)).collect()))
         assert sorted(map(tuple, pp.summarized(odd, budget).collect())) == want
+
+
+def test_registry_of_very_many_files(spark):
+    """More files than any list on the driver should hold; what clashes is refused by table operations."""
+    raw = profile_file([USER])
+    rows = spark.range(12_000).select(
+        F.format_string("/s/%06d.json", "id").alias("path"), F.replace(F.lit(raw), F.lit('"my-app"'), F.concat(F.lit('"p'), F.col("id") % 5, F.lit('"'))).alias("text")
+    )
+    reg = rg.load_registry(rows)
+    assert [p.id for p in reg.all[len(BUILT_IN) :]] == [f"p{k}" for k in range(5)]
+    assert reg.rejections.count() == 11_995
