@@ -244,13 +244,20 @@ def test_urls(spark):
 def test_mined_rules_against_brute_force(spark):
     rng = np.random.default_rng(5)
     sets = [sorted({f"t{v}" for v in rng.integers(0, 6, 4)}) for _ in range(200)]
+    sets = [[*s, "t6"] if "t3" in s else s for s in sets]  # always with t3
     bad = ["t1" in s and "t2" in s or rng.random() < 0.1 for s in sets]
+    sets = [sorted([*s, "t7"]) if b and k % 3 else s for k, (s, b) in enumerate(zip(sets, bad))]  # only with bad
     df = spark.createDataFrame(list(zip(sets, map(bool, bad))), "tokens array<string>, bad boolean")
-    got = {tuple(r.rule_tokens): r.confidence for r in url_filter.mined(df, 0.05, 0.7).collect()}
+    rules, names = url_filter.mined(df, 0.05, 0.7)
+    known = {}
+    for r in names.collect():
+        known.setdefault(r.named, []).append(r.token)
+    from itertools import combinations, product
+    got = {tuple(sorted(x)): r.confidence for r in rules.collect() for x in product(*(known[t] for t in r.rule_tokens))}
+    assert sorted(known["t3"]) == ["t3", "t6"]
     every, wanted = {}, {}
-    from itertools import combinations
     for size in range(1, 6):
-        for combo in combinations([f"t{k}" for k in range(6)], size):
+        for combo in combinations([f"t{k}" for k in range(8)], size):
             has = [b for s, b in zip(sets, bad) if set(combo) <= set(s)]
             if has and sum(has) / 200 >= 0.05 and sum(has) / len(has) >= 0.7:
                 every[combo] = sum(has) / len(has)
@@ -260,6 +267,23 @@ def test_mined_rules_against_brute_force(spark):
     assert got == pytest.approx(wanted)
 
 
+def test_urls_of_many_segments(spark):
+    """Token sets must not multiply: long URLs on few and on many pages, alike and nearly alike."""
+    def url(*segments):
+        return "http://long.org/" + "/".join(f"s{k:03d}x".replace("0", "o").replace("1", "i").replace("2", "z").translate(str.maketrans("3456789", "abcdefg")) for k in segments)
+
+    one = [(k, url(*range(100)) if k == 0 else f"http://site{'abcdef'[k]}.org/p") for k in range(6)]
+    rows = one + [(10 + k, url(*range(100)) + "/end") for k in range(12)] + [(30 + k, url(*range(k, 100 + k))) for k in range(40)]
+    rows += [(200 + k, "http://long.org/fine/" + "abcdefgh"[k % 8]) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(k, int(k < 200 and k not in range(1, 6))) for k, _ in rows], "doc_id bigint, toxic int").withColumn("quality", F.lit(1))
+    few = url_filter.judged(pages.filter("page_id < 6"), labels, []).collect()
+    assert {r.verdict for r in few} == {"allow"}  # one page makes no rule
+    found = url_filter.judged(pages, labels, []).collect()
+    assert {r.verdict for r in found if 10 <= r.page_id < 100} == {"block"}
+    assert {r.verdict for r in found if r.page_id >= 200} == {"allow"}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 10, (20, 8))
