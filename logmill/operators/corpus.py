@@ -7,26 +7,28 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logmill.functions.severity import is_important
+from logmill.operators.parse import parse
 from logmill.operators.prepare import event_groups, reduction_percent
-from logmill.plans.catalog import Profile
+from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.session import written
 
 
-def templates(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+def templates(docs: DataFrame, key: str = "doc_id", profiles: Iterable[Profile] = BUILT_IN) -> DataFrame:
     """Every fingerprint of the corpus with total repeats, documents and its first example.
 
-    Documents are deduplicated inside their row and written once. Counts and the first document (a
-    numeric ``key``) are partially aggregated in hash tables: at most one row per fingerprint and task
-    is shuffled. The example comes by an equi-join on fingerprint and document, which no template skews.
+    Counts and the first document (a numeric ``key``) are partially aggregated in hash tables: at most one row
+    per fingerprint and task is shuffled, and no content. Only the documents that were first for a fingerprint are
+    taken apart again for the examples, which come by an equi-join on fingerprint and document.
     """
-    rows = written(event_groups(parsed, key).select(key, "fingerprint", "repeats", "content"), "template-rows")
-    counted = rows.groupBy("fingerprint").agg(
+    def groups(rows: DataFrame) -> DataFrame:
+        return event_groups(parse(rows, profiles), key)
+
+    counted = written(groups(docs).groupBy("fingerprint").agg(
         F.sum("repeats").alias("total_repeats"), F.count(F.lit(1)).alias("documents"), F.min(key).alias(key)
-    )
+    ), "template-counts")
+    first = groups(docs.join(counted.select(key).distinct(), key, "left_semi")).select(key, "fingerprint", F.col("content").alias("example"))
     # a document has a fingerprint once
-    return rows.select(key, "fingerprint", F.col("content").alias("example")).join(counted, [key, "fingerprint"]).select(
-        "fingerprint", "total_repeats", "documents", "example"
-    )
+    return first.join(counted, [key, "fingerprint"]).select("fingerprint", "total_repeats", "documents", "example")
 
 
 def severity_histogram(events: DataFrame, by: list[str]) -> DataFrame:

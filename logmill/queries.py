@@ -496,7 +496,7 @@ def event_groups(spark, sf_dir):
 @query
 def corpus_templates(spark, sf_dir):
     """Templates of the whole corpus."""
-    return corpus.templates(ps.parse(log_corpus(spark, sf_dir)))
+    return corpus.templates(log_corpus(spark, sf_dir))
 
 
 @query

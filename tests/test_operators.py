@@ -166,7 +166,7 @@ def test_audit_of_own_rendering(docs):
     assert report.filter("doc_id = 0").first().p == prepared.filter("doc_id = 0").first().parsed_preview
     groups = pp.event_groups(ps.parse(docs(same)))
     assert groups.agg(F.sum("repeats")).first()[0] == 20
-    assert corpus.templates(ps.parse(docs(same, same))).agg(F.sum("total_repeats"), F.max("documents")).first() == (40, 2)
+    assert corpus.templates(docs(same, same)).agg(F.sum("total_repeats"), F.max("documents")).first() == (40, 2)
 
 
 def plain_choose(lines, limit):
