@@ -166,6 +166,57 @@ MIXED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 PROSE = ["ordinary words of the archive stand in every single document", "internationalization and responsibilities recur everywhere"]
 
 
+def plain_automaton(strings):
+    """The merged automaton's language model, worked out from the strings each state has taken in."""
+    model = automata.Automaton(strings)
+    counts = [Counter() for _ in model.states]
+    ends = Counter()
+    for text in strings:
+        at = 0
+        for char in text:
+            counts[at][char] += 1
+            at = model.states[at].to[automata.symbols(char)]
+        ends[at] += 1
+    return model, counts, ends
+
+
+def test_merged_states_hold_what_their_strings_bring():
+    rng = np.random.default_rng(3)
+    strings = ["ab" * int(rng.integers(1, 6)) + "-" + "".join(rng.choice(list("0123456789"), 3)) for _ in range(120)]
+    model, counts, ends = plain_automaton(strings)
+    assert model.size < len({s[:k] for s in strings for k in range(len(s) + 1)})
+    reached = {0} | {t for s in model.states for t in s.to.values()}
+    for k in reached:
+        s = model.states[k]
+        if not counts[k] and not ends[k]:
+            continue
+        assert {c: n for held in s.chars.values() for c, n in held.items()} == counts[k] and s.ends == ends[k]
+        assert s.visits == sum(counts[k].values()) + ends[k]
+        assert s.times == {c: sum(held.values()) for c, held in s.chars.items()}
+
+    def score(text):
+        at, total = 0, 0.0
+        for char in text:
+            s, c = model.states[at], automata.symbols(char)
+            size, n = automata.SIZES.get(c, 1), s.times[c]
+            total += np.log(n / s.visits * (counts[at][char] + automata.BACK_OFF / size) / (n + automata.BACK_OFF))
+            at = s.to[c]
+        return (total + np.log(max(ends[at] / model.states[at].visits, automata.UNSEEN))) / (len(text) + 1)
+
+    for text in strings[:20]:
+        assert model.score(text) == pytest.approx(score(text))
+
+
+def test_literals_of_a_format_are_learned(spark):
+    """A format with a fixed head: other heads before the same kind of characters do not fit."""
+    rows = [(k, f'token="ghp_{v}"') for k, v in enumerate(keys_of(1, 200, 36, MIXED))] + [(1_000 + k, PROSE[k % 2]) for k in range(50)]
+    heads = ["ghp_", "xyz_", "kkm_", "GHP_"]
+    rows += [(2_000 + 100 * h + k, f"seen {head}{v} there") for h, head in enumerate(heads) for k, v in enumerate(keys_of(7 + h, 20, 36, MIXED))]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    shares = [np.mean([found[2_000 + 100 * h + k] != "" for k in range(20)]) for h in range(4)]
+    assert shares[0] > 0.9 and shares[1:] == [0, 0, 0]
+
+
 def test_unlabelled_credentials_do_not_train_ordinary_words(spark):
     labelled, bare = keys_of(1, 60, 32, MIXED), keys_of(2, 600, 32, MIXED)
     rows = [(k, f"{PROSE[k % 2]} password={v}") for k, v in enumerate(labelled)]
