@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CBS, FLOW = "2016-09-28 04:30:3", "2 123456789012 eni-a{u} 10.0.0.1 10.0.0.2 1 2 6 3 4 5 6 "
-BGL = " 2005.06.03 R02 2005-06-03 R02 RAS KERNEL "
+CBS, FLOW = "2026-02-16 11:12:1", "2 123456789012 eni-a{u} 10.0.0.1 10.0.0.2 1 2 6 3 4 5 6 "
+BGL = " 2026.02.02 N07 2026-02-02 N07 RAS KERNEL "
 # Sample grammar of every profile.
 TEXTS = {
     "cargo-rustc-error": "   Compiling demo{n}\nerror[E0425]: no value `x{u}`\n  --> src/main.rs:2:5\n   |\nerror[E0308]: mismatched {n}\n  --> src/lib.rs:1:1",
@@ -49,22 +49,22 @@ TEXTS = {
     "native-asan": "=={n}==ERROR: AddressSanitizer: use-after-free",
     "native-gdb-backtrace": "Program received signal SIGABRT, Aborted {n}.\n#0  raise ()",
     "native-crash": "Segmentation fault (core dumped) {n}",
-    "android-logcat": "03-17 16:13:38.811  1702  2395 W Tag: low memory {n}\n  more\n03-17 16:13:38.812  1702  2395 I Tag: fine",
-    "apache-error-log": "[Sun Dec 04 04:47:44 2005] [notice] child {n} started\n[Sun Dec 04 04:47:45 2005] [error] down",
-    "bgl-ras": f"- 1117838570{BGL}FATAL parity {{n}}\n- 1117838571{BGL}INFO ok",
+    "android-logcat": "02-09 07:08:09.101  4021  4077 W Tag: low memory {n}\n  more\n02-09 07:08:09.102  4021  4077 I Tag: fine",
+    "apache-error-log": "[Tue Feb 10 08:15:34 2026] [notice] child {n} started\n[Tue Feb 10 08:15:35 2026] [error] down",
+    "bgl-ras": f"- 1770000000{BGL}FATAL parity {{n}}\n- 1770000001{BGL}INFO ok",
     "hadoop": "2026-01-02 03:04:05,1 WARN [main] org.apache.hadoop.mapreduce: slow {n}\n\tat x\n2026-01-02 03:04:06,1 FATAL [main] org.apache.hadoop.y: end",
-    "hdfs": "081109 203615 148 INFO dfs.DataNode: served {n}\n081109 203616 148 ERROR dfs.DataNode: lost",
-    "healthapp": "20171223-22:15:29:606|Step|{n}|update\n20171223-22:15:29:607|Step|{n}|warned",
-    "hpc-failure": "2567 node-70 node state {n} failure here\n2568 node-71 node up",
-    "linux-syslog": "Jun 14 15:16:01 combo kernel: device {n} up\nJun 14 15:16:02 combo kernel: panic now",
-    "mac-unified-syslog": "Jul  1 09:00:55 MacBook-Pro app[1]: hello {n}",
-    "openssh-auth": "Dec 10 06:55:46 host sshd[1]: Invalid user bob{n}\nDec 10 06:55:47 host sshd[1]: Failed password for x",
-    "openstack": "nova-api.log.1 2017-05-16 00:00:00.008 25746 INFO nova.osapi req {n} done\nnova-api.log.1 2017-05-16 00:00:00.009 25746 WARNING nova.osapi slow",
-    "proxifier": "[10.30 16:49:06] a.exe - host:80 error : no route {n}\n[10.30 16:49:07] a.exe - host:80 open",
-    "spark": "17/06/09 20:10:40 WARN executor.Executor: lost {n}\n17/06/09 20:10:41 INFO executor.Executor: ok",
-    "thunderbird-ras": "- 1131566461 2005.11.09 tbird-1 Nov 9 x: session {n} opened",
+    "hdfs": "260207 101112 77 INFO dfs.DataNode: served {n}\n260207 101113 77 ERROR dfs.DataNode: lost",
+    "healthapp": "20260211-06:07:08:909|Walk|{n}|update\n20260211-06:07:08:910|Walk|{n}|warned",
+    "hpc-failure": "31 node-4 node state {n} failure here\n32 node-5 node up",
+    "linux-syslog": "Feb 11 12:13:11 alder kernel: device {n} up\nFeb 11 12:13:12 alder kernel: panic now",
+    "mac-unified-syslog": "Feb  3 05:06:07 MacBook-Lab app[1]: hello {n}",
+    "openssh-auth": "Feb 12 13:14:16 host sshd[1]: Invalid user bob{n}\nFeb 12 13:14:17 host sshd[1]: Failed password for x",
+    "openstack": "nova-api.log.1 2026-02-13 04:05:06.708 311 INFO nova.osapi req {n} done\nnova-api.log.1 2026-02-13 04:05:06.709 311 WARNING nova.osapi slow",
+    "proxifier": "[02.14 09:10:16] a.exe - host:80 error : no route {n}\n[02.14 09:10:17] a.exe - host:80 open",
+    "spark": "26/02/15 10:11:10 WARN executor.Executor: lost {n}\n26/02/15 10:11:11 INFO executor.Executor: ok",
+    "thunderbird-ras": "- 1771100000 2026.02.14 tbird-8 Feb 14 x: session {n} opened",
     "windows-cbs": f"{CBS}0, Warning               CBS    odd {{n}}\n{CBS}1, Info                  CBS    ok",
-    "zookeeper": "2015-07-29 17:41:44,747 - WARN  [Quorum:1] - broken {n}\n2015-07-29 17:41:45,747 - INFO  [Quorum:1] - ok",
+    "zookeeper": "2026-02-17 12:13:14,747 - WARN  [Quorum:1] - broken {n}\n2026-02-17 12:13:15,747 - INFO  [Quorum:1] - ok",
     "prometheus-logfmt": 'ts=2026 caller=main.go:1 level=error msg="bad {n}"\nts=2027 caller=main.go:1 level=debug msg="x"',
     "aws-vpc-flow-default": f"{FLOW}REJECT OK\nshort line\n{FLOW}- SKIPDATA\n{FLOW}ACCEPT OK",
     "kafka-broker-log4j": "[2026-01-01] ERROR [Broker id={n}] x (kafka.server.KafkaApis)\n\tat y\n[2026-01-01] INFO [Broker id=1] y (kafka.server.X)",

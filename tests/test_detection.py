@@ -105,7 +105,7 @@ def test_block_events(docs):
 
 
 def test_leading_lines_without_start_are_dropped(docs):
-    text = "x\n03-17 16:13:38.811  1  2 E Tag: a\n  more\n03-17 16:13:38.812  1  2 I Tag: b"
+    text = "x\n02-09 07:08:09.101  1  2 E Tag: a\n  more\n02-09 07:08:09.102  1  2 I Tag: b"
     assert [(s, v) for s, v, _ in severities(docs, text)] == [("lines 2-3", "ERROR"), ("line 4", "INFO")]
 
 

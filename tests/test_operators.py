@@ -120,7 +120,7 @@ def test_payload_shapes(spark):
 
 
 def test_requests(spark, docs):
-    log = "\n".join(f"03-17 16:13:38.811  1  2 E Tag: boom {i}" for i in range(50))
+    log = "\n".join(f"02-09 07:08:09.101  1  2 E Tag: boom {i}" for i in range(50))
     rows = [
         ("a", None, log, None, None, None, None, True, None), ("b", None, log, "n.log", "RAW", None, 1, False, None),
         ("c", None, "who knows", None, "parsed", None, None, None, "cli"), ("d", None, log, None, "compare", 5, None, None, None),
@@ -148,7 +148,7 @@ def test_requests(spark, docs):
 
 
 def test_audit_of_own_rendering(docs):
-    same = "\n".join(f"03-17 16:13:38.811  1  2 {'E' if i % 2 else 'I'} Tag: boom {i}" for i in range(20))
+    same = "\n".join(f"02-09 07:08:09.101  1  2 {'E' if i % 2 else 'I'} Tag: boom {i}" for i in range(20))
     both = docs(same, same + "\n continued")
     prepared = pp.prepare(both, 3_000)
     asked = []
@@ -330,7 +330,7 @@ def test_multisets_count_repeats(spark):
 
 def test_summaries_without_texts_equal_those_of_prepared_documents(docs):
     odd = docs("", "\n", "a\n\n", "x" * 9_000 + "\ny", "é" * 3_000 + "\n" + "z" * 2_999 + "\n", "y\n" * 4_000,
-               "\n".join(f"03-17 16:13:38.811  1  2 {'E' if i % 2 else 'I'} Tag: boom {chr(97 + i % 26) * (i % 90)}" for i in range(300)))
+               "\n".join(f"02-09 07:08:09.101  1  2 {'E' if i % 2 else 'I'} Tag: boom {chr(97 + i % 26) * (i % 90)}" for i in range(300)))
     for budget in (3_000, 12_000):
         want = sorted(map(tuple, pp.summary(pp.prepare(odd, budget)).collect()))
         assert sorted(map(tuple, pp.summarized(odd, budget).collect())) == want

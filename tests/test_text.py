@@ -93,7 +93,7 @@ def test_severity_tables(spark):
         "UNKNOWN", "CRITICAL", "ERROR", "ERROR", "INFO", "UNKNOWN", "WARNING"]
     assert apply(spark, ["a 99 +200 500", "x 0404 y", "none", "99999999999999999999"], sv.http_status) == [
         200, 404, None, None]
-    raw = ["x [error] y", "03-17 16:13:38.8 1 2 D tag", "2016-09-28 04:30:30, Info    CBS x", "a WARN b", "odd"]
+    raw = ["x [error] y", "03-17 16:13:38.8 1 2 D tag", "2026-02-16 11:12:10, Info    CBS x", "a WARN b", "odd"]
     assert apply(spark, raw, sv.raw_line_level) == ["ERROR", "INFO", "INFO", "WARNING", "UNKNOWN"]
 
 
@@ -209,7 +209,7 @@ def test_batches_respect_budget(docs):
 
 def test_large_documents_stay_linear(docs):
     prose = "\n".join("word " * (i % 30) for i in range(40_000))
-    log = "\n".join(f"03-17 16:13:38.811  1  2 E Tag: {'xy'[i % 2] * (i % 400)}{i % 3 * 'z'}" for i in range(20_000))
+    log = "\n".join(f"02-09 07:08:09.101  1  2 E Tag: {'xy'[i % 2] * (i % 400)}{i % 3 * 'z'}" for i in range(20_000))
     got = {r.doc_id: r for r in prepare(docs(prose, log), 3_000).collect()}
     clean = plain_normalize(prose)
     assert got[0].batches == plain_raw_batches(clean, 3_000)
