@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logmill.functions.fingerprint import audit_signature
@@ -115,16 +113,20 @@ def severity_differences(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     return sides.filter(F.col("level").isNotNull()).groupBy(key, "level").agg(_count("raw"), _count("parsed"))
 
 
-def multisets(sides: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document: events of both sides, whether their signatures agree as multisets and whether their
-    levels do.
+def hashed(sides: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, side, n, level and two 64-bit hashes of the signature of every event: all that comparing needs."""
+    signature = audit_signature(F.col("text"))
+    return sides.select(key, "side", "n", "level", F.xxhash64(signature).alias("h0"), F.xxhash64(F.lit(1), signature).alias("h1"))
+
 
-    A multiset is compared by sums: each event adds the four halves of two 64-bit hashes of its signature, so
-    that equal multisets have equal sums and others differ in one of them (128 bits). Sums are partial
+def multisets(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document (of ``hashed`` rows): events of both sides, whether their signatures agree as multisets and
+    whether their levels do.
+
+    A multiset is compared by sums: each event adds the four halves of the hashes of its signature, so that
+    equal multisets have equal sums and others differ in one of them (128 bits). Sums are partial
     aggregations: a row per document and task is shuffled, and no signature.
     """
-    signature = audit_signature(F.col("text"))
-    hashes = sides.select(key, "side", "n", "level", F.xxhash64(signature).alias("h0"), F.xxhash64(F.lit(1), signature).alias("h1"))
     halves = [half for h in ("h0", "h1") for half in (F.col(h).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
 
     def total(side: str, value: Column) -> Column:
@@ -144,15 +146,17 @@ def multisets(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def verdicts(docs: DataFrame, sides: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+def verdicts(sides: DataFrame, key: str = "doc_id") -> DataFrame:
     """OK when event count, signatures and severities agree, else REVIEW.
 
-    ``sides`` makes the rows of ``both_sides`` of documents. Documents whose multisets agree are done; only those
-    of the others are made again and spelled out by signature.
+    The documents are prepared once; a few numbers of each event are written. Documents whose multisets agree are
+    done, and only the events of the others are counted by signature.
     """
-    compared = written(multisets(sides(docs), key), "multisets")
-    other = docs.join(compared.filter("not equal").select(key), key, "left_semi")
-    spelled = signature_differences(sides(other), key).select(key, "missing_signatures", "extra_signatures")
+    events = written(hashed(sides, key), "signatures")
+    compared = written(multisets(events, key), "multisets")
+    other = events.join(compared.filter("not equal").select(key), key, "left_semi")
+    both = other.groupBy(key, "h0", "h1").agg(_count("raw"), _count("parsed"))
+    spelled = both.groupBy(key).agg(_missing().alias("missing_signatures"), _extra().alias("extra_signatures"))
     rows = compared.join(spelled, key, "left").select(
         key, "raw_events", "parsed_events", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("missing_signatures", "extra_signatures")),
         "severity_ok",
