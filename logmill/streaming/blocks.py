@@ -58,17 +58,18 @@ class _Assembler(StatefulProcessor):
         return (*key, kind, numbers[0], numbers[-1], None if kind == "head" else levels[0], "\n".join(texts))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N803
+        # every use of the state is a call to the executor: of a key each variable is read and written once
         lines = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        held = self.newest.get() if self.newest.exists() else None
+        held = self.newest.get()
         newest = max(int(lines["ms"].max()), held[0] if held else 0)
-        opened = self.open.exists()
+        opened = kept = self.open.exists()  # kept: the open block begins in the state
         out, new = [], []  # new: the lines since the last start, or since the batch began
         for line_no, level, line in zip(lines["line_no"].tolist(), lines["level"].tolist(), lines["line"].tolist()):
             level = level if isinstance(level, str) else None
             if level is not None:
                 if opened:
-                    out.append(self._piece(key, "block", [*(self.open.get() if self.open.exists() else ()), *new]))
-                    self.open.clear()
+                    out.append(self._piece(key, "block", [*(self.open.get() if kept else ()), *new]))
+                    kept = False
                 elif new:
                     out.append(self._piece(key, "head", new))
                 opened, new = True, []
@@ -76,10 +77,10 @@ class _Assembler(StatefulProcessor):
         if new and not opened:
             out.append(self._piece(key, "head", new))
         elif new:
-            self.open.appendList(new) if self.open.exists() else self.open.put(new)
+            self.open.appendList(new) if kept else self.open.put(new)
         if held is None or newest > held[0]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if held:
+                self.handle.deleteTimer(held[0])
             self.newest.update((newest,))
             self.handle.registerTimer(newest)
         yield pd.DataFrame(out, columns=PIECES.names)

@@ -2,6 +2,7 @@ import json
 import os
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from logmill.operators import registry
@@ -227,3 +228,43 @@ def test_streams_read_a_table_in_parts(spark, tmp_path, name):
     spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     single, parts = (sorted(map(repr, QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
     assert single and single == parts
+
+
+def test_blocks_use_the_state_a_few_times_per_range():
+    """Closing many blocks in a batch makes no call to the state for each of them."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.rows = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {
+                "exists": lambda: bool(self.rows), "get": lambda: self.rows, "put": self._set, "update": self._set,
+                "appendList": lambda new: self._set([*self.rows, *new]), "clear": lambda: self._set(None),
+            }[name]
+
+        def _set(self, rows):
+            self.rows = rows
+
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, name, schema: Value()
+        listTimers = lambda self: calls.append("listTimers") or iter(list(self.timers))
+        registerTimer = lambda self, at: calls.append("registerTimer") or self.timers.append(at)
+        deleteTimer = lambda self, at: calls.append("deleteTimer") or self.timers.remove(at)
+
+    assembler, handle = sb._Assembler(), Handle()
+    assembler.init(handle)
+    out = []
+    for start in (1, 101):
+        rows = [(n, "WARN" if n % 2 == 0 else None, f"[{n}] x", n) for n in range(start, start + 100)]
+        calls.clear()
+        out += list(assembler.handleInputRows(("o", 0), iter([pd.DataFrame(rows, columns=["line_no", "level", "line", "ms"])]), None))
+        assert len(calls) <= 8
+        assert handle.timers == [rows[-1][-1]]
+    kinds = pd.concat(out)
+    assert kinds["kind"].tolist() == ["head"] + ["block"] * 99
+    assert kinds["content"].tolist()[1:] == [f"[{n}] x\n[{n + 1}] x" for n in range(2, 200, 2)]
+    assert [n for n, *_ in assembler.open.rows] == [200]
