@@ -37,6 +37,13 @@ def write_artifacts(responses: DataFrame, path: str) -> None:
     artifact_rows(responses).write.mode("append").partitionBy("kind").parquet(path)
 
 
+def write_folders(rows: DataFrame, path: str, folders: list[str]) -> None:
+    """Text files in a new folder, one in each folder of ``folders``. What a file costs to make, not its size, is what
+    such writing takes: the folders are dealt over all cores, and each task puts its files in their place itself."""
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *folders)
+    dealt.write.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def report_text(prepared: DataFrame, key: str = "doc_id") -> DataFrame:
     """Review report of every prepared document: raw, parsed and sent batches."""
     numbered = F.transform(

@@ -10,6 +10,7 @@ from logmill.operators import (
 from logmill.operators.ordering import extreme_rows, running_sum
 from logmill.plans.catalog import BUILT_IN, Profile, parse_profiles, profiles_json
 from logmill.queries import QUERIES
+from logmill.session import run_folder
 from logmill.sources import files, sinks
 
 
@@ -339,3 +340,25 @@ def test_registry_of_very_many_files(spark):
     reg = rg.load_registry(rows)
     assert [p.id for p in reg.all[len(BUILT_IN) :]] == [f"p{k}" for k in range(5)]
     assert reg.rejections.count() == 11_995
+
+
+def test_folders_are_written_by_many_tasks_and_whole(spark):
+    """Rows of one partition: the folders are dealt over the tasks, rows of a folder stay in one file."""
+    rows = spark.range(40).coalesce(1).selectExpr("id % 20 as k", "if(id % 20 = 3, null, id % 3) as j", "concat('t', id % 20) as value")
+    path = run_folder(spark, "test-folders")
+    sinks.write_folders(rows, path, ["k", "j"])
+    read = spark.read.text(path, recursiveFileLookup=True).select("value", F.input_file_name().alias("file"))
+    assert sorted(r.value for r in read.collect()) == sorted(f"t{k % 20}" for k in range(40))
+    names = [r.file.rsplit("/", 1)[1] for r in read.select("file").distinct().collect()]
+    assert len({n.split("-")[1] for n in names}) > 1
+    assert read.groupBy(F.regexp_extract("file", "(k=.*)/", 1).alias("folder")).agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+
+
+def test_path_requests_scan_the_files_once(spark, tmp_path):
+    """The answers are joined from files that were read once, whatever the number of joins."""
+    spark.createDataFrame([(k, f"Supplier{k}", 1.5) for k in range(1, 9)], "s_suppkey bigint, s_name string, s_acctbal double").write.parquet(
+        str(tmp_path / "supplier.parquet")
+    )
+    answers = QUERIES["path_requests"](spark, str(tmp_path))
+    assert not [f for f in answers.inputFiles() if "supplier-logs" in f]
+    assert answers.count() == 8
