@@ -22,7 +22,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logmill.llm.common import batched, per_batch, scratch, stored, word_count
+from logmill.llm.common import batched, lasting, per_batch, scratch, stored, word_count
 
 KEYS = ["source", "lang", "version"]
 #: Splits text before the merges of byte-level BPE (a fixed value of the public rank files).
@@ -33,17 +33,19 @@ LEDGER = "batch string, attempt string, source string, lang string, version stri
 def bpe_counter(spark: SparkSession, ranks: str) -> Callable[[pa.Array], list[int]]:
     """Counts tokens of a byte-level BPE; the rank file (a path Spark can read) travels to the workers."""
     file = spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(ranks).select("content").first()[0]))
-    kept: list = []
+    key = uuid.uuid4().hex
+
+    def make():
+        import tiktoken
+
+        pairs = (line.split() for line in file.value.splitlines())
+        return tiktoken.Encoding(
+            "ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}
+        )
 
     def count(texts: pa.Array) -> list[int]:
-        if not kept:
-            import tiktoken
-
-            pairs = (line.split() for line in file.value.splitlines())
-            kept.append(tiktoken.Encoding(
-                "ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}
-            ))
-        return [len(kept[0].encode_ordinary(t.as_py() or "")) for t in texts]
+        encoding = lasting(f"bpe {ranks}", key, make)  # its tables are large: one for all tasks of a worker
+        return [len(encoding.encode_ordinary(t.as_py() or "")) for t in texts]
 
     return count
 

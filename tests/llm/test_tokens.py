@@ -219,3 +219,23 @@ def test_simhash_links_of_dense_groups(spark, monkeypatch, bits):
         if not changed:
             break
     assert parent == plain_classes(list(range(len(prints))), prints, bits)
+
+
+def test_token_counter_is_made_once_for_a_worker(spark, tmp_path):
+    """Tasks of a worker share the tables of the tokenizer."""
+    import base64
+    import os
+
+    from logmill.llm import token_counts
+    from logmill.llm.common import per_batch
+
+    (tmp_path / "ranks").write_text("\n".join(f"{base64.b64encode(bytes([k])).decode()} {k}" for k in range(256)) + "\n")
+    count = token_counts.bpe_counter(spark, str(tmp_path / "ranks"))
+
+    def probe(batch):
+        n = count(batch.column("text"))
+        return {"pid": [os.getpid()], "at": [id(sys.modules["logmill_lasting"].__dict__[f"bpe {tmp_path / 'ranks'}"][1])], "n": [sum(n)]}
+
+    rows = per_batch(spark.range(0, 32, 1, 32).selectExpr("concat('t', id) as text"), probe, "pid bigint, at bigint, n bigint").collect()
+    assert sum(r.n for r in rows) == 10 * 2 + 22 * 3
+    assert len({(r.pid, r.at) for r in rows}) == len({r.pid for r in rows})
