@@ -670,3 +670,14 @@ def test_pipeline(spark, docs, tmp_path):
         before = after
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, rows))
+
+
+def test_all_runs_of_all_texts_are_counted(spark):
+    """Texts with more runs than a few, equal texts once, runs in base spans never."""
+    rng = np.random.default_rng(5)
+    words = keys_of(5, 60, 9, "abcdefghijklm") + keys_of(6, 60, 20, "abcdefghijklm")
+    texts = [" ".join(rng.choice(words, 80)) + (" token=abcdefghijklm" if k % 3 == 0 else "") for k in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:10] + ["", None]], "text string")
+    found = secret_scan.per_batch(df, secret_scan._scan, secret_scan.SCANNED)
+    counts = {r.value: r.texts for r in secret_scan.run_counts(found.select("copy", "ordinary")).collect()}
+    assert counts == Counter(w for t in set(texts) for w in set(t.replace(" token=abcdefghijklm", "").split()))
