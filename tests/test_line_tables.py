@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,24 @@ def test_batch_numbers_equal_the_fold(spark, seed):
     assert all(r.content == f"p{r.start}" for r in got) and len(got) == len(rows)
 
 
+def test_groups_reach_python_whole_and_many_at_once():
+    groups = [k for k in range(900) for _ in range(1 if k % 90 else 250)]
+    batches = pa.Table.from_pydict({"k": groups, "n": list(range(len(groups)))}).to_batches(max_chunksize=100)
+    tables = list(lb._whole_groups(iter(batches), ["k"]))
+    assert [n for t in tables for n in t.column("n").to_pylist()] == list(range(len(groups)))
+    seen = [k for t in tables for k in sorted(set(t.column("k").to_pylist()))]
+    assert seen == list(range(900)) and len(tables) < 60
+    assert all([t.column("k")[a].as_py() for a in lb._edges(t, ["k"])[:-1]] == sorted(set(t.column("k").to_pylist())) for t in tables)
+
+
+def test_documents_of_one_span_need_one_step(spark):
+    rows = [(d, 10 * k, 10 * k + 10, 25) for d in range(40) for k in range(30)]
+    pieces = written(spark.createDataFrame(rows, "doc bigint, start bigint, upto bigint, wide bigint"), "test-pieces")
+    numbers = lb.batch_numbers(pieces, "doc")
+    assert {(r.doc, r.start): r.batch_index for r in numbers.collect()} == {(d, s): s // 10 // 2 for d, s, *_ in rows}
+    assert "EmptyRelation" in numbers._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_owner_lines_are_the_lines_of_owner_documents(spark):
     for style in ("mixed", "cloud", "compiler"):
         docs = spark.sql(corpus_sql("spark", style, SF, by="owner"))
