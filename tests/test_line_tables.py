@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from logmill.functions.severity import CONTENT_RULES
 from logmill.operators import line_batches as lb, line_prepare as lp, prepare as pp
+from logmill.operators.lines import numbered_blocks
 from logmill.plans.catalog import BUILT_IN, Profile
 from logmill.plans.synth import corpus_sql, log_corpus, owner_lines
 from logmill.session import written
@@ -132,6 +134,30 @@ def test_documents_of_one_span_need_one_step(spark):
     assert "EmptyRelation" in numbers._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
+def test_a_body_is_joined_once_and_blocks_are_made_once(spark, docs):
+    lines = lp.prepare_lines(lp.raw_lines(docs(*ODD).select("doc_id", "text")), 3_000)
+    assert "Join" not in lines.table.body._jdf.queryExecution().executedPlan().toString()
+    marked = written(spark.createDataFrame(
+        [(1, 1, "head", None, "INFO"), (1, 2, "a", "ERROR", "INFO"), (1, 3, "b", None, "INFO"), (2, 1, "no start", None, "INFO"), (3, 1, "c", None, None)],
+        "doc_id bigint, line_no bigint, line string, level string, preamble string"), "test-marked")
+    blocks = numbered_blocks(marked)
+    assert sorted(map(tuple, blocks.collect())) == [(1, 0, 0, 1, "INFO", "head"), (1, 1, 1, 3, "ERROR", "a\nb")]
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+
+
+def test_json_lines_that_only_begin_like_json(spark, docs):
+    texts = ['{"a":1}\n2 x\n', '2 x\n{"a":1}', "10.0.0.1 - -\n10.0.0.2 - -", RECORD.format(1) + "\n\n" + RECORD.format(2), RECORD.format(1) + "\n" + RECORD.format(2) + "\n[1"]
+    lines = same(spark, docs(*texts).select("doc_id", "text"))
+    assert [r.doc_id for r in lines.documents.filter("normalized").collect()] == [3]
+
+
+def test_content_rules_are_matched_for_whole_texts_that_need_them(spark, docs):
+    assert not set(dict(CONTENT_RULES)) & set(lp._conditions(BUILT_IN))
+    own = Profile("odd", "text", (("regex", "^mark"),), (), {"kind": "whole_text", "severity": "ODD"})
+    lines = same(spark, docs("mark\nit failed", "mark\nwarned").select("doc_id", "text"), profiles=[*BUILT_IN, own])
+    assert sorted(r.severity for r in lines.groups.collect()) == ["ERROR", "WARNING"]
+
+
 def test_owner_lines_are_the_lines_of_owner_documents(spark):
     for style in ("mixed", "cloud", "compiler"):
         docs = spark.sql(corpus_sql("spark", style, SF, by="owner"))
