@@ -145,6 +145,13 @@ def test_a_body_is_joined_once_and_blocks_are_made_once(spark, docs):
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
 
 
+def test_summaries_count_batches_without_texts(spark, docs, monkeypatch):
+    lines = lp.prepare_lines(lp.raw_lines(docs(*ODD).select("doc_id", "text")), 3_000)
+    want = sorted(map(tuple, lines.summary(lines.batches()).collect()))
+    monkeypatch.setattr(lp, "batch_texts", None)
+    assert sorted(map(tuple, lines.summary().collect())) == want
+
+
 def test_json_lines_that_only_begin_like_json(spark, docs):
     texts = ['{"a":1}\n2 x\n', '2 x\n{"a":1}', "10.0.0.1 - -\n10.0.0.2 - -", RECORD.format(1) + "\n\n" + RECORD.format(2), RECORD.format(1) + "\n" + RECORD.format(2) + "\n[1"]
     lines = same(spark, docs(*texts).select("doc_id", "text"))
