@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logmill.plans.synth import spread
+
 CBS, FLOW = "2026-02-16 11:12:1", "2 123456789012 eni-a{u} 10.0.0.1 10.0.0.2 1 2 6 3 4 5 6 "
 BGL = " 2026.02.02 N07 2026-02-02 N07 RAS KERNEL "
 # Sample grammar of every profile.
@@ -84,6 +86,6 @@ def profile_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.get(texts, (F.col("event_id") % len(TEXTS)).cast("int"))
     for mark, column in (("{n}", "event_id"), ("{u}", "user_id")):
         text = F.replace(text, F.lit(mark), F.col(column).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")).select(
         F.col("event_id").alias("doc_id"), F.concat(F.lit("log-"), "event_id", F.lit(".log")).alias("name"), text.alias("text")
     )

@@ -10,6 +10,7 @@ from logmill.functions.severity import CONTENT_RULES
 from logmill.operators import line_batches as lb, line_prepare as lp, prepare as pp
 from logmill.operators.lines import numbered_blocks
 from logmill.plans.catalog import BUILT_IN, Profile
+from logmill.plans.profile_texts import profile_corpus
 from logmill.plans.synth import corpus_sql, log_corpus, owner_lines
 from logmill.session import written
 from logmill.sources.files import qualified, read_logs
@@ -165,6 +166,11 @@ def test_content_rules_are_matched_for_whole_texts_that_need_them(spark, docs):
     assert sorted(r.severity for r in lines.groups.collect()) == ["ERROR", "WARNING"]
 
 
+def test_events_of_a_small_file_are_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert profile_corpus(spark, SF).rdd.getNumPartitions() == cores > 1
+
+
 def test_owner_lines_are_the_lines_of_owner_documents(spark):
     for style in ("mixed", "cloud", "compiler"):
         docs = spark.sql(corpus_sql("spark", style, SF, by="owner"))
