@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from logmill.operators.corpus import ambiguous, format_usage, golden_mismatches
 from logmill.operators.parse import events, outcomes, parse
 from logmill.plans.catalog import BUILT_IN, Profile
-from logmill.plans.required import REQUIRED
+from logmill.plans.detect import openers, regex_condition
+from logmill.plans.required import REQUIRED, STARTS
 from tests.samples import SAMPLES, UNKNOWN
 
 
@@ -38,6 +39,21 @@ def test_required_texts_never_exclude_a_match():
     assert checked > 60
 
 
+def test_first_characters_never_exclude_a_match(spark, docs):
+    checked = 0
+    for pattern, first in STARTS.items():
+        for _, sample in SAMPLES:
+            for match in re.finditer(pattern, sample, re.M):
+                checked += 1
+                assert re.match(first, match[0]), (pattern, first)
+    assert checked > 40
+    texts = [text for _, text in SAMPLES] + ["\n" + text for _, text in SAMPLES] + ["\n\n  at x", "a\n\n\tat x", "é\n \n=> b", ""]
+    rows = docs(*texts).withColumn("first", openers(F.split("text", "\n")))
+    text = F.col("text")
+    wrong = [F.count_if(regex_condition(text, p) != regex_condition(text, p, F.col("first"))).alias(f"p{k}") for k, p in enumerate(STARTS)]
+    assert set(rows.agg(*wrong).first()) == {0}
+
+
 def test_unknown_documents_fall_back(docs):
     rows = {r.doc_id: r for r in outcomes(docs(*UNKNOWN)).collect()}
     assert all(r.detected_format == "unknown -> raw" and not r.supported for r in rows.values())

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logmill.functions.severity import CONTENT_RULES
+from logmill.functions.text import redact
 from logmill.operators import line_batches as lb, line_prepare as lp, prepare as pp
 from logmill.operators.lines import numbered_blocks
 from logmill.plans.catalog import BUILT_IN, Profile
@@ -146,6 +147,26 @@ def test_a_body_is_joined_once_and_blocks_are_made_once(spark, docs):
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
 
 
+def test_long_lines_are_read_few_times(spark, docs):
+    """A text is lowered once for all markers, documents of one window are judged by the best profile first and dealt once,
+    and raw lines stay where their ranges were dealt."""
+    texts = docs("x" * 5_000, "Traceback (most recent call last):\n a\nValueError: b", *("npm ERR! x\n" + "y\n" * k for k in (lp.STEP - 2, lp.STEP - 1, lp.STEP)))
+    plan = texts.select(redact(F.col("text")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") == 1
+    lines = same(spark, texts.select("doc_id", "text"))
+    assert [r.detected_format for r in lines.documents.orderBy("doc_id").collect()][1:] == ["python-traceback"] + ["npm-cli-error"] * 3
+    keys = lines.documents.select("doc_id")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = lp._raw_pieces(lines.table, keys, 3_000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "Exchange" not in "".join(plan[plan.index("Window [sum(value_"):].split("SortMergeJoin")[:2])
+
+
 def test_summaries_count_batches_without_texts(spark, docs, monkeypatch):
     lines = lp.prepare_lines(lp.raw_lines(docs(*ODD).select("doc_id", "text")), 3_000)
     want = sorted(map(tuple, lines.summary(lines.batches()).collect()))
