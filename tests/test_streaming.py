@@ -268,3 +268,70 @@ def test_blocks_use_the_state_a_few_times_per_range():
     assert kinds["kind"].tolist() == ["head"] + ["block"] * 99
     assert kinds["content"].tolist()[1:] == [f"[{n}] x\n[{n + 1}] x" for n in range(2, 200, 2)]
     assert [n for n, *_ in assembler.open.rows] == [200]
+
+
+def test_groups_of_sources_equal_single_sources(spark, tmp_path):
+    """Sources numbered together share a key; blocks cross ranges, batches and a restart."""
+    rows = [(f"s{k * k % 13}" if k % 11 else None, k, f"[{k}] {'ERROR' if k % 7 == 0 else 'WARN' if k % 5 == 0 else 'INFO'} line", k) for k in range(1, 200)]
+    parts = [rows[i:i + 40] for i in range(0, len(rows), 40)]
+    write_batches(tmp_path / "in", parts[:3])
+    root = run_folder(spark, "test-groups")
+
+    def run():
+        sb.block_stream(stream(spark, tmp_path / "in"), STREAM_PROFILE, f"{root}/pieces", f"{root}/checkpoint", 10_000, 64, 2).awaitTermination()
+
+    run()
+    for k, part in enumerate(parts[3:], start=3):
+        add_file(tmp_path / "in", k, "\n".join(json.dumps(
+            {"origin": o, "line_no": n, "line": x, "event_time": (START + timedelta(seconds=t)).isoformat()}) for o, n, x, t in part))
+    run()
+    found = sb.assembled(spark, f"{root}/pieces", f"{root}/checkpoint", STREAM_PROFILE).select("origin", "first", "severity", "content").collect()
+    named = sorted(tuple(r) for r in found if r.origin is not None)
+    assert named == one_batch(spark, [r for r in rows if r[0] is not None])
+    assert len(found) > len(named) > 50
+
+
+def test_a_group_of_sources_uses_the_state_a_few_times():
+    class Value:
+        rows = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {
+                "get": lambda: list(self.rows or ()), "put": self._set, "appendList": lambda new: self._set([*self.rows, *new]), "clear": lambda: self._set(None),
+            }[name]
+
+        def _set(self, rows):
+            self.rows = rows
+
+    class Handle:
+        timers = []
+        getListState = lambda self, name, schema: Value()
+        registerTimer = lambda self, at: calls.append("registerTimer") or self.timers.append(at)
+        deleteTimer = lambda self, at: calls.append("deleteTimer") or self.timers.remove(at)
+
+    class Expired:
+        getExpiryTimeInMs = lambda self: 5
+        getCurrentWatermarkInMs = lambda self: 205
+
+    calls, assembler, handle, out = [], sb._Assembler(), Handle(), []
+    assembler.init(handle)
+    columns = ["origin", "line_no", "level", "line", "ms"]
+    for start, sources in ((0, 400), (400, 200)):  # the second batch has half of the sources
+        rows = [(f"s{k}", start + k, "WARN" if k % 2 else None, f"[{start + k}]", start + k + 5) for k in range(sources)]
+        calls.clear()
+        out += list(assembler.handleInputRows((0, 0), iter([pd.DataFrame(rows, columns=columns)]), None))
+        assert len(calls) <= 8
+        assert handle.timers == [5 if start == 0 else 205]
+    kinds = pd.concat(out)
+    assert kinds.groupby("kind").size().to_dict() == {"block": 100, "head": 300}
+    assert set(kinds[kinds["kind"] == "block"]["content"]) == {f"[{k}]" for k in range(1, 200, 2)}
+    assert sorted(n for n, *_ in assembler.open.rows) == [*range(201, 400, 2), *range(401, 600, 2)]
+    # only the sources whose newest line is older than the watermark are closed
+    handle.timers.clear()
+    assert list(assembler.handleExpiredTimer((0, 0), Expired(), Expired())) == [] and handle.timers == [205]
+    Expired.getExpiryTimeInMs, Expired.getCurrentWatermarkInMs = (lambda self: 205), (lambda self: 300)
+    handle.timers.clear()
+    tails = pd.concat(assembler.handleExpiredTimer((0, 0), Expired(), Expired()))
+    assert set(tails["kind"]) == {"tail"} and sorted(tails["first"]) == list(range(201, 295, 2)) and handle.timers == [300]
+    assert sorted(n for n, *_ in assembler.open.rows) == [*range(295, 400, 2), *range(401, 600, 2)]
