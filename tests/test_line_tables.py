@@ -218,3 +218,30 @@ def test_files_read_by_several_tasks(spark, tmp_path):
     whole = read_logs(spark, root).select(F.col("path").alias("doc_id"), "text")
     assert rows == sorted((r.doc_id[len(root) + 1 :], r.line_no, r.line, r.chars) for r in lp.raw_lines(whole).collect())
     assert {r.path for r in read_lines(spark, root, roots=[f"{root}/b.log", f"{root}/c.log"]).collect()} == {f"{root}/b.log"}
+
+
+CONTAINERS = [
+    "[]", "[ \n ]", "[\n" + ",\n".join(RECORD.format(k) for k in range(40)) + "\n]", "[" + ",".join(RECORD.format(k) for k in range(300)) + "]",
+    '{"insertId":"1",\n"severity":"INFO",\n "textPayload":"a [b], {c} \\" , ] d"\n}', '[{"insertId":"1","severity":"INFO","textPayload":"] , ["},\n5]',
+    "[" + RECORD.format(1) + ",]", "[," + RECORD.format(1) + "]", "[" + RECORD.format(1) + "]\n[" + RECORD.format(2) + "]", RECORD.format(1) + ",\n" + RECORD.format(2),
+    '[1"]', '["a]', '[1\n2]', '["a\nb"]', '{"a":[}\n]}', '[{"a":1]}', "[1]]", "[[1]", "[1],\n[2]", '[{"a":[1,[2,\n3],{"b":[4,\n{}]}]},\n[5,6]\n]', '["\\\\",\n"\\\\\\"]"]',
+    "[2026-01-01] x\n[2026-01-02] y [z]", '{"a":1}\n{"b":2}\n{"c"}', "[tru\ne]", '[1, 2, // 3\n4]', "[ ]", '["\\ ,"]', "[" + RECORD.format(1) + ",\n\n\n" + RECORD.format(2) + "\n\n]\n",
+]
+
+
+def test_json_containers_are_cut_into_their_records(spark, docs):
+    lines = same(spark, docs(*CONTAINERS).select("doc_id", "text"))
+    events = {r.doc_id: r.n for r in lines.groups.groupBy("doc_id").agg(F.sum("repeats").alias("n")).collect()}
+    assert events[2] == 40 and events[3] == 300 and events[4] == 1 and events[27] == 2
+
+
+def test_a_json_array_of_any_size_is_read_as_one(spark, docs):
+    """Larger than a row of 10 MiB: an array of one line, one of many lines, an object, and text that only looks like an array."""
+    records = [RECORD.format("x" * 9_000 + str(k)) for k in range(700)]
+    big = "[" + ",".join(records) + "]"
+    assert len(big) > 10 << 20
+    texts = [big, "[\n" + ",\n".join(records) + "\n]", '{"insertId":"1","severity":"INFO","textPayload":"a",\n"list":' + big + "}", big[:-1] + ",]"]
+    lines = lp.prepare_lines(lp.raw_lines(docs(*texts).select("doc_id", "text")), 12_000)
+    got = {r.doc_id: (r.detected_format, r.event_count) for r in lines.documents.collect()}
+    label = got[0][0]
+    assert "raw" not in label and got == {0: (label, 700), 1: (label, 700), 2: (label, 1), 3: ("unknown -> raw", 1)}
