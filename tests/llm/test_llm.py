@@ -681,3 +681,37 @@ def test_all_runs_of_all_texts_are_counted(spark):
     found = secret_scan.per_batch(df, secret_scan._scan, secret_scan.SCANNED)
     counts = {r.value: r.texts for r in secret_scan.run_counts(found.select("copy", "ordinary")).collect()}
     assert counts == Counter(w for t in set(texts) for w in set(t.replace(" token=abcdefghijklm", "").split()))
+
+
+@pytest.mark.parametrize("dealt", ["true", "false"])
+def test_automata_learn_from_all_strings(spark, dealt):
+    """All labelled credentials and all recurring runs, more than a few hundred of each, in one task or many."""
+    keys, words = ["gh_" + v for v in keys_of(11, 900, 20, MIXED)], keys_of(12, 700, 8, "abcdefghijklm") + keys_of(13, 300, 20, "abcdefghijklm")
+    labelled = spark.createDataFrame([("assign", v) for v in keys + keys[:50]] + [("hex", "f" * 24)], "kind string, value string")
+    runs = spark.createDataFrame([(w, 2 + k % 5) for k, w in enumerate(words)] + [(f"once{k}", 1) for k in range(99)], "value string, texts bigint")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, dealt)
+        models = secret_scan.learned(labelled, runs)
+    finally:
+        spark.conf.set(name, before)
+    assert list(models.kinds) == ["assign"] and models.least == 23
+    model, lowest = models.kinds["assign"]
+    plain = automata.Automaton(sorted(keys))
+    assert sum(s.ends for s in model.states) == len(keys) and sum(s.ends for s in models.plain.states) == len(words)
+    assert [model.score(v) for v in keys + words] == pytest.approx([plain.score(v) for v in keys + words])
+    ranked = sorted(keys, key=lambda v: hashlib.md5(v.encode()).hexdigest())
+    halves = ranked[::2], ranked[1::2]
+    assert lowest == pytest.approx(min(min(map(automata.Automaton(half).score, other)) for half, other in (halves, halves[::-1])))
+
+
+def test_rare_nodes_of_a_tree_are_no_states_and_all_strings_count(spark):
+    """Of more strings than a tree has nodes for, each counts, and the literal that all share is learned."""
+    rng = np.random.default_rng(14)
+    values = sorted({"AB-" + "".join(rng.choice(list("0123456789abcdef"), 12)) for _ in range(5_000)})
+    rows = spark.createDataFrame([("x", v) for v in values] + [("y", v[::-1]) for v in values[:40]], "name string, value string").repartition(5)
+    found = automata.learned(rows)
+    assert {k: sum(s.ends for s in a.states) for k, a in found.items()} == {"x": len(values), "y": 40}
+    assert sum(sum(s.times.values()) for s in found["x"].states) == sum(map(len, values))
+    assert min(map(found["x"].score, values[::50])) > max(found["x"].score("XY-" + v[3:]) for v in values[::50])
